@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,8 +23,10 @@ SPECIAL_NUMBER_TEXT = r"^\s*([+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][n
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
-def all_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, predicates, F.lit(True))
+def all_of(predicates: Iterable[Column | None]) -> Column:
+    """Conjunction of the predicates; None stands for no restriction."""
+    given = [p for p in predicates if p is not None]
+    return reduce(lambda a, b: a & b, given) if given else F.lit(True)
 
 
 def safe_divide(a: Column, b: Column) -> Column:
@@ -115,16 +118,21 @@ def json_path(path: str) -> str:
     return "$" + "".join(steps)
 
 
-def json_scalar(bag: Column, path: str) -> Column:
-    """Text of the scalar at a dotted path. Objects and arrays give NULL; a string
-    that merely starts with a brace or bracket is kept."""
-    found = F.get_json_object(bag, json_path(path))
-    variant_path = "$" + "".join('["' + p.replace('"', '\\"') + '"]' for p in path.split("."))
-    kind = F.schema_of_variant(
-        F.try_variant_get(F.try_parse_json(bag), variant_path, "variant")
-    )
+def scalar_only(found: Column, bag: Column, path: str) -> Column:
+    """``found`` is the text at a path of a JSON bag; objects and arrays become NULL. A
+    string that merely starts with a brace or bracket is kept, which takes a second,
+    typed look at the bag, but only for such texts."""
+    steps = ["[\"" + p.replace("\\", "\\\\").replace('"', '\\"') + "\"]" for p in path.split(".")]
+    node = F.try_variant_get(F.try_parse_json(bag), "$" + "".join(steps), "variant")
     looks_nested = found.startswith("{") | found.startswith("[")
-    return F.when(looks_nested, F.when(kind == "STRING", found)).otherwise(found)
+    return F.when(
+        looks_nested, F.when(F.schema_of_variant(node) == "STRING", found)
+    ).otherwise(found)
+
+
+def json_scalar(bag: Column, path: str) -> Column:
+    """Text of the scalar at a dotted path of a JSON bag, or NULL."""
+    return scalar_only(F.get_json_object(bag, json_path(path)), bag, path)
 
 
 def first_with_key(params: Column, key: str) -> Column:
@@ -132,14 +140,13 @@ def first_with_key(params: Column, key: str) -> Column:
     return F.get(F.filter(params, lambda p: p["key"] == F.lit(key)), F.lit(0))
 
 
-def param_text(params: Column, key: str) -> Column:
-    """Text of the first matching parameter: string, else int, float, double."""
-    v = first_with_key(params, key)["value"]
+def param_text(value: Column) -> Column:
+    """Text of a parameter value struct: string, else int, float, double."""
     return F.coalesce(
-        v["string_value"],
-        v["int_value"].cast("string"),
-        float_text(v["float_value"].cast("double")),
-        float_text(v["double_value"].cast("double")),
+        value["string_value"],
+        value["int_value"].cast("string"),
+        float_text(value["float_value"].cast("double")),
+        float_text(value["double_value"].cast("double")),
     )
 
 

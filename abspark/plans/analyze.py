@@ -20,28 +20,27 @@ Shape of the plan, for a table of any size:
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterable, Mapping
+import json
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from abspark.functions.scalars import all_of
-from abspark.operators.attribution import post_exposure_join
+from abspark.operators.aggregates import sufficient_stats
+from abspark.operators.attribution import OVERLAP, post_exposure_join
 from abspark.operators.exposures import (
-    conversion_predicate,
     conversions,
-    exposure_predicate,
     filter_predicates,
     label_exposures,
+    matches_variant,
     select_active,
 )
-from abspark.operators.aggregates import sufficient_stats
-from abspark.operators.attribution import OVERLAP
 from abspark.schemas import RESULTS
-from abspark.sources.layouts import EventLayout, layout_for
+from abspark.sources.layouts import EventLayout, LookupStage, layout_for
 from abspark.spec import (
     BOTH,
     CONVERSION_SIDE,
@@ -121,12 +120,11 @@ def _conversion_signature(spec: ExperimentSpec) -> tuple:
 
 @dataclass(frozen=True)
 class _Tag:
-    """One kind of row to pick from the scan: predicate beyond the event name, and what
-    to keep of the row."""
+    """One kind of row to pick from the scan: the event it needs (None: any), and how to
+    pick it (NULL where the event does not qualify)."""
 
     event: str | None
-    predicate: Column
-    fields: tuple[Column, ...]
+    pick: Callable[[EventLayout], Column]
 
 
 def _numbers(signatures: Iterable[tuple]) -> dict[tuple, int]:
@@ -138,90 +136,114 @@ def _tag_rows(
 ) -> DataFrame:
     """One output row per (event, tag it satisfies), with the tag's fields. Event names
     and the overall day span come first as plain filters, so they reach the files."""
-    span = layout.in_window(
-        min(s.date_start for s in specs), max(s.date_end for s in specs)
-    )
+    span = (min(s.date_start for s in specs), max(s.date_end for s in specs))
+    wanted = layout.in_window(*span)
     names = sorted({t.event for t in tags if t.event is not None})
-    anywhere = [t for t in tags if t.event is None]
-    picks = None
+    if all(t.event is not None for t in tags):
+        wanted = wanted & F.col(layout.event_column).isin(*names)
+
+    stage = LookupStage(layout.event_column)
+    staged = layout.staged(stage)
+    picks = {}
+    for tag in tags:
+        stage.on_event(tag.event)
+        picks[tag] = tag.pick(staged)
+    anywhere = [picks[t] for t in tags if t.event is None]
+    rows = None
     for name in names:
-        here = [_pick(t) for t in tags if t.event in (name, None)]
-        branch = (layout.event_is(name), F.array(*here))
-        picks = F.when(*branch) if picks is None else picks.when(*branch)
-    wanted = span
+        here = F.array(*[picks[t] for t in tags if t.event in (name, None)])
+        on_name = layout.event_is(name)
+        rows = F.when(on_name, here) if rows is None else rows.when(on_name, here)
     if anywhere:
-        rest = F.array(*[_pick(t) for t in anywhere])
-        picks = rest if picks is None else picks.otherwise(rest)
-    else:
-        wanted = span & F.col(layout.event_column).isin(names)
+        rest = F.array(*anywhere)
+        rows = rest if rows is None else rows.otherwise(rest)
     return (
         events.where(wanted)
-        .select(F.explode(picks).alias("row"))
+        .withColumns(stage.columns())
+        .select(F.explode(rows).alias("row"))
         .where(F.col("row").isNotNull())
         .select("row.*")
     )
 
 
-def _pick(tag: _Tag) -> Column:
-    return F.when(tag.predicate, F.struct(*tag.fields))
+def _own_window(
+    layout: EventLayout, spec: ExperimentSpec, specs: list[ExperimentSpec]
+) -> Column | None:
+    """Day window of a row, unless every row of the plan has the same one."""
+    if len({(s.date_start, s.date_end) for s in specs}) == 1:
+        return None
+    return layout.in_window(spec.date_start, spec.date_end)
 
 
-def _exposure_tag(layout: EventLayout, spec: ExperimentSpec, number: int) -> _Tag:
-    text = layout.exposure_text(spec)
-    usable = text.isNotNull()
-    if spec.user_overlap == BOTH:
-        usable = text.rlike(spec.exp_variant_string)
-        text = F.lit("")
-    parts = [
-        layout.in_window(spec.date_start, spec.date_end),
-        layout.identity_predicate(spec),
-        *filter_predicates(layout, spec, EXPOSURE_SIDE),
-        usable,
-    ]
+def _exposure_tag(
+    layout: EventLayout, spec: ExperimentSpec, number: int, specs: list[ExperimentSpec]
+) -> _Tag:
     event = layout.exposure_event(spec)
-    if event is None:
-        parts.append(layout.exposure_guard(spec))
-    return _Tag(
-        event,
-        all_of(parts),
-        (
-            F.lit(number).alias("tag"),
-            layout.grouping_key(spec).alias("key"),
-            text.alias("variant"),
-            layout.event_time().alias("time"),
-            F.lit(None).cast("double").alias("value"),
-        ),
-    )
 
+    def pick(staged: EventLayout) -> Column:
+        text = staged.exposure_text(spec)
+        usable = text.isNotNull()
+        if spec.user_overlap == BOTH:
+            usable = matches_variant(text, spec.exp_variant_string)
+            text = F.lit("")
+        predicate = all_of(
+            [
+                _own_window(staged, spec, specs),
+                staged.identity_predicate(spec),
+                *filter_predicates(staged, spec, EXPOSURE_SIDE),
+                staged.exposure_guard(spec) if event is None else None,
+                usable,
+            ]
+        )
+        return F.when(
+            predicate,
+            F.struct(
+                F.lit(number).alias("tag"),
+                staged.grouping_key(spec).alias("key"),
+                text.alias("variant"),
+                staged.event_time().alias("time"),
+                F.expr("CAST(NULL AS DOUBLE) AS value"),
+            ),
+        )
 
-def _conversion_tag(layout: EventLayout, spec: ExperimentSpec, number: int) -> _Tag:
-    key = layout.grouping_key(spec)
-    return _Tag(
-        spec.conversion_event,
-        all_of(
+    return _Tag(event, pick)
+
+
+def _conversion_tag(
+    layout: EventLayout, spec: ExperimentSpec, number: int, specs: list[ExperimentSpec]
+) -> _Tag:
+    def pick(staged: EventLayout) -> Column:
+        key = staged.grouping_key(spec)
+        predicate = all_of(
             [
-                layout.in_window(spec.date_start, spec.date_end),
-                layout.identity_predicate(spec),
-                *filter_predicates(layout, spec, CONVERSION_SIDE),
+                _own_window(staged, spec, specs),
+                staged.identity_predicate(spec),
+                *filter_predicates(staged, spec, CONVERSION_SIDE),
                 key.isNotNull(),  # a NULL key never meets an exposure
             ]
-        ),
-        (
-            F.lit(number).alias("tag"),
-            key.alias("key"),
-            F.lit(None).cast("string").alias("variant"),
-            layout.event_time().alias("time"),
-            layout.value(spec).alias("value"),
-        ),
-    )
+        )
+        return F.when(
+            predicate,
+            F.struct(
+                F.lit(number).alias("tag"),
+                key.alias("key"),
+                F.expr("CAST(NULL AS STRING) AS variant"),
+                staged.event_time().alias("time"),
+                staged.value(spec).alias("value"),
+            ),
+        )
+
+    return _Tag(spec.conversion_event, pick)
 
 
 # ---------------------------------------------------------------- per key
-def _key_summary(tagged: DataFrame) -> DataFrame:
+def _key_summary(tagged: DataFrame, policies: set[str]) -> DataFrame:
     """One row per (tag, key): first and last labelled exposure, number of variant texts,
     first conversion and value sum. Conversions are the rows without variant text."""
-    is_conversion = F.col("variant").isNull()
+    exposed, converted = F.col("variant").isNotNull(), F.col("variant").isNull()
     age = -F.unix_micros(F.col("last_time").cast("timestamp"))
+    newest = F.struct(age.alias("age"), F.col("variant"), F.col("last_time"))
+    last = F.min(F.when(exposed, newest))
     return (
         tagged.groupBy("tag", "key", "variant")
         .agg(
@@ -231,26 +253,45 @@ def _key_summary(tagged: DataFrame) -> DataFrame:
         )
         .groupBy("tag", "key")
         .agg(
-            F.min(
-                F.when(~is_conversion, F.struct("first_time", "variant"))
-            ).alias("first"),
-            F.min(
-                F.when(
-                    ~is_conversion,
-                    F.struct(age.alias("age"), F.col("variant"), F.col("last_time")),
-                )
-            ).alias("last"),
+            F.min(F.when(exposed, F.struct("first_time", "variant"))).alias("first"),
+            *([last.alias("last")] if LAST in policies else []),
             F.count("variant").alias("texts"),
-            F.min(F.when(is_conversion, F.col("first_time"))).alias("conv_time"),
-            F.sum(F.when(is_conversion, F.col("value"))).alias("conv_value"),
+            F.min(F.when(converted, F.col("first_time"))).alias("conv_time"),
+            F.sum(F.when(converted, F.col("value"))).alias("conv_value"),
         )
         .where(F.col("texts") > 0)
     )
 
 
-def _by_number(values: list, number: Column) -> Column:
-    """values[number] for a literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), number + 1)
+def _literal_table(rows: list, ddl: str) -> Column:
+    """A small constant table as one array literal (folded at planning time)."""
+    return F.from_json(F.lit(json.dumps(rows, default=str)), f"array<{ddl}>")
+
+
+# What the per-key step has to know about a registry row.
+_ROW_RULES = """struct<r: int, is_last: boolean, one_text: boolean, null_key: boolean,
+    strict: boolean, pattern: int, conversion_tag: int>"""
+
+
+def _row_rules(
+    layout: EventLayout,
+    specs: list[ExperimentSpec],
+    patterns: dict[tuple, int],
+    conversion_of: list[int],
+) -> list[dict]:
+    return [
+        {
+            "r": r,
+            "is_last": s.user_overlap == LAST,
+            "one_text": s.user_overlap == EXCLUDE,
+            "null_key": layout.allows_null_key(s),
+            "strict": layout.strict_after and s.user_overlap != LAST,
+            # Credit Both matched in the scan already
+            "pattern": -1 if s.user_overlap == BOTH else patterns[(s.exp_variant_string,)],
+            "conversion_tag": conversion_of[r],
+        }
+        for r, s in enumerate(specs)
+    ]
 
 
 def _credited_units(
@@ -258,88 +299,72 @@ def _credited_units(
     layout: EventLayout,
     specs: list[ExperimentSpec],
     tag_of: list[int],
+    conversion_of: list[int],
 ) -> DataFrame:
     """One row per (registry row, key it credits), with the exposure time that counts."""
+    patterns = _numbers(
+        (s.exp_variant_string,) for s in specs if s.user_overlap != BOTH
+    )
+    rules = _row_rules(layout, specs, patterns, conversion_of)
     rows_of_tag = [
-        F.array(*[F.lit(r) for r, t in enumerate(tag_of) if t == tag])
+        [rule for rule, t in zip(rules, tag_of) if t == tag]
         for tag in range(max(tag_of) + 1)
     ]
-    row = F.col("r")
-    policy = _by_number([s.user_overlap for s in specs], row)
-    text = F.when(policy == LAST, F.col("last.variant")).otherwise(F.col("first.variant"))
-    time = F.when(policy == LAST, F.col("last.last_time")).otherwise(
-        F.col("first.first_time")
-    )
-    credit = reduce(
-        lambda acc, item: acc.when(
-            row == item[0],
-            F.lit(True)
-            if item[1].user_overlap == BOTH
-            else F.col("text").rlike(item[1].exp_variant_string),
-        ),
-        list(enumerate(specs))[1:],
-        F.when(
-            row == 0,
-            F.lit(True)
-            if specs[0].user_overlap == BOTH
-            else F.col("text").rlike(specs[0].exp_variant_string),
-        ),
-    )
-    null_key_ok = _by_number([layout.allows_null_key(s) for s in specs], row)
+    table = _literal_table(rows_of_tag, f"array<{_ROW_RULES}>")
+    text, time = F.expr("first.variant"), F.expr("first.first_time")
+    if any(rule["is_last"] for rule in rules):
+        text = F.expr("IF(rule.is_last, last.variant, first.variant)")
+        time = F.expr("IF(rule.is_last, last.last_time, first.first_time)")
+    credit = F.expr("rule.pattern = -1")
+    for (pattern,), number in patterns.items():
+        matched = matches_variant(F.col("text"), pattern)
+        credit = credit | ((F.col("rule.pattern") == number) & matched)
     return (
-        summary.withColumn(
-            "r", F.explode(F.element_at(F.array(*rows_of_tag), F.col("tag") + 1))
-        )
-        .where(F.col("key").isNotNull() | null_key_ok)
-        .where((policy != EXCLUDE) | (F.col("texts") == 1))
+        summary.withColumn("rule", F.explode(F.element_at(table, F.col("tag") + 1)))
+        .where("(key IS NOT NULL OR rule.null_key) AND (texts = 1 OR NOT rule.one_text)")
         .withColumn("text", text)
         .where(credit)
         .select(
-            "r", "key", time.alias("exposure_time"), "conv_time", "conv_value"
+            "rule.r", "rule.strict", "rule.conversion_tag", "key",
+            time.alias("exposure_time"), "conv_time", "conv_value",
         )
     )
 
 
-def _follows(layout: EventLayout, specs: list[ExperimentSpec]) -> Column:
+def _follows() -> Column:
     """Does the conversion count for this exposure?"""
-    conv, exposure = F.col("conv_time"), F.col("exposure_time")
-    strict = [layout.strict_after and s.user_overlap != LAST for s in specs]
-    if not any(strict):
-        return conv >= exposure
-    return (conv > exposure) | ((conv == exposure) & ~_by_number(strict, F.col("r")))
+    return F.expr(
+        "conv_time > exposure_time OR (conv_time = exposure_time AND NOT strict)"
+    )
 
 
 # ---------------------------------------------------------------- the two modes
-def _once_stats(
+def _once_parts(
     events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
 ) -> DataFrame:
+    """Rows (r, unit, conv_count, conv_value) whose sums are the results."""
     signatures = [
         (_exposure_signature(layout, s), _conversion_signature(s)) for s in specs
     ]
     numbers = _numbers(signatures)
     tag_of = [numbers[s] for s in signatures]
-    tags: list[_Tag] = []
-    for number in numbers.values():
-        spec = specs[tag_of.index(number)]
-        tags += [
-            _exposure_tag(layout, spec, number),
-            _conversion_tag(layout, spec, number),
-        ]
-    summary = _key_summary(_tag_rows(events, layout, tags, specs))
-    value = F.when(_follows(layout, specs), F.col("conv_value"))
-    return (
-        _credited_units(summary, layout, specs, tag_of)
-        .groupBy("r")
-        .agg(
-            F.count("*").alias("user_count"),
-            F.sum(F.when(_follows(layout, specs), F.lit(1))).alias("conversion_count"),
-            F.sum(value).alias("total_conversion_value"),
-            F.sum(value * value).alias("total_conversion_sq_value"),
-        )
+    tags = [
+        make(layout, specs[tag_of.index(n)], n, specs)
+        for n in numbers.values()
+        for make in (_exposure_tag, _conversion_tag)
+    ]
+    tagged = _tag_rows(events, layout, tags, specs)
+    summary = _key_summary(tagged, {s.user_overlap for s in specs})
+    counted = _follows()
+    return _credited_units(summary, layout, specs, tag_of, tag_of).select(
+        "r",
+        F.lit(1).alias("unit"),
+        F.when(counted, F.lit(1)).alias("conv_count"),
+        F.when(counted, F.col("conv_value")).alias("conv_value"),
     )
 
 
-def _count_all_stats(
+def _count_all_parts(
     events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
 ) -> DataFrame:
     exposure_signatures = [_exposure_signature(layout, s) for s in specs]
@@ -350,61 +375,58 @@ def _count_all_stats(
     conversion_of = [conversion_numbers[s] for s in conversion_signatures]
 
     exposure_tags = [
-        _exposure_tag(layout, specs[tag_of.index(n)], n)
+        _exposure_tag(layout, specs[tag_of.index(n)], n, specs)
         for n in exposure_numbers.values()
     ]
     conversion_tags = [
-        _conversion_tag(layout, specs[conversion_of.index(n)], n)
+        _conversion_tag(layout, specs[conversion_of.index(n)], n, specs)
         for n in conversion_numbers.values()
     ]
-    summary = _key_summary(_tag_rows(events, layout, exposure_tags, specs))
-    # Both uses of the units read the same exchange.
-    units = _credited_units(summary, layout, specs, tag_of).select(
-        "r",
-        _by_number(conversion_of, F.col("r")).alias("tag"),
-        "key",
-        "exposure_time",
+    summary = _key_summary(
+        _tag_rows(events, layout, exposure_tags, specs), {s.user_overlap for s in specs}
+    )
+    units = _credited_units(summary, layout, specs, tag_of, conversion_of).select(
+        "r", "strict", "conversion_tag", F.col("key").alias("unit_key"), "exposure_time"
     )
     conversion_rows = _tag_rows(events, layout, conversion_tags, specs).select(
         "tag", "key", F.col("time").alias("conv_time"), F.col("value").alias("conv_value")
     )
-    joined = units.join(conversion_rows, ["tag", "key"]).where(_follows(layout, specs))
-    sums = joined.groupBy("r").agg(
-        F.count("*").alias("conversion_count"),
-        F.sum("conv_value").alias("total_conversion_value"),
-        F.sum(F.col("conv_value") * F.col("conv_value")).alias("total_conversion_sq_value"),
+    # Conversions have no NULL keys, so the null-safe test equals the plain one. It keeps
+    # a NULL-key filter from being pushed into this use of the units only, which would
+    # make them a different plan from the other use: both share one exchange.
+    same_key = F.expr("conversion_tag = tag AND unit_key <=> key")
+    joined = units.join(conversion_rows, same_key).where(_follows())
+    return units.select("r", F.lit(1).alias("unit")).unionByName(
+        joined.select("r", F.lit(1).alias("conv_count"), "conv_value"),
+        allowMissingColumns=True,
     )
-    users = units.groupBy("r").agg(F.count("*").alias("user_count"))
-    return users.join(sums, "r", "left")
 
 
 def _chunks(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def _with_registry_columns(
-    stats: DataFrame, specs: list[ExperimentSpec]
-) -> DataFrame:
-    """Results rows, also for registry rows without a single unit."""
-    spark = stats.sparkSession
-    rows = spark.createDataFrame(
-        [
-            (
-                i, s.id, s.variant, s.variant_name, s.conversion_event, s.scope,
-                s.user_overlap, s.date_start, s.date_end,
-            )
-            for i, s in enumerate(specs)
-        ],
-        "r INT, id STRING, variant STRING, variant_name STRING, conversion_event STRING, "
-        "scope STRING, user_overlap STRING, date_start DATE, date_end DATE",
+def _sum_up(parts: DataFrame, specs: list[ExperimentSpec]) -> DataFrame:
+    """Results rows of one chunk. Every registry row enters the sum once with nothing, so
+    that a row without a single unit reports 0 users."""
+    all_rows = parts.sparkSession.range(len(specs)).selectExpr("CAST(id AS INT) AS r")
+    sums = (
+        parts.unionByName(all_rows, allowMissingColumns=True)
+        .groupBy("r")
+        .agg(
+            F.count("unit").alias("user_count"),
+            F.sum("conv_count").alias("conversion_count"),
+            F.sum("conv_value").alias("total_conversion_value"),
+            F.expr("sum(conv_value * conv_value)").alias("total_conversion_sq_value"),
+        )
     )
-    return rows.join(stats, "r", "left").select(
-        *[
-            F.coalesce(F.col(f.name), F.lit(0)).cast(f.dataType).alias(f.name)
-            if f.name == "user_count"
-            else F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in RESULTS.fields
-        ]
+    described = [f for f in RESULTS.fields if f.name not in sums.columns]
+    table = _literal_table(
+        [{f.name: getattr(s, f.name) for f in described} for s in specs],
+        StructType(described).simpleString(),
+    )
+    return sums.withColumn("row", F.element_at(table, F.col("r") + 1)).select(
+        *[f.name if f.name in sums.columns else f"row.{f.name}" for f in RESULTS.fields]
     )
 
 
@@ -413,14 +435,14 @@ def analyze_specs(
 ) -> DataFrame:
     """Results of the given registry rows; rows that cannot run are left out."""
     runnable = [s for s in specs if not skip_reasons(layout, s)]
-    parts = []
-    for build, wanted in ((_once_stats, False), (_count_all_stats, True)):
+    results = []
+    for build, wanted in ((_once_parts, False), (_count_all_parts, True)):
         mode = [s for s in runnable if s.count_all is wanted]
         for chunk in _chunks(mode, ROWS_PER_PLAN):
-            parts.append(_with_registry_columns(build(events, layout, chunk), chunk))
-    if not parts:
+            results.append(_sum_up(build(events, layout, chunk), chunk))
+    if not results:
         return events.sparkSession.createDataFrame([], RESULTS)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, results)
 
 
 def analyze(
@@ -481,8 +503,3 @@ def analyze_one(
     joined = post_exposure_join(units, conversions(events, layout, spec), strict)
     return sufficient_stats(units, joined)
 
-
-__all__ = [
-    "analyze", "analyze_all", "analyze_one", "analyze_specs", "conversion_predicate",
-    "exposure_predicate", "skip_reasons", "skipped_rows",
-]

@@ -8,8 +8,10 @@ everything after the scan is layout-independent.
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from abspark.functions.scalars import (
     field_type,
     first_with_key,
     full_trim,
-    json_scalar,
+    json_path,
     normalize_path,
     param_text,
+    scalar_only,
     text_of,
     to_double,
 )
@@ -44,6 +47,37 @@ from abspark.spec import (
 PROPERTY_EXPERIMENT = r"^firebase_exp_\d+$"
 
 
+class LookupStage:
+    """Lookups that several expressions of a plan share. Each becomes one column, read
+    only on the events it is needed on."""
+
+    def __init__(self, event_column: str):
+        self.event_column = event_column
+        self._built: dict[tuple, Column] = {}
+        self._events: dict[tuple, set[str | None]] = {}
+        self._current: str | None = None
+
+    def on_event(self, event: str | None) -> None:
+        """Event the expressions asked for next belong to; None: any event."""
+        self._current = event
+
+    def column(self, name: tuple, build: Callable[[], Column]) -> Column:
+        if name not in self._built:
+            self._built[name] = build()
+        self._events.setdefault(name, set()).add(self._current)
+        return F.col(f"lookup_{list(self._built).index(name)}")
+
+    def columns(self) -> dict[str, Column]:
+        found = {}
+        for i, (name, expression) in enumerate(self._built.items()):
+            events = self._events[name]
+            if None not in events:
+                here = F.col(self.event_column).isin(*sorted(events))
+                expression = F.when(here, expression)
+            found[f"lookup_{i}"] = expression
+        return found
+
+
 class EventLayout:
     """Expressions shared by all layouts."""
 
@@ -61,6 +95,37 @@ class EventLayout:
 
     def __init__(self, schema: StructType):
         self.schema = schema
+        self._stage: LookupStage | None = None
+
+    # -- lookups: a JSON path or an array search, needed several times per row
+    def staged(self, stage: LookupStage) -> EventLayout:
+        """A copy that takes its lookups from the columns of a stage."""
+        twin = copy.copy(self)
+        twin._stage = stage
+        return twin
+
+    def lookup(self, name: tuple, build: Callable[[], Column]) -> Column:
+        return build() if self._stage is None else self._stage.column(name, build)
+
+    def parameter(self, column: str, key: str) -> Column:
+        """Value struct of the first parameter with that key."""
+        return self.lookup(
+            ("parameter", column, key),
+            lambda: first_with_key(F.col(column), key)["value"],
+        )
+
+    def parameter_text(self, column: str, key: str) -> Column:
+        return self.lookup(
+            ("text", column, key),
+            lambda: param_text(first_with_key(F.col(column), key)["value"]),
+        )
+
+    def scalar(self, bag: str, path: str) -> Column:
+        """Scalar at a dotted path of a JSON bag."""
+        raw = self.lookup(
+            ("json", bag, path), lambda: F.get_json_object(F.col(bag), json_path(path))
+        )
+        return scalar_only(raw, F.col(bag), path)
 
     # -- scan
     def event_time(self) -> Column:
@@ -94,8 +159,8 @@ class EventLayout:
     def has_device(self) -> Column:
         return F.col(self.device_column).isNotNull()
 
-    def identity_predicate(self, spec: ExperimentSpec) -> Column:
-        """Rows that can be attributed to a unit at all."""
+    def identity_predicate(self, spec: ExperimentSpec) -> Column | None:
+        """Rows that can be attributed to a unit at all; None: every row."""
         if spec.identity == USER_ID_ONLY:
             return self.has_user()
         if spec.identity == USER_ID_OR_DEVICE_ID:
@@ -173,10 +238,8 @@ class NestedLayout(EventLayout):
         )
 
     def session_key(self) -> Column:
-        session = first_with_key(F.col("event_params"), "ga_session_id")
-        return F.concat(
-            F.col(self.device_column), session["value"]["int_value"].cast("string")
-        )
+        session = self.parameter("event_params", "ga_session_id")
+        return F.concat(F.col(self.device_column), session["int_value"].cast("string"))
 
     def by_property(self, spec: ExperimentSpec) -> bool:
         return bool(re.search(PROPERTY_EXPERIMENT, spec.experiment_event_name or ""))
@@ -197,9 +260,9 @@ class NestedLayout(EventLayout):
 
     def raw_variant(self, spec) -> Column:
         key = self.variant_key(spec)
-        event_value = first_with_key(F.col("event_params"), key)["value"]
         return F.coalesce(
-            event_value["string_value"], param_text(F.col("user_properties"), key)
+            self.parameter("event_params", key)["string_value"],
+            self.parameter_text("user_properties", key),
         )
 
     def value(self, spec) -> Column:
@@ -208,7 +271,7 @@ class NestedLayout(EventLayout):
             return F.lit(None).cast("double")
         if name.lower().startswith("ecommerce."):
             return _lenient_double(F.col(name), field_type(self.schema, name))
-        v = first_with_key(F.col("event_params"), name)["value"]
+        v = self.parameter("event_params", name)
         return F.coalesce(
             v["int_value"].cast("double"),
             v["float_value"].cast("double"),
@@ -217,11 +280,11 @@ class NestedLayout(EventLayout):
 
     def filter_match(self, f) -> Column | None:
         if f.filter_scope == "Event":
-            return param_text(F.col("event_params"), f.filter_field).rlike(f.filter_value)
+            found = self.parameter_text("event_params", f.filter_field)
+            return found.rlike(f.filter_value)
         if f.filter_scope == "User":
-            return param_text(F.col("user_properties"), f.filter_field).rlike(
-                f.filter_value
-            )
+            found = self.parameter_text("user_properties", f.filter_field)
+            return found.rlike(f.filter_value)
         if (f.filter_scope or "").upper() != "COLUMN":
             return None
         path = re.sub(r"\s+", ".", normalize_path(f.filter_field.strip()))
@@ -273,9 +336,9 @@ class FlatLayout(EventLayout):
             F.col(self.device_column), F.col("event_params.ga_session_id").cast("string")
         )
 
-    def identity_predicate(self, spec) -> Column:
+    def identity_predicate(self, spec) -> Column | None:
         """The scan takes every row; only the user-id rule guards both sides."""
-        return self.has_user() if spec.identity == USER_ID_ONLY else F.lit(True)
+        return self.has_user() if spec.identity == USER_ID_ONLY else None
 
     def parameter_path(self, name: str) -> str:
         return name if "." in name else f"event_params.{name}"
@@ -335,16 +398,16 @@ class TwoBagLayout(EventLayout):
         key = normalize_path(spec.experiment_variant_parameter or "")
         if not key.strip():
             return F.lit(None).cast("string")
-        return F.coalesce(*[json_scalar(F.col(bag), key) for bag in self.bags()])
+        return F.coalesce(*[self.scalar(bag, key) for bag in self.bags()])
 
     def value(self, spec) -> Column:
         name = normalize_path((spec.experiment_event_value_parameter or "").strip())
         if not name:
             return F.lit(None).cast("double")
-        return to_double(json_scalar(F.col(self.event_bag), name))
+        return to_double(self.scalar(self.event_bag, name))
 
     def bag_match(self, bag: str, path: str, pattern: str) -> Column:
-        return F.coalesce(json_scalar(F.col(bag), path), F.lit("")).rlike(pattern)
+        return F.coalesce(self.scalar(bag, path), F.lit("")).rlike(pattern)
 
     def filter_match(self, f) -> Column | None:
         path = normalize_path((f.filter_field or "").strip())
@@ -381,14 +444,14 @@ class OneBagLayout(TwoBagLayout):
 
     def any_user(self) -> Column:
         """User id column, else one of two properties; blanks are kept as they are."""
-        bag = F.col(self.event_bag)
+        bag = self.event_bag
         return F.coalesce(
-            F.col("user_id"), json_scalar(bag, "user_id"), json_scalar(bag, "$user_id")
+            F.col("user_id"), self.scalar(bag, "user_id"), self.scalar(bag, "$user_id")
         )
 
     def any_session(self) -> Column:
-        bag = F.col(self.event_bag)
-        return F.coalesce(json_scalar(bag, "session_id"), json_scalar(bag, "$session_id"))
+        bag = self.event_bag
+        return F.coalesce(self.scalar(bag, "session_id"), self.scalar(bag, "$session_id"))
 
     def session_key(self) -> Column:
         return F.concat(
