@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+import re
 
-EXPERIMENTS = StructType.fromDDL(
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+_TYPES: dict[str, DataType] = {
+    "STRING": StringType(),
+    "DATE": DateType(),
+    "BOOLEAN": BooleanType(),
+    "BIGINT": LongType(),
+    "DOUBLE": DoubleType(),
+    "TIMESTAMP": TimestampType(),
+    "MONEY": DecimalType(38, 9),
+}
+
+
+def columns(text: str) -> StructType:
+    """Schema from 'name TYPE, ...'; needs no running session."""
+    pairs = re.findall(r"(\w+)\s+(\w+)", text)
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+EXPERIMENTS = columns(
     """
     id STRING, variant STRING, date_start DATE, date_end DATE, date_comparison BOOLEAN,
     experiment_name STRING, variant_name STRING, conversion_event STRING,
@@ -20,11 +50,11 @@ EXPERIMENTS = StructType.fromDDL(
 # The staged form carries the export mode before the tool columns.
 EXPERIMENTS_STAGE = StructType(
     EXPERIMENTS.fields[:21]
-    + StructType.fromDDL("export_mode STRING").fields
+    + columns("export_mode STRING").fields
     + EXPERIMENTS.fields[21:]
 )
 
-FILTERS = StructType.fromDDL(
+FILTERS = columns(
     """
     id STRING, variant STRING, enabled BOOLEAN, filter_type STRING,
     filter_on_value STRING, filter_scope STRING, filter_field STRING,
@@ -32,10 +62,10 @@ FILTERS = StructType.fromDDL(
     """
 )
 
-LINKS = StructType.fromDDL("id STRING, link STRING")
-IMAGES = StructType.fromDDL("id STRING, variant STRING, image_url STRING")
+LINKS = columns("id STRING, link STRING")
+IMAGES = columns("id STRING, variant STRING, image_url STRING")
 
-RESULTS = StructType.fromDDL(
+RESULTS = columns(
     """
     id STRING, variant STRING, variant_name STRING, conversion_event STRING,
     scope STRING, user_overlap STRING, date_start DATE, date_end DATE,
@@ -44,7 +74,7 @@ RESULTS = StructType.fromDDL(
     """
 )
 
-REPORT = StructType.fromDDL(
+REPORT = columns(
     """
     id STRING, date_start DATE, date_end DATE, experiment_name STRING,
     conversion_event STRING, scope STRING, identity_source STRING, hypothesis STRING,
@@ -58,11 +88,11 @@ REPORT = StructType.fromDDL(
     """
 )
 
-JOB_LOG = StructType.fromDDL("id STRING, job_id STRING, bytes_billed BIGINT")
+JOB_LOG = columns("id STRING, job_id STRING, bytes_billed BIGINT")
 
-QUERY_INFORMATION = StructType.fromDDL(
+QUERY_INFORMATION = columns(
     """
     id STRING, execution_time TIMESTAMP, job_ids STRING, total_bytes_billed BIGINT,
-    estimated_cost_usd DECIMAL(38,9)
+    estimated_cost_usd MONEY
     """
 )
