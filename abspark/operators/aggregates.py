@@ -168,7 +168,7 @@ def query_cost_rollup(job_log: DataFrame, price: DataFrame) -> DataFrame:
 def plan_summary(blocks: DataFrame) -> DataFrame:
     """How many experiments a run analyses, updates or only syncs, and the date span of
     those it analyses. ``blocks`` has one row per experiment."""
-    choice = F.lower(F.trim(F.coalesce(F.col("analyze"), F.lit(""))))
+    choice = F.lower(F.trim(F.coalesce(F.col("analyze_choice"), F.lit(""))))
     yes, update = choice == "yes", choice == "update"
     other_start = F.when(F.col("date_comparison"), F.col("date_start_b"))
     other_end = F.when(F.col("date_comparison"), F.col("date_end_b"))

@@ -2,7 +2,7 @@
 
 A *block* is one row per experiment with ``_a`` and ``_b`` fields:
 
-    id, experiment_name, analyze, event_value_test, hypothesis, confidence, description,
+    id, experiment_name, analyze_choice, event_value_test, hypothesis, confidence, description,
     scope, identity_source, user_overlap, variant_settings, conversion_count_all,
     date_comparison, date_start_a/_b, date_end_a/_b, variant_name_a/_b,
     conversion_event_a/_b, exp_variant_string_a/_b, experiment_event_name_a/_b,
@@ -171,7 +171,7 @@ def with_missing(blocks: DataFrame) -> DataFrame:
         needs("conversion_event_a"),
         needs("conversion_event_b", different),
     ]
-    only_status = export_mode(F.col("analyze")) == STATUS_ONLY
+    only_status = export_mode(F.col("analyze_choice")) == STATUS_ONLY
     return blocks.withColumn(
         "missing",
         F.when(only_status, F.array_compact(F.array(id_missing))).otherwise(
@@ -191,8 +191,8 @@ def expand_blocks(blocks: DataFrame) -> DataFrame:
     """Complete blocks to staged registry rows, A and B. Rows that are only synced
     carry id, variant, mode and a cleared ``analyze_test``."""
     ready = inherit_from_a(compare_dates(blocks))
-    mode = export_mode(F.col("analyze"))
-    says_yes = F.lower(full_trim(F.col("analyze"))) == "yes"
+    mode = export_mode(F.col("analyze_choice"))
+    says_yes = F.lower(full_trim(F.col("analyze_choice"))) == "yes"
     shared = {
         "id": normalize_id(F.col("id")),
         "export_mode": mode,
@@ -235,7 +235,7 @@ def expand_blocks(blocks: DataFrame) -> DataFrame:
 def active_ids(blocks: DataFrame) -> DataFrame:
     """C14: padded ids marked Yes."""
     return (
-        blocks.where(full_trim(F.col("analyze")) == "Yes")
+        blocks.where(full_trim(F.col("analyze_choice")) == "Yes")
         .select(normalize_id(F.col("id")).alias("id"))
         .where(F.col("id") != "")
         .distinct()
@@ -290,7 +290,7 @@ def merge_filters(blocks: DataFrame, advanced: DataFrame) -> DataFrame:
     name = full_trim(F.coalesce(F.col("experiment_name"), F.lit("")))
     ident = normalize_id(F.col("id"))
     active = (
-        blocks.where((full_trim(F.col("analyze")) == "Yes") & _filtering_on())
+        blocks.where((full_trim(F.col("analyze_choice")) == "Yes") & _filtering_on())
         .withColumn("filter_id", F.coalesce(blank_to_null(ident), name))
         .where(F.col("filter_id") != "")
     )
@@ -349,7 +349,7 @@ def split_lines(cell: Column) -> Column:
 
 
 def _with_media(blocks: DataFrame) -> DataFrame:
-    mode = full_trim(F.col("analyze"))
+    mode = full_trim(F.col("analyze_choice"))
     return blocks.where(mode.isin("Yes", "Update") & _filled(F.col("id"))).withColumn(
         "id", normalize_id(F.col("id"))
     )

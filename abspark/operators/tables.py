@@ -21,6 +21,13 @@ def load_registry(spark: SparkSession, path: str, schema=EXPERIMENTS_STAGE) -> D
     return spark.read.schema(schema).csv(path, multiLine=True, escape='"')
 
 
+def write_stage(stage: DataFrame, path: str) -> None:
+    """Staged rows as CSV, blanks kept as they are."""
+    stage.write.csv(
+        path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
 def unique_by_id(source: DataFrame, key: str = "id") -> DataFrame:
     """The source, failing when it has two rows for one key, as a merge would."""
     other = [c for c in source.columns if c != key]
