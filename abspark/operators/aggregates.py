@@ -107,9 +107,16 @@ def pivot_ab(joined: DataFrame) -> DataFrame:
     )
 
 
-def value_moments(ab: DataFrame) -> DataFrame:
-    """Mean and sample variance of the value over conversions, per variant; only where
-    the value test is on and both variants have conversions."""
+def has_value_test() -> Column:
+    """Value test on, and conversions on both sides."""
+    return (
+        F.col("event_value_test") & (F.col("conversion_a") > 0) & (F.col("conversion_b") > 0)
+    )
+
+
+def with_moments(ab: DataFrame) -> DataFrame:
+    """G4 as columns beside the pivoted row: mean and sample variance of the value over
+    conversions. A variant without conversions has neither."""
 
     def mean(v: str) -> Column:
         return safe_divide(F.col(f"total_conversion_value_{v}"), F.col(f"conversion_{v}"))
@@ -120,13 +127,20 @@ def value_moments(ab: DataFrame) -> DataFrame:
         squares = F.col(f"total_conversion_sq_value_{v}").cast("double")
         return safe_divide(squares - safe_divide(total * total, n), n - 1)
 
-    return ab.where(
-        F.col("event_value_test") & (F.col("conversion_a") > 0) & (F.col("conversion_b") > 0)
-    ).select(
+    return ab.withColumns(
+        {
+            **{f"mean_value_{v}": mean(v) for v in "ab"},
+            **{f"var_value_{v}": variance(v) for v in "ab"},
+        }
+    )
+
+
+def value_moments(ab: DataFrame) -> DataFrame:
+    """The moments of the experiments a value test fits."""
+    return with_moments(ab).where(has_value_test()).select(
         "id", "hypothesis", "confidence_level",
-        *[F.col(f"conversion_{v}").alias(f"n_{v}_value") for v in "ab"],
-        *[mean(v).alias(f"mean_value_{v}") for v in "ab"],
-        *[variance(v).alias(f"var_value_{v}") for v in "ab"],
+        F.col("conversion_a").alias("n_a_value"), F.col("conversion_b").alias("n_b_value"),
+        "mean_value_a", "mean_value_b", "var_value_a", "var_value_b",
     )
 
 

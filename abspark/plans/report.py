@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abspark.functions import stats
-from abspark.operators.aggregates import pivot_ab, results_to_registry, value_moments
+from abspark.operators.aggregates import (
+    has_value_test,
+    pivot_ab,
+    results_to_registry,
+    with_moments,
+)
 from abspark.plans.analyze import analyze_all
 from abspark.schemas import REPORT
 
@@ -82,15 +87,18 @@ def test_rates(ab: DataFrame) -> DataFrame:
     return ab.withColumn("rate", F.when(valid_for_rates(), result))
 
 
+def _welch(n_a: str, n_b: str) -> Column:
+    return stats.ab_count_welch(
+        _bigint(n_a), F.col("mean_value_a"), F.col("var_value_a"),
+        _bigint(n_b), F.col("mean_value_b"), F.col("var_value_b"),
+        _double("confidence_level"), F.col("hypothesis"),
+    )
+
+
 def test_values(moments: DataFrame) -> DataFrame:
     """Welch test on the rows of ``value_moments``."""
     stats.register(moments.sparkSession)
-    result = stats.ab_count_welch(
-        _bigint("n_a_value"), F.col("mean_value_a"), F.col("var_value_a"),
-        _bigint("n_b_value"), F.col("mean_value_b"), F.col("var_value_b"),
-        _double("confidence_level"), F.col("hypothesis"),
-    )
-    return moments.select("id", result.alias("welch"))
+    return moments.select("id", _welch("n_a_value", "n_b_value").alias("welch"))
 
 
 def attach_stats(ab: DataFrame) -> DataFrame:
@@ -107,7 +115,8 @@ def attach_stats(ab: DataFrame) -> DataFrame:
 
 
 def attach_value_test(conv: DataFrame, values: DataFrame) -> DataFrame:
-    """Value-test columns by id; without a text the row reads 'Not tested'."""
+    """Value-test columns of another frame by id; without a text the row reads 'Not
+    tested'."""
     flat = values.select(
         "id", *[F.col(f"welch.{name}").alias(out) for name, out in _WELCH_FIELDS.items()]
     )
@@ -116,11 +125,22 @@ def attach_value_test(conv: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+def with_value_test(ab: DataFrame) -> DataFrame:
+    """J5 where moments and row come from the same frame: the test is a column, so the
+    events behind the frame are not read a second time for a join with itself."""
+    stats.register(ab.sparkSession)
+    welch = F.when(has_value_test(), _welch("conversion_a", "conversion_b"))
+    tested = with_moments(ab).withColumn("welch", welch)
+    columns = {out: F.col(f"welch.{name}") for name, out in _WELCH_FIELDS.items()}
+    columns["value_details"] = F.coalesce(columns["value_details"], F.lit(NOT_TESTED))
+    return tested.select(*ab.columns, *[c.alias(out) for out, c in columns.items()])
+
+
 def build_report(ab: DataFrame, run_date: dt.date) -> DataFrame:
     """The 30 report columns for every pivoted experiment."""
-    conv = attach_stats(ab)
-    full = attach_value_test(conv, test_values(value_moments(ab)))
-    full = full.withColumn("date_last_analyzed", F.lit(run_date))
+    full = attach_stats(with_value_test(ab)).withColumn(
+        "date_last_analyzed", F.lit(run_date)
+    )
     return full.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT.fields]
     )
