@@ -16,9 +16,10 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# Texts a lenient cast to double accepts.
-NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-SPECIAL_NUMBER_TEXT = r"^\s*([+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+# Fixed value: texts a lenient cast to double accepts.
+NUMBER_TEXT = (
+    r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+)
 # Byte units.
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
@@ -54,10 +55,7 @@ def blank_to_null(c: Column) -> Column:
 
 def to_double(text: Column) -> Column:
     """Text to double; anything that is not a plain number (like '1.0d') is NULL."""
-    return F.when(
-        text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_NUMBER_TEXT),
-        text.try_cast("double"),
-    )
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def float_text(x: Column) -> Column:
@@ -124,7 +122,7 @@ def scalar_only(found: Column, bag: Column, path: str) -> Column:
     typed look at the bag, but only for such texts."""
     steps = ["[\"" + p.replace("\\", "\\\\").replace('"', '\\"') + "\"]" for p in path.split(".")]
     node = F.try_variant_get(F.try_parse_json(bag), "$" + "".join(steps), "variant")
-    looks_nested = found.startswith("{") | found.startswith("[")
+    looks_nested = F.left(found, F.lit(1)).isin("{", "[")
     return F.when(
         looks_nested, F.when(F.schema_of_variant(node) == "STRING", found)
     ).otherwise(found)

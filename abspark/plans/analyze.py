@@ -120,120 +120,140 @@ def _conversion_signature(spec: ExperimentSpec) -> tuple:
 
 @dataclass(frozen=True)
 class _Tag:
-    """One kind of row to pick from the scan: the event it needs (None: any), and how to
-    pick it (NULL where the event does not qualify)."""
+    """One kind of row to pick from the scan: exposures or conversions as a registry row
+    (and all rows of equal signature) asks for them."""
 
-    event: str | None
-    pick: Callable[[EventLayout], Column]
+    number: int
+    spec: ExperimentSpec
+    side: str
+
+    @property
+    def code(self) -> int:
+        """Number and side in one integer."""
+        return 2 * self.number + (self.side == CONVERSION_SIDE)
 
 
 def _numbers(signatures: Iterable[tuple]) -> dict[tuple, int]:
     return {s: i for i, s in enumerate(dict.fromkeys(signatures))}
 
 
+class _SharedColumns:
+    """Columns several tags use: keys, variant texts and values, one per signature."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, Column] = {}
+        self._names: dict[tuple, str] = {}
+
+    def name(self, signature: tuple, build: Callable[[], Column]) -> str:
+        # Built anew for every tag: the lookups behind it are noted per event.
+        column = build()
+        name = self._names.setdefault(signature, f"{signature[0]}_{len(self._names)}")
+        self.columns.setdefault(name, column)
+        return name
+
+
+def _chosen(codes_of: dict[str, list[int]], dtype: str, out: str) -> str:
+    """SQL of the column that the code of a row selects."""
+    if not codes_of:
+        return f"CAST(NULL AS {dtype}) AS {out}"
+    cases = " ".join(
+        f"WHEN code IN ({', '.join(map(str, codes))}) THEN {name}"
+        for name, codes in codes_of.items()
+    )
+    return f"CASE {cases} END AS {out}"
+
+
 def _tag_rows(
     events: DataFrame, layout: EventLayout, tags: list[_Tag], specs: list[ExperimentSpec]
 ) -> DataFrame:
-    """One output row per (event, tag it satisfies), with the tag's fields. Event names
-    and the overall day span come first as plain filters, so they reach the files."""
-    span = (min(s.date_start for s in specs), max(s.date_end for s in specs))
-    wanted = layout.in_window(*span)
-    names = sorted({t.event for t in tags if t.event is not None})
-    if all(t.event is not None for t in tags):
-        wanted = wanted & F.col(layout.event_column).isin(*names)
+    """One output row per (event, tag it satisfies).
 
+    Event names and the overall day span come first as plain filters, so they reach the
+    files. Keys, texts and values are columns computed once; what is blown up is only an
+    array of tag codes, which keeps the generated code small enough to be compiled to
+    machine code even for a plan full of experiments."""
+    span = (min(s.date_start for s in specs), max(s.date_end for s in specs))
+    one_window = len({(s.date_start, s.date_end) for s in specs}) == 1
     stage = LookupStage(layout.event_column)
     staged = layout.staged(stage)
-    picks = {}
+    shared = _SharedColumns()
+    keys: dict[str, list[int]] = {}
+    texts: dict[str, list[int]] = {}
+    values: dict[str, list[int]] = {}
+    event_of: dict[int, str | None] = {}
+    predicate_of: dict[int, Column] = {}
+
     for tag in tags:
-        stage.on_event(tag.event)
-        picks[tag] = tag.pick(staged)
-    anywhere = [picks[t] for t in tags if t.event is None]
-    rows = None
+        spec, code = tag.spec, tag.code
+        exposure = tag.side == EXPOSURE_SIDE
+        event = layout.exposure_event(spec) if exposure else spec.conversion_event
+        event_of[code] = event
+        stage.on_event(event)
+        key = shared.name(
+            ("key", spec.by_user, spec.identity),
+            lambda spec=spec: staged.grouping_key(spec).cast("string"),
+        )
+        keys.setdefault(key, []).append(code)
+        parts = [
+            None if one_window else layout.in_window(spec.date_start, spec.date_end),
+            staged.identity_predicate(spec),
+            *filter_predicates(staged, spec, tag.side),
+        ]
+        if exposure:
+            both = spec.user_overlap == BOTH
+            text = shared.name(
+                ("text", event is None and spec.experiment_event_name,
+                 spec.experiment_variant_parameter, both),
+                lambda spec=spec: staged.exposure_text(spec),
+            )
+            if both:
+                parts.append(matches_variant(F.col(text), spec.exp_variant_string))
+                texts.setdefault("''", []).append(code)
+            else:
+                parts.append(F.col(text).isNotNull())
+                texts.setdefault(text, []).append(code)
+            if event is None:
+                parts.append(staged.exposure_guard(spec))
+        else:
+            value = shared.name(
+                ("value", (spec.experiment_event_value_parameter or "").strip()),
+                lambda spec=spec: staged.value(spec),
+            )
+            values.setdefault(value, []).append(code)
+            parts.append(F.col(key).isNotNull())  # a NULL key never meets an exposure
+        predicate_of[code] = all_of(parts)
+
+    names = sorted({event for event in event_of.values() if event is not None})
+    wanted = layout.in_window(*span)
+    anywhere = [c for c, event in event_of.items() if event is None]
+    if not anywhere:
+        wanted = wanted & F.col(layout.event_column).isin(*names)
+    picks = {c: F.when(p, F.lit(c)) for c, p in predicate_of.items()}
+    codes = None
     for name in names:
-        here = F.array(*[picks[t] for t in tags if t.event in (name, None)])
+        here = F.array(*[picks[c] for c, event in event_of.items() if event in (name, None)])
         on_name = layout.event_is(name)
-        rows = F.when(on_name, here) if rows is None else rows.when(on_name, here)
+        codes = F.when(on_name, here) if codes is None else codes.when(on_name, here)
     if anywhere:
-        rest = F.array(*anywhere)
-        rows = rest if rows is None else rows.otherwise(rest)
-    return (
-        events.where(wanted)
-        .withColumns(stage.columns())
-        .select(F.explode(rows).alias("row"))
-        .where(F.col("row").isNotNull())
-        .select("row.*")
+        rest = F.array(*[picks[c] for c in anywhere])
+        codes = rest if codes is None else codes.otherwise(rest)
+    rows = events.where(wanted).withColumn(
+        "row_time", layout.event_time().cast("timestamp")
     )
-
-
-def _own_window(
-    layout: EventLayout, spec: ExperimentSpec, specs: list[ExperimentSpec]
-) -> Column | None:
-    """Day window of a row, unless every row of the plan has the same one."""
-    if len({(s.date_start, s.date_end) for s in specs}) == 1:
-        return None
-    return layout.in_window(spec.date_start, spec.date_end)
-
-
-def _exposure_tag(
-    layout: EventLayout, spec: ExperimentSpec, number: int, specs: list[ExperimentSpec]
-) -> _Tag:
-    event = layout.exposure_event(spec)
-
-    def pick(staged: EventLayout) -> Column:
-        text = staged.exposure_text(spec)
-        usable = text.isNotNull()
-        if spec.user_overlap == BOTH:
-            usable = matches_variant(text, spec.exp_variant_string)
-            text = F.lit("")
-        predicate = all_of(
-            [
-                _own_window(staged, spec, specs),
-                staged.identity_predicate(spec),
-                *filter_predicates(staged, spec, EXPOSURE_SIDE),
-                staged.exposure_guard(spec) if event is None else None,
-                usable,
-            ]
-        )
-        return F.when(
-            predicate,
-            F.struct(
-                F.lit(number).alias("tag"),
-                staged.grouping_key(spec).alias("key"),
-                text.alias("variant"),
-                staged.event_time().alias("time"),
-                F.expr("CAST(NULL AS DOUBLE) AS value"),
-            ),
-        )
-
-    return _Tag(event, pick)
-
-
-def _conversion_tag(
-    layout: EventLayout, spec: ExperimentSpec, number: int, specs: list[ExperimentSpec]
-) -> _Tag:
-    def pick(staged: EventLayout) -> Column:
-        key = staged.grouping_key(spec)
-        predicate = all_of(
-            [
-                _own_window(staged, spec, specs),
-                staged.identity_predicate(spec),
-                *filter_predicates(staged, spec, CONVERSION_SIDE),
-                key.isNotNull(),  # a NULL key never meets an exposure
-            ]
-        )
-        return F.when(
-            predicate,
-            F.struct(
-                F.lit(number).alias("tag"),
-                key.alias("key"),
-                F.expr("CAST(NULL AS STRING) AS variant"),
-                staged.event_time().alias("time"),
-                staged.value(spec).alias("value"),
-            ),
+    for level in stage.levels():
+        rows = rows.withColumns(level)
+    return (
+        rows.withColumns(shared.columns)
+        .withColumn("code", F.explode(codes))
+        .where("code IS NOT NULL")
+        .selectExpr(
+            "shiftright(code, 1) AS tag",
+            _chosen(keys, "STRING", "key"),
+            _chosen(texts, "STRING", "variant"),
+            "row_time AS time",
+            _chosen(values, "DOUBLE", "value"),
         )
-
-    return _Tag(spec.conversion_event, pick)
+    )
 
 
 # ---------------------------------------------------------------- per key
@@ -349,9 +369,9 @@ def _once_parts(
     numbers = _numbers(signatures)
     tag_of = [numbers[s] for s in signatures]
     tags = [
-        make(layout, specs[tag_of.index(n)], n, specs)
+        _Tag(n, specs[tag_of.index(n)], side)
         for n in numbers.values()
-        for make in (_exposure_tag, _conversion_tag)
+        for side in (EXPOSURE_SIDE, CONVERSION_SIDE)
     ]
     tagged = _tag_rows(events, layout, tags, specs)
     summary = _key_summary(tagged, {s.user_overlap for s in specs})
@@ -375,11 +395,11 @@ def _count_all_parts(
     conversion_of = [conversion_numbers[s] for s in conversion_signatures]
 
     exposure_tags = [
-        _exposure_tag(layout, specs[tag_of.index(n)], n, specs)
+        _Tag(n, specs[tag_of.index(n)], EXPOSURE_SIDE)
         for n in exposure_numbers.values()
     ]
     conversion_tags = [
-        _conversion_tag(layout, specs[conversion_of.index(n)], n, specs)
+        _Tag(n, specs[conversion_of.index(n)], CONVERSION_SIDE)
         for n in conversion_numbers.values()
     ]
     summary = _key_summary(

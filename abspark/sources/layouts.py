@@ -49,11 +49,12 @@ PROPERTY_EXPERIMENT = r"^firebase_exp_\d+$"
 
 class LookupStage:
     """Lookups that several expressions of a plan share. Each becomes one column, read
-    only on the events it is needed on."""
+    only on the events it is needed on. A lookup may build on earlier ones, which then are
+    on a lower level."""
 
     def __init__(self, event_column: str):
         self.event_column = event_column
-        self._built: dict[tuple, Column] = {}
+        self._built: dict[tuple, tuple[str, int, Column]] = {}
         self._events: dict[tuple, set[str | None]] = {}
         self._current: str | None = None
 
@@ -61,21 +62,23 @@ class LookupStage:
         """Event the expressions asked for next belong to; None: any event."""
         self._current = event
 
-    def column(self, name: tuple, build: Callable[[], Column]) -> Column:
+    def column(self, name: tuple, build: Callable[[], Column], level: int) -> Column:
         if name not in self._built:
-            self._built[name] = build()
+            expression = build()
+            self._built[name] = (f"lookup_{len(self._built)}", level, expression)
         self._events.setdefault(name, set()).add(self._current)
-        return F.col(f"lookup_{list(self._built).index(name)}")
+        return F.col(self._built[name][0])
 
-    def columns(self) -> dict[str, Column]:
-        found = {}
-        for i, (name, expression) in enumerate(self._built.items()):
+    def levels(self) -> list[dict[str, Column]]:
+        """Columns to add, level by level."""
+        found: dict[int, dict[str, Column]] = {}
+        for name, (out, level, expression) in self._built.items():
             events = self._events[name]
-            if None not in events:
+            if level == 0 and None not in events:
                 here = F.col(self.event_column).isin(*sorted(events))
                 expression = F.when(here, expression)
-            found[f"lookup_{i}"] = expression
-        return found
+            found.setdefault(level, {})[out] = expression
+        return [found[level] for level in sorted(found)]
 
 
 class EventLayout:
@@ -104,8 +107,8 @@ class EventLayout:
         twin._stage = stage
         return twin
 
-    def lookup(self, name: tuple, build: Callable[[], Column]) -> Column:
-        return build() if self._stage is None else self._stage.column(name, build)
+    def lookup(self, name: tuple, build: Callable[[], Column], level: int = 0) -> Column:
+        return build() if self._stage is None else self._stage.column(name, build, level)
 
     def parameter(self, column: str, key: str) -> Column:
         """Value struct of the first parameter with that key."""
@@ -114,18 +117,20 @@ class EventLayout:
             lambda: first_with_key(F.col(column), key)["value"],
         )
 
+    # Each asks for what it builds on every time, so that the stage knows all events that
+    # need it.
     def parameter_text(self, column: str, key: str) -> Column:
-        return self.lookup(
-            ("text", column, key),
-            lambda: param_text(first_with_key(F.col(column), key)["value"]),
-        )
+        value = self.parameter(column, key)
+        return self.lookup(("text", column, key), lambda: param_text(value), 1)
 
     def scalar(self, bag: str, path: str) -> Column:
         """Scalar at a dotted path of a JSON bag."""
         raw = self.lookup(
             ("json", bag, path), lambda: F.get_json_object(F.col(bag), json_path(path))
         )
-        return scalar_only(raw, F.col(bag), path)
+        return self.lookup(
+            ("scalar", bag, path), lambda: scalar_only(raw, F.col(bag), path), 1
+        )
 
     # -- scan
     def event_time(self) -> Column:
