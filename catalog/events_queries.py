@@ -62,6 +62,23 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def count_cases(events, layout, cases) -> DataFrame:
+    """Rows per event name that meet each case's predicate, all cases in one scan. A case
+    is (struct that labels it, predicate)."""
+    tagged = F.explode(F.array(*[F.when(p, label) for label, p in cases]))
+    rows = events.select(
+        F.col(layout.event_column).alias("event_name"),
+        (micros(layout.event_time()) % 1000003).alias("mark"),
+        tagged.alias("case"),
+    )
+    return (
+        rows.where("case IS NOT NULL")
+        .groupBy("event_name", "case")
+        .agg(F.count("*").alias("n"), F.sum("mark").alias("mark"))
+        .select("event_name", "case.*", "n", "mark")
+    )
+
+
 def view(spark, sf_dir, tool):
     events = views.layout_view(spark, sf_dir, tool)
     return events, layout_for(tool, events.schema)
@@ -225,18 +242,24 @@ IDENTITY_CASES = [
 )
 def _(spark, sf_dir):
     parts = []
-    for tool, scope, identity in IDENTITY_CASES:
+    for tool in SHORT:
         events, layout = view(spark, sf_dir, tool)
-        s = spec(tool, scope=scope, identity_source=identity)
-        kept = events.where(exp.all_of([layout.identity_predicate(s)]))
-        parts.append(
-            kept.groupBy(F.col(layout.event_column).alias("event_name"))
-            .agg(F.count("*").alias("n"))
-            .select(
-                F.lit(SHORT[tool]).alias("layout"), F.lit(scope).alias("scope"),
-                F.lit(identity).alias("identity_source"), "event_name", "n",
+        cases = [
+            (
+                F.struct(F.lit(scope).alias("scope"), F.lit(identity).alias("identity_source")),
+                exp.all_of(
+                    [
+                        layout.identity_predicate(
+                            spec(tool, scope=scope, identity_source=identity)
+                        )
+                    ]
+                ),
             )
-        )
+            for t, scope, identity in IDENTITY_CASES
+            if t == tool
+        ]
+        counted = count_cases(events, layout, cases).drop("mark")
+        parts.append(counted.withColumn("layout", F.lit(SHORT[tool])))
     return union(parts)
 
 
@@ -474,23 +497,20 @@ def filtered_query(name: str, cases: list[tuple]) -> None:
     @query(name, sql)
     def _(spark, sf_dir):
         parts = []
-        for i, (tool, scope, field, pattern, _include, _exclude) in numbered:
+        for tool in dict.fromkeys(case[0] for case in cases):
             events, layout = view(spark, sf_dir, tool)
-            for kind in ("Include", "Exclude"):
-                f = FilterSpec(kind, "Both", scope, field, pattern)
-                s = spec(tool, filters=(f,))
-                kept = events.where(
-                    exp.all_of(exp.filter_predicates(layout, s, "exposure"))
-                )
-                mark = micros(layout.event_time()) % 1000003
-                parts.append(
-                    kept.groupBy(F.col(layout.event_column).alias("event_name"))
-                    .agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
-                    .select(
-                        F.lit(i).alias("case_no"), F.lit(kind).alias("filter_type"),
-                        "event_name", "n", "mark",
+            labelled_cases = []
+            for i, (t, scope, field, pattern, _include, _exclude) in numbered:
+                for kind in ("Include", "Exclude") if t == tool else ():
+                    f = FilterSpec(kind, "Both", scope, field, pattern)
+                    predicates = exp.filter_predicates(
+                        layout, spec(tool, filters=(f,)), "exposure"
+                    )
+                    label = F.struct(
+                        F.lit(i).alias("case_no"), F.lit(kind).alias("filter_type")
                     )
-                )
+                    labelled_cases.append((label, exp.all_of(predicates)))
+            parts.append(count_cases(events, layout, labelled_cases))
         return union(parts)
 
 
