@@ -1,7 +1,7 @@
 """Table maintenance (S6-S13): every change is a new DataFrame over the old one.
 
-Plain files cannot be changed in place, so an upsert is "old rows without the staged keys,
-plus the staged rows", written as a new snapshot. Where the table format knows MERGE,
+Plain files cannot be changed in place, so an upsert is the old rows joined with the staged
+ones, written as a new snapshot. Where the table format knows MERGE,
 ``merge_report`` uses it instead.
 """
 
@@ -29,30 +29,27 @@ def write_stage(stage: DataFrame, path: str) -> None:
 
 
 def unique_by_id(source: DataFrame, key: str = "id") -> DataFrame:
-    """The source, failing when it has two rows for one key, as a merge would."""
-    other = [c for c in source.columns if c != key]
-    return (
-        source.groupBy(key)
-        .agg(F.count("*").alias("rows"), F.any_value(F.struct(*other)).alias("row"))
-        .withColumn(
-            "row",
-            F.when(
-                F.col("rows") > 1,
-                F.raise_error(
-                    F.concat(F.lit("more than one row for "), F.col(key).cast("string"))
-                ),
-            ).otherwise(F.col("row")),
-        )
-        .select(key, "row.*")
-        .select(*source.columns)
-    )
+    """(key, struct of the row) of the source, failing on two rows for one key, as a merge
+    would."""
+    row = F.any_value(F.struct(*source.columns))
+    text = F.concat(F.lit("more than one row for "), F.col(key).cast("string"))
+    checked = F.when(F.count("*") > 1, F.raise_error(text)).otherwise(row)
+    return source.groupBy(key).agg(checked.alias("new"))
 
 
 def upsert_report(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
-    """Source rows replace target rows of the same key; new keys are added."""
+    """Source rows replace target rows of the same key; new keys are added. Each side
+    is read once: the source may be a whole analysis that is still to run."""
     fresh = unique_by_id(source, key)
-    kept = target.join(source.select(key), key, "left_anti")
-    return kept.unionByName(fresh.select(*target.columns))
+    old = target.select(key, F.struct(*target.columns).alias("old"))
+    both = old.join(fresh, key, "full_outer")
+    is_new = F.col("new").isNotNull()
+    return both.select(
+        *[
+            F.when(is_new, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
+            for c in target.columns
+        ]
+    )
 
 
 def merge_report(source: DataFrame, table: str) -> None:
