@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from abspark.functions.scalars import first_with_key
 from abspark.operators import aggregates as agg
 from abspark.operators import lookups, tables
+from abspark.operators.attribution import split_by_policy
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE
 from abspark.session import scratch_dir
 from catalog.registry import query
@@ -446,3 +448,54 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     ordered = cost_table(spark, sf_dir).orderBy(*lookups.query_info_order())
     return ordered.select("id", "job_ids")
+
+
+POLICY_SQL = """CASE o_orderkey % 6 WHEN 0 THEN 'First Exposure' WHEN 1 THEN 'Last Exposure'
+    WHEN 2 THEN 'Exclude' WHEN 3 THEN 'Credit Both' WHEN 4 THEN 'first exposure' END"""
+
+
+@query(
+    "split_by_policy",
+    f"""SELECT o_orderkey AS id, policy IS NOT NULL AND policy IN ('First Exposure',
+    'Last Exposure', 'Exclude', 'Credit Both') AS valid
+    FROM (SELECT o_orderkey, {POLICY_SQL} AS policy FROM orders)""",
+)
+def _(spark, sf_dir):
+    registry = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", f"{POLICY_SQL} AS user_overlap"
+    )
+    valid, skipped = split_by_policy(registry)
+    return valid.select("id", F.lit(True).alias("valid")).unionByName(
+        skipped.select("id", F.lit(False).alias("valid"))
+    )
+
+
+@query(
+    "id_semi_join",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+    WHERE l_orderkey IN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+)
+def _(spark, sf_dir):
+    staged = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.join(
+        staged.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"
+    ).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query(
+    "first_match_in_array",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderpriority
+    WHEN 'O' THEN CAST(o_custkey AS VARCHAR) || 'F' END AS found FROM orders""",
+)
+def _(spark, sf_dir):
+    # F: the first of two equal keys; O: the second entry; other states have no entry
+    entries = F.expr(
+        "array(named_struct('key', nullif(o_orderstatus, 'O'), 'value', o_orderpriority), "
+        "named_struct('key', 'O', 'value', string(o_custkey) || 'F'), "
+        "named_struct('key', 'F', 'value', 'second'))"
+    )
+    found = F.when(F.col("o_orderstatus") == "F", first_with_key(entries, "F")["value"]).when(
+        F.col("o_orderstatus") == "O", first_with_key(entries, "O")["value"]
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("found"))
