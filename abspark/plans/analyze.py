@@ -34,7 +34,6 @@ from abspark.operators.aggregates import sufficient_stats
 from abspark.operators.attribution import OVERLAP, post_exposure_join
 from abspark.operators.exposures import (
     conversions,
-    filter_predicates,
     label_exposures,
     matches_variant,
     select_active,
@@ -48,6 +47,7 @@ from abspark.spec import (
     EXPOSURE_SIDE,
     LAST,
     POLICIES,
+    SCOPE_USER,
     TOOL_NESTED,
     ExperimentSpec,
     read_specs,
@@ -92,7 +92,9 @@ def active_specs(
 
 # ---------------------------------------------------------------- tags
 def _who(spec: ExperimentSpec) -> tuple:
-    return (spec.by_user, spec.scope == "User", spec.identity, spec.date_start, spec.date_end)
+    return (
+        spec.by_user, spec.scope == SCOPE_USER, spec.identity, spec.date_start, spec.date_end
+    )
 
 
 def _exposure_signature(layout: EventLayout, spec: ExperimentSpec) -> tuple:
@@ -138,17 +140,25 @@ def _numbers(signatures: Iterable[tuple]) -> dict[tuple, int]:
 
 
 class _SharedColumns:
-    """Columns several tags use: keys, variant texts and values, one per signature."""
+    """Columns several tags use: keys, texts, values and conditions, one per signature."""
 
-    def __init__(self) -> None:
+    def __init__(self, stage: LookupStage) -> None:
         self.columns: dict[str, Column] = {}
-        self._names: dict[tuple, str] = {}
-
-    def name(self, signature: tuple, build: Callable[[], Column]) -> str:
-        # Built anew for every tag: the lookups behind it are noted per event.
-        column = build()
-        name = self._names.setdefault(signature, f"{signature[0]}_{len(self._names)}")
-        self.columns.setdefault(name, column)
+        self._stage = stage
+        self._known: dict[tuple, tuple[str | None, list[tuple]]] = {}
+
+    def name(self, signature: tuple, build: Callable[[], Column | None]) -> str | None:
+        """Name of the column; None where there is nothing to build."""
+        if signature not in self._known:
+            before = len(self._stage.asked)
+            column = build()
+            name = None
+            if column is not None:
+                name = f"{signature[0]}_{len(self._known)}"
+                self.columns[name] = column
+            self._known[signature] = (name, self._stage.asked[before:])
+        name, lookups = self._known[signature]
+        self._stage.ask_again(lookups)
         return name
 
 
@@ -176,7 +186,7 @@ def _tag_rows(
     one_window = len({(s.date_start, s.date_end) for s in specs}) == 1
     stage = LookupStage(layout.event_column)
     staged = layout.staged(stage)
-    shared = _SharedColumns()
+    shared = _SharedColumns(stage)
     keys: dict[str, list[int]] = {}
     texts: dict[str, list[int]] = {}
     values: dict[str, list[int]] = {}
@@ -194,11 +204,21 @@ def _tag_rows(
             lambda spec=spec: staged.grouping_key(spec).cast("string"),
         )
         keys.setdefault(key, []).append(code)
-        parts = [
-            None if one_window else layout.in_window(spec.date_start, spec.date_end),
-            staged.identity_predicate(spec),
-            *filter_predicates(staged, spec, tag.side),
+        conditions = [
+            shared.name(
+                ("who", spec.by_user, spec.scope == SCOPE_USER, spec.identity),
+                lambda spec=spec: staged.identity_predicate(spec),
+            ),
+            *[
+                shared.name(("kept", f), lambda f=f: staged.filter_predicate(f))
+                for f in spec.side_filters(tag.side)
+            ],
+            None if one_window else shared.name(
+                ("window", spec.date_start, spec.date_end),
+                lambda spec=spec: layout.in_window(spec.date_start, spec.date_end),
+            ),
         ]
+        parts = [F.col(name) for name in conditions if name is not None]
         if exposure:
             both = spec.user_overlap == BOTH
             text = shared.name(

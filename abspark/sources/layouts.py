@@ -57,6 +57,7 @@ class LookupStage:
         self._built: dict[tuple, tuple[str, int, Column]] = {}
         self._events: dict[tuple, set[str | None]] = {}
         self._current: str | None = None
+        self.asked: list[tuple] = []
 
     def on_event(self, event: str | None) -> None:
         """Event the expressions asked for next belong to; None: any event."""
@@ -66,9 +67,15 @@ class LookupStage:
         if name not in self._built:
             expression = build()
             self._built[name] = (f"lookup_{len(self._built)}", level, expression)
-        self._events.setdefault(name, set()).add(self._current)
+        self.ask_again([name])
         return F.col(self._built[name][0])
 
+    def ask_again(self, names: list[tuple]) -> None:
+        """Note that the current event needs these lookups."""
+        self.asked.extend(names)
+        for name in names:
+            self._events.setdefault(name, set()).add(self._current)
+
     def levels(self) -> list[dict[str, Column]]:
         """Columns to add, level by level."""
         found: dict[int, dict[str, Column]] = {}
