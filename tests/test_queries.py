@@ -4,13 +4,14 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from catalog.check import difference
-
-QUERIES = queries()
-SQL = oracle_sql()
+from catalog.registry import ORACLES as SQL
+from catalog.registry import QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries())
+    assert set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
