@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, mixing, token_counts, url_filter
+from abspark.llm import license_scan, mixing, setsketch, token_counts, url_filter
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -143,3 +143,30 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     drawn = mixing.draw(table(spark, folder, "documents"))
     each = drawn.select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op10_setsketch_dedup", rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all({LOWERED}, '{TOKEN}') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id
+    JOIN n AS p ON p.doc_id = x.doc_id JOIN n AS q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n
+    HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach AS r JOIN link AS l ON r.other = l.a
+), c AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged = setsketch.near_duplicates(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_shingles", "component_id", "kept")
