@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, mixing, setsketch, token_counts, url_filter
+from abspark.llm import license_scan, mixing, setsketch, suffix_dedup, token_counts, url_filter
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -170,3 +170,9 @@ FROM c LEFT JOIN n USING (doc_id)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = setsketch.near_duplicates(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    judged = suffix_dedup.remove_repeats(table(spark, folder, "documents"), with_text=False)
+    return judged.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
