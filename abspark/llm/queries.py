@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, mixing, setsketch, suffix_dedup, token_counts, url_filter
+from abspark.llm import license_scan, lm_score, mixing, setsketch, suffix_dedup, token_counts, url_filter
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -176,3 +176,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     judged = suffix_dedup.remove_repeats(table(spark, folder, "documents"), with_text=False)
     return judged.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, folder, "documents"))
