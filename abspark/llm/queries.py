@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, lm_score, mixing, setsketch, suffix_dedup, token_counts, url_filter
+from abspark.llm import license_scan, lm_score, mixing, setsketch, spotsigs, suffix_dedup, token_counts, url_filter
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -181,3 +181,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score_texts(table(spark, folder, "documents"))
+
+
+@query("op2_spotsigs")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = spotsigs.compare_edited(table(spark, folder, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.printed(F.col("signatures")).alias("fingerprint"),
+        spotsigs.printed(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
