@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, lm_score, mixing, setsketch, spotsigs, suffix_dedup, token_counts, url_filter
+from abspark.llm import license_scan, lm_score, mixing, setsketch, spotsigs, suffix_dedup, token_counts, toxicity, url_filter
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -192,3 +192,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         spotsigs.printed(F.col("edited_signatures")).alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
