@@ -227,7 +227,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, part, n_shingles, component_id, kept for each row."""
+    """doc_id, part, n_shingles, component_id, kept, group (null without a set) for each row."""
     rows = staged(sketches(docs))
     one = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "bands")).alias("one")
@@ -237,20 +237,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "doc_id").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(names, "label").select(F.col("node").alias("of"), "component_id")
+    of_node = named.join(names, "label").select(F.col("node").alias("of"), F.col("label").alias("group"), "component_id")
     joined = rows.join(of_node, F.col("node") == F.col("of"), "left")
+    # Without a set, or in a component without any id, a document stands for itself.
     component = F.coalesce("component_id", "doc_id")
     return joined.select(
         "doc_id", "part", "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"), "group",
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, its smallest doc_id; columns unchanged. Of rows that
-    repeat that doc_id within the component one stays."""
-    judged = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"))
-    kept = judged.dropDuplicates(["of", "of_part"])
+    """One row of each component, that with the smallest doc_id; columns unchanged. Documents
+    without a set stay; of rows that agree in doc_id and text one stays."""
+    judged = staged(near_duplicates(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part")).alias("first")
+    best = judged.where(F.col("group").isNotNull()).groupBy("group").agg(first).select("first.doc_id", "first.part")
+    kept = best.union(judged.where(F.col("group").isNull()).select("doc_id", "part"))
+    kept = kept.select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     match = F.col("row.doc_id").eqNullSafe(F.col("of")) & (row_key(F.col("row.text")) == F.col("of_part"))
-    return rows.join(kept, match, "left_semi").select("row.*")
+    found = rows.join(kept, match, "left_semi").select("row.*")
+    repeated = judged.groupBy("doc_id", "part").count().where("count > 1")
+    return found if repeated.isEmpty() else found.dropDuplicates(["doc_id", "text"])
