@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: spark.checkpoint.dir, or a local one where it is unset
     (a test on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", folder)

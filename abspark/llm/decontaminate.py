@@ -8,6 +8,10 @@ common fingerprints are extended to every window around them, and a window count
 benchmark holds the same words. Items shorter than SPAN words are one window; they are
 looked up by the hash of all their words, one length at a time.
 
+Arrays are blown up with explode_outer: for explode() the optimizer adds a filter on the
+array's size and pushes it down to the scan, where the array would be computed once more,
+inside lambdas for every element.
+
 Hashes only choose candidates; windows are compared by their words. Rows are judged by
 themselves: rows that repeat a doc_id with another text get results of their own, exact
 repeats the same. Null or empty texts have no words; an empty benchmark hits nothing; items
@@ -59,7 +63,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.col("item_id").cast("string").alias("item"), words(ascii_lower(F.col("text"))).alias("tokens")
     ).where(F.size("tokens") > 0)
     length = F.least(F.size("tokens"), F.lit(SPAN))
-    places = F.explode(F.sequence(F.lit(0), F.size("tokens") - length)).alias("start")
+    places = F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - length)).alias("start")
     cut = items.select("item", "tokens", length.alias("length"), places)
     cut = cut.select("item", "length", windows(F.col("tokens"), F.col("start"), F.col("length")).alias("window"))
     return cut.groupBy("window", "length").agg(F.collect_set("item").alias("items"))
@@ -72,7 +76,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = [r[0] for r in found.where(F.col("length") < SPAN).select("length").distinct().collect()]
     found = found.withColumn("tokens", F.split("window", " "))
     prints = with_prints(found.where(F.col("length") == SPAN), "tokens", "prints").select(
-        F.lit(SPAN).alias("length"), F.explode("prints").alias("print")
+        F.lit(SPAN).alias("length"), F.explode_outer("prints").alias("print")
     )
     for n in sorted(short):
         one = found.where(F.col("length") == n)
@@ -86,41 +90,34 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sets = [tagged(F.col("prints"), SPAN)]
     sets += [tagged(F.array_distinct(gram_hashes(F.col("tokens"), n)), n) for n in sorted(short)]
     printed = with_prints(tokenized, "tokens", "prints")
-    rows = printed.select("doc_id", "part", F.explode(F.concat(*sets)).alias("ask"))
+    rows = printed.select("doc_id", "part", F.explode_outer(F.concat(*sets)).alias("ask"))
     rows = rows.select("doc_id", "part", F.col("ask.length").alias("length"), F.col("ask.print").alias("print"))
     common = rows.join(bounded(prints, PRINTS_BROADCAST), ["length", "print"])
-    common = common.groupBy("doc_id", "part").agg(F.collect_set(F.struct("length", "print")).alias("prints"))
-    common = staged(common).select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "prints")
+    lengths = [SPAN, *sorted(short)]
+    own = [F.collect_set(F.when(F.col("length") == n, F.col("print"))).alias(f"own_{n}") for n in lengths]
+    common = staged(common.groupBy("doc_id", "part").agg(*own))
+    common = common.withColumnsRenamed({"doc_id": "of", "part": "of_part"})
 
     # Extend: every window that holds a place of a common fingerprint is looked up by its words.
     held = texts.join(common, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     held = held.dropDuplicates(["doc_id", "part"])
-    held = held.select("doc_id", "part", "prints", words(ascii_lower(F.col("body"))).alias("tokens"))
+    held = held.withColumn("tokens", words(ascii_lower(F.col("body"))))
 
     def starts(n: int) -> Column:
         gram = GRAM if n == SPAN else n
-        places = F.filter(F.sequence(F.lit(0), F.size("tokens") - gram), lambda i: F.array_contains(F.col(f"own_{n}"), F.get(F.col(f"hashes_{n}"), i)))
-        around = F.flatten(
-            F.transform(
-                places,
-                lambda i: F.sequence(
-                    F.greatest(i - (n - gram), F.lit(0)), F.least(i, F.size("tokens") - n)
-                ),
-            )
-        )
+        common_here = lambda h, i: F.when(F.array_contains(F.col(f"own_{n}"), h), i)
+        places = F.array_compact(F.transform(gram_hashes(F.col("tokens"), gram), common_here))
+        first = lambda i: F.greatest(i - (n - gram), F.lit(0))
+        last = lambda i: F.least(i, F.size("tokens") - n)
+        around = F.flatten(F.transform(places, lambda i: F.sequence(first(i), last(i))))
         return F.when(F.size("tokens") >= n, F.array_distinct(around))
 
-    lengths = [SPAN, *sorted(short)]
-    for n in lengths:
-        own = F.transform(F.filter("prints", lambda p: p["length"] == n), lambda p: p["print"])  # noqa: B023
-        held = held.withColumn(f"own_{n}", own)
-        held = held.withColumn(f"hashes_{n}", gram_hashes(F.col("tokens"), GRAM if n == SPAN else n))
     for n in lengths:
         held = held.withColumn(f"starts_{n}", starts(n))
     none = F.array().cast("array<struct<start:int,length:int>>")
     spans = lambda n: F.transform(f"starts_{n}", lambda s: F.struct(s.alias("start"), F.lit(n).alias("length")))
     tried = F.concat(*[F.coalesce(spans(n), none) for n in lengths])
-    tried = held.select("doc_id", "part", "tokens", F.explode(tried).alias("span"))
+    tried = held.select("doc_id", "part", "tokens", F.explode_outer(tried).alias("span"))
     tried = tried.select(
         "doc_id", "part", "span",
         windows(F.col("tokens"), F.col("span.start"), F.col("span.length")).alias("window"),

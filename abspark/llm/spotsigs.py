@@ -141,7 +141,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Da
     size = F.size("signatures")
     partition = F.floor(F.log(size) / F.lit(math.log(1 / threshold)) + 1e-9)
     prefix = F.slice("signatures", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    index = classes.select("class", size.alias("size"), partition.alias("partition"), F.explode(prefix).alias("signature"))
+    index = classes.select("class", size.alias("size"), partition.alias("partition"), F.explode_outer(prefix).alias("signature"))
     left = index.select(F.col("class").alias("a"), F.col("size").alias("size_a"), "partition", "signature")
     right = index.select(
         F.col("class").alias("b"), F.col("size").alias("size_b"), "signature",
