@@ -1,4 +1,4 @@
-"""All experiments of a registry in one plan per chunk.
+"""All experiments of a registry in one plan.
 
 Shape of the plan, for a table of any size:
 
@@ -12,6 +12,8 @@ Shape of the plan, for a table of any size:
   smaller aggregate gives one row per (tag, key), from which every overlap policy is read.
 * Once mode needs nothing more: the key's first conversion sits beside its exposure. No
   join, one scan.
+* Both modes share that scan, whatever the number of experiments; only conversions counted
+  one by one are scanned once more. Scans are limited to the union of the date windows.
 * Count-all mode compares each conversion with the exposure of its key, so the units are
   joined to the conversion rows on (tag, key) with the time test as residual. The
   conversion side goes straight from scan to exchange, so adaptive execution can split a
@@ -20,6 +22,7 @@ Shape of the plan, for a table of any size:
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
@@ -53,9 +56,9 @@ from abspark.spec import (
     read_specs,
 )
 
-# Registry rows per plan. Bounds the size of the generated code, not the registry: further
-# rows go into further plans whose results are united.
-ROWS_PER_PLAN = 40
+# Codes tested in one column. Keeps the generated methods small; all columns are one array
+# in the end, so it has no influence on scans or results.
+CODES_PER_COLUMN = 40
 
 
 # ---------------------------------------------------------------- which rows can run
@@ -173,16 +176,25 @@ def _chosen(codes_of: dict[str, list[int]], dtype: str, out: str) -> str:
     return f"CASE {cases} END AS {out}"
 
 
-def _tag_rows(
-    events: DataFrame, layout: EventLayout, tags: list[_Tag], specs: list[ExperimentSpec]
-) -> DataFrame:
+def _merged_windows(specs: Iterable[ExperimentSpec]) -> list[tuple[dt.date, dt.date]]:
+    """The days the rows are about, as few ranges as possible; none in a gap."""
+    merged: list[tuple[dt.date, dt.date]] = []
+    for start, end in sorted({(s.date_start, s.date_end) for s in specs}):
+        if merged and start <= merged[-1][1] + dt.timedelta(days=1):
+            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _tag_rows(events: DataFrame, layout: EventLayout, tags: list[_Tag]) -> DataFrame:
     """One output row per (event, tag it satisfies).
 
-    Event names and the overall day span come first as plain filters, so they reach the
-    files. Keys, texts and values are columns computed once; what is blown up is only an
+    Event names and the union of the day windows come first as plain filters, so they reach
+    the files; experiments that any event may expose add a test of their own to the names. Keys, texts and values are columns computed once; what is blown up is only an
     array of tag codes, which keeps the generated code small enough to be compiled to
     machine code even for a plan full of experiments."""
-    span = (min(s.date_start for s in specs), max(s.date_end for s in specs))
+    specs = [tag.spec for tag in tags]
     one_window = len({(s.date_start, s.date_end) for s in specs}) == 1
     stage = LookupStage(layout.event_column)
     staged = layout.staged(stage)
@@ -244,19 +256,21 @@ def _tag_rows(
         predicate_of[code] = all_of(parts)
 
     names = sorted({event for event in event_of.values() if event is not None})
-    wanted = layout.in_window(*span)
-    anywhere = [c for c, event in event_of.items() if event is None]
-    if not anywhere:
-        wanted = wanted & F.col(layout.event_column).isin(*names)
+    windows = [layout.in_window(*w) for w in _merged_windows(specs)]
+    wanted = reduce(lambda a, b: a | b, windows)
+    guards = {
+        t.spec.experiment_event_name: layout.exposure_guard(t.spec)
+        for t in tags
+        if event_of[t.code] is None
+    }
+    named = [F.col(layout.event_column).isin(*names)] if names else []
+    wanted = wanted & reduce(lambda a, b: a | b, [*named, *guards.values()])
     picks = {c: F.when(p, F.lit(c)) for c, p in predicate_of.items()}
-    codes = None
-    for name in names:
-        here = F.array(*[picks[c] for c, event in event_of.items() if event in (name, None)])
-        on_name = layout.event_is(name)
-        codes = F.when(on_name, here) if codes is None else codes.when(on_name, here)
-    if anywhere:
-        rest = F.array(*[picks[c] for c in anywhere])
-        codes = rest if codes is None else codes.otherwise(rest)
+    by_event = sorted(event_of, key=lambda c: (event_of[c] is None, event_of[c] or "", c))
+    code_columns = {
+        f"codes_{at}": _codes_here(layout, event_of, picks, by_event[at : at + CODES_PER_COLUMN])
+        for at in range(0, len(by_event), CODES_PER_COLUMN)
+    }
     rows = events.where(wanted).withColumn(
         "row_time", layout.event_time().cast("timestamp")
     )
@@ -264,7 +278,8 @@ def _tag_rows(
         rows = rows.withColumns(level)
     return (
         rows.withColumns(shared.columns)
-        .withColumn("code", F.explode(codes))
+        .withColumns(code_columns)
+        .withColumn("code", F.explode_outer(F.concat(*code_columns)))
         .where("code IS NOT NULL")
         .selectExpr(
             "shiftright(code, 1) AS tag",
@@ -276,6 +291,23 @@ def _tag_rows(
     )
 
 
+def _codes_here(
+    layout: EventLayout,
+    event_of: Mapping[int, str | None],
+    picks: Mapping[int, Column],
+    codes: list[int],
+) -> Column:
+    """Array of those codes that hold for the event, tested only on events of their name."""
+    anywhere = [c for c in codes if event_of[c] is None]
+    found = F.array(*[picks[c] for c in anywhere]).cast("array<int>")
+    chosen = None
+    for name in dict.fromkeys(event_of[c] for c in codes if event_of[c] is not None):
+        here = F.array(*[picks[c] for c in codes if event_of[c] in (name, None)])
+        on_name = layout.event_is(name)
+        chosen = F.when(on_name, here) if chosen is None else chosen.when(on_name, here)
+    return found if chosen is None else chosen.otherwise(found)
+
+
 # ---------------------------------------------------------------- per key
 def _key_summary(tagged: DataFrame, policies: set[str]) -> DataFrame:
     """One row per (tag, key): first and last labelled exposure, number of variant texts,
@@ -379,75 +411,66 @@ def _follows() -> Column:
 
 
 # ---------------------------------------------------------------- the two modes
-def _once_parts(
+def _parts(
     events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
 ) -> DataFrame:
-    """Rows (r, unit, conv_count, conv_value) whose sums are the results."""
+    """Rows (r, unit, conv_count, conv_value) whose sums are the results.
+
+    One scan tags the exposures of all rows and the conversions of those that count once;
+    a second one reads the conversions that count one by one, if there are such rows."""
     signatures = [
-        (_exposure_signature(layout, s), _conversion_signature(s)) for s in specs
+        (_exposure_signature(layout, s), None if s.count_all else _conversion_signature(s))
+        for s in specs
     ]
     numbers = _numbers(signatures)
     tag_of = [numbers[s] for s in signatures]
+    every = _numbers(_conversion_signature(s) for s in specs if s.count_all)
+    conversion_of = [every[_conversion_signature(s)] if s.count_all else -1 for s in specs]
     tags = [
         _Tag(n, specs[tag_of.index(n)], side)
-        for n in numbers.values()
+        for signature, n in numbers.items()
         for side in (EXPOSURE_SIDE, CONVERSION_SIDE)
+        if side == EXPOSURE_SIDE or signature[1] is not None
     ]
-    tagged = _tag_rows(events, layout, tags, specs)
-    summary = _key_summary(tagged, {s.user_overlap for s in specs})
+    summary = _key_summary(
+        _tag_rows(events, layout, tags), {s.user_overlap for s in specs}
+    )
+    units = _credited_units(summary, layout, specs, tag_of, conversion_of)
     counted = _follows()
-    return _credited_units(summary, layout, specs, tag_of, tag_of).select(
+    parts = units.select(
         "r",
         F.lit(1).alias("unit"),
         F.when(counted, F.lit(1)).alias("conv_count"),
         F.when(counted, F.col("conv_value")).alias("conv_value"),
     )
-
-
-def _count_all_parts(
-    events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
-) -> DataFrame:
-    exposure_signatures = [_exposure_signature(layout, s) for s in specs]
-    exposure_numbers = _numbers(exposure_signatures)
-    tag_of = [exposure_numbers[s] for s in exposure_signatures]
-    conversion_signatures = [_conversion_signature(s) for s in specs]
-    conversion_numbers = _numbers(conversion_signatures)
-    conversion_of = [conversion_numbers[s] for s in conversion_signatures]
-
-    exposure_tags = [
-        _Tag(n, specs[tag_of.index(n)], EXPOSURE_SIDE)
-        for n in exposure_numbers.values()
-    ]
+    if not every:
+        return parts
     conversion_tags = [
-        _Tag(n, specs[conversion_of.index(n)], CONVERSION_SIDE)
-        for n in conversion_numbers.values()
+        _Tag(n, specs[conversion_of.index(n)], CONVERSION_SIDE) for n in every.values()
     ]
-    summary = _key_summary(
-        _tag_rows(events, layout, exposure_tags, specs), {s.user_overlap for s in specs}
-    )
-    units = _credited_units(summary, layout, specs, tag_of, conversion_of).select(
-        "r", "strict", "conversion_tag", F.col("key").alias("unit_key"), "exposure_time"
-    )
-    conversion_rows = _tag_rows(events, layout, conversion_tags, specs).select(
-        "tag", "key", F.col("time").alias("conv_time"), F.col("value").alias("conv_value")
+    conversion_rows = _tag_rows(events, layout, conversion_tags).select(
+        "tag", F.col("key").alias("conv_key"), "time", "value"
     )
     # Conversions have no NULL keys, so the null-safe test equals the plain one. It keeps
-    # a NULL-key filter from being pushed into this use of the units only, which would
-    # make them a different plan from the other use: both share one exchange.
-    same_key = F.expr("conversion_tag = tag AND unit_key <=> key")
-    joined = units.join(conversion_rows, same_key).where(_follows())
-    return units.select("r", F.lit(1).alias("unit")).unionByName(
-        joined.select("r", F.lit(1).alias("conv_count"), "conv_value"),
+    # a NULL-key filter from being pushed into this use of the units only, and the tests
+    # for absent sums, true of every such unit, keep both uses the same columns: both share
+    # one exchange.
+    same_key = F.expr("conversion_tag = tag AND key <=> conv_key")
+    later = F.expr("time > exposure_time OR (time = exposure_time AND NOT strict)")
+    joined = (
+        units.where("conversion_tag >= 0 AND conv_time IS NULL AND conv_value IS NULL")
+        .select("r", "strict", "conversion_tag", "key", "exposure_time")
+        .join(conversion_rows, same_key)
+        .where(later)
+    )
+    return parts.unionByName(
+        joined.select("r", F.lit(1).alias("conv_count"), F.col("value").alias("conv_value")),
         allowMissingColumns=True,
     )
 
 
-def _chunks(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
 def _sum_up(parts: DataFrame, specs: list[ExperimentSpec]) -> DataFrame:
-    """Results rows of one chunk. Every registry row enters the sum once with nothing, so
+    """Results rows. Every registry row enters the sum once with nothing, so
     that a row without a single unit reports 0 users."""
     all_rows = parts.sparkSession.range(len(specs)).selectExpr("CAST(id AS INT) AS r")
     sums = (
@@ -475,14 +498,9 @@ def analyze_specs(
 ) -> DataFrame:
     """Results of the given registry rows; rows that cannot run are left out."""
     runnable = [s for s in specs if not skip_reasons(layout, s)]
-    results = []
-    for build, wanted in ((_once_parts, False), (_count_all_parts, True)):
-        mode = [s for s in runnable if s.count_all is wanted]
-        for chunk in _chunks(mode, ROWS_PER_PLAN):
-            results.append(_sum_up(build(events, layout, chunk), chunk))
-    if not results:
+    if not runnable:
         return events.sparkSession.createDataFrame([], RESULTS)
-    return reduce(DataFrame.unionByName, results)
+    return _sum_up(_parts(events, layout, runnable), runnable)
 
 
 def analyze(
@@ -503,13 +521,37 @@ def analyze(
     )
 
 
+def specs_by_tool(
+    registry: DataFrame,
+    filters: DataFrame | None,
+    tools: Iterable[str],
+    strict_reference: bool = False,
+) -> dict[str, list[ExperimentSpec]]:
+    """Active registry rows of each tool; registry and filters are read once."""
+    every = read_specs(select_active(registry), filters)
+    return {
+        tool: [
+            s for s in every
+            if s.analytics_tool == tool or strict_reference and tool == TOOL_NESTED
+        ]
+        for tool in tools
+    }
+
+
 def analyze_all(
-    registry: DataFrame, filters: DataFrame | None, events: Mapping[str, DataFrame]
+    registry: DataFrame,
+    filters: DataFrame | None,
+    events: Mapping[str, DataFrame],
+    strict_reference: bool = False,
 ) -> DataFrame:
     """Results over several event tables, one per analytics tool."""
+    specs = specs_by_tool(registry, filters, events, strict_reference)
     return reduce(
         DataFrame.unionByName,
-        [analyze(registry, filters, df, tool) for tool, df in events.items()],
+        [
+            analyze_specs(df, layout_for(tool, df.schema), specs[tool])
+            for tool, df in events.items()
+        ],
     )
 
 
@@ -528,6 +570,23 @@ def skipped_rows(
     ]
 
 
+def skipped_in_report(
+    registry: DataFrame,
+    filters: DataFrame | None,
+    events: Mapping[str, DataFrame],
+    strict_reference: bool = False,
+) -> list[tuple[str, str, str, list[str]]]:
+    """(tool, id, variant, reasons) of active rows that a report over these tables leaves
+    out."""
+    specs = specs_by_tool(registry, filters, events, strict_reference)
+    return [
+        (tool, s.id, s.variant, reasons)
+        for tool, df in events.items()
+        for s in specs[tool]
+        if (reasons := skip_reasons(layout_for(tool, df.schema), s))
+    ]
+
+
 # ---------------------------------------------------------------- one row, step by step
 def analyze_one(
     events: DataFrame, layout: EventLayout, spec: ExperimentSpec

@@ -151,7 +151,9 @@ def run_report(
     filters: DataFrame | None,
     events: Mapping[str, DataFrame],
     run_date: dt.date,
+    strict_reference: bool = False,
 ) -> DataFrame:
-    """Registry and event tables to report rows."""
-    results = analyze_all(registry, filters, events)
+    """Registry and event tables to report rows. ``skipped_in_report`` names the rows that
+    cannot run."""
+    results = analyze_all(registry, filters, events, strict_reference)
     return build_report(pivot_ab(results_to_registry(results, registry)), run_date)

@@ -69,6 +69,7 @@ class ExperimentSpec:
     experiment_variant_parameter: str | None = None
     experiment_event_value_parameter: str | None = None
     user_overlap: str | None = FIRST
+    analytics_tool: str | None = None
     filters: tuple[FilterSpec, ...] = field(default=())
 
     @property
@@ -114,5 +115,6 @@ def read_specs(registry: DataFrame, filters: DataFrame | None) -> list[Experimen
 
 
 def _config_rows(df: DataFrame, columns: list[str]) -> Iterator:
-    """Stream config rows (short, two per experiment) to the driver in one job."""
-    yield from df.select(*columns).coalesce(1).toLocalIterator()
+    """Config rows (short, two per experiment) on the driver. What the registry comes from
+    keeps its own partitions."""
+    yield from df.select(*columns).collect()

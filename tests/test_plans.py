@@ -95,12 +95,12 @@ def test_generated_code_stays_compilable(spark, one_bag):
     assert sizes and max(sizes) < 8000
 
 
-def test_rows_beyond_one_plan(spark, one_bag, monkeypatch):
-    """Splitting the registry over several plans changes nothing."""
+def test_codes_in_several_columns(spark, one_bag, monkeypatch):
+    """Splitting the codes over several columns changes nothing."""
     events, layout = one_bag
     specs = spread(TOOL_ONE_BAG)
     whole = plan.analyze_specs(events, layout, specs).drop("total_conversion_sq_value")
-    monkeypatch.setattr(plan, "ROWS_PER_PLAN", 3)
+    monkeypatch.setattr(plan, "CODES_PER_COLUMN", 3)
     split = plan.analyze_specs(events, layout, specs).drop("total_conversion_sq_value")
 
     def rows(df):
@@ -110,6 +110,43 @@ def test_rows_beyond_one_plan(spark, one_bag, monkeypatch):
     assert rows(whole) == rows(split)
 
 
+def many_different(count, count_all):
+    """Experiments that agree in nothing: windows, filters and value parameters differ."""
+    from abspark.spec import FilterSpec
+
+    day = dt.date(2024, 1, 1)
+    return [
+        spec(
+            TOOL_ONE_BAG, variant, id=str(i), conversion_count_all=count_all and i % 2 == 0,
+            date_start=day + dt.timedelta(days=i % 20), date_end=day + dt.timedelta(days=i % 20 + i % 7),
+            filters=(FilterSpec("Include", "Both", "Event", "k", f"^{i}"),),
+        )
+        for i in range(count)
+        for variant in "AB"
+    ]
+
+
+@pytest.mark.parametrize("count_all, scans", [(False, 1), (True, 2)])
+def test_scans_do_not_grow_with_the_registry(one_bag, count_all, scans):
+    events, layout = one_bag
+    results = plan.analyze_specs(events, layout, many_different(100, count_all))
+    assert event_scans(final_plan(results)) == scans
+
+
+def test_gaps_between_windows_are_not_read(spark, one_bag):
+    events, layout = one_bag
+    apart = [
+        spec(TOOL_ONE_BAG, "A", id=str(m), date_start=dt.date(2024, m, 1), date_end=dt.date(2024, m, 2))
+        for m in (1, 12)
+    ]
+    assert plan._merged_windows(apart) == [(s.date_start, s.date_end) for s in apart]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan.analyze_specs(events, layout, apart)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = text[text.index("PushedFilters") :].split("]")[0]
+    assert "Or(" in pushed and "2024-01-03" in pushed and "2024-12-01" in pushed
+
+
 def test_one_key_with_most_rows(spark):
     """A key that holds most events: the numbers are right, in both modes."""
     day = dt.date(2024, 1, 5)
