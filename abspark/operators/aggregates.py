@@ -23,6 +23,24 @@ def sufficient_stats(units: DataFrame, joined: DataFrame) -> DataFrame:
     )
 
 
+def unit_stats(units: DataFrame, conversions: DataFrame, strict: bool) -> DataFrame:
+    """G1 over one use of the units: conversions are joined to the left of every unit and
+    summed per key (the join's own partitioning), so units that convert nothing count."""
+    late = F.col("conv_time") > F.col("exposure_time")
+    if not strict:
+        late = late | (F.col("conv_time") == F.col("exposure_time"))
+    right = conversions.withColumnRenamed("key", "conv_key")
+    met = units.join(right, (F.col("key") == F.col("conv_key")) & late, "left")
+    measures = ["conv_count", "conv_value", "conv_sq_value"]
+    per_unit = met.groupBy("key").agg(*[F.sum(m).alias(m) for m in measures])
+    return per_unit.agg(
+        F.count(F.lit(1)).alias("user_count"),
+        F.sum("conv_count").alias("conversion_count"),
+        F.sum("conv_value").alias("total_conversion_value"),
+        F.sum("conv_sq_value").alias("total_conversion_sq_value"),
+    )
+
+
 def distinct_unit_count(units: DataFrame) -> DataFrame:
     """Number of distinct non-NULL keys."""
     return units.agg(F.count_distinct("key").alias("user_count"))

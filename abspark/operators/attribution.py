@@ -6,23 +6,33 @@ per credited unit. Ties on time go to the smaller variant text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abspark.operators.exposures import matches_variant
 from abspark.spec import BOTH, EXCLUDE, FIRST, LAST, POLICIES
 
 
+def _ranked(exposures: DataFrame, time: Column) -> DataFrame:
+    """Exposures numbered per key. Rows of a key that agree in time and text are counted
+    before the shuffle and get consecutive numbers, so that only a key's distinct rows
+    meet in a task; no plan of this library uses the numbers."""
+    counted = exposures.groupBy("key", "exposure_time", "variant").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("key").orderBy(time, "variant")
+    upto = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbers = F.sequence(F.col("upto") - F.col("times") + 1, F.col("upto"))
+    rows = counted.withColumn("upto", upto).withColumn("rn", F.explode(numbers))
+    return rows.select("key", "exposure_time", "variant", F.col("rn").cast("int").alias("rn"))
+
+
 def first_exposure_rank(exposures: DataFrame) -> DataFrame:
     """Exposures numbered per key, earliest first."""
-    order = Window.partitionBy("key").orderBy("exposure_time", "variant")
-    return exposures.withColumn("rn", F.row_number().over(order))
+    return _ranked(exposures, F.col("exposure_time"))
 
 
 def last_exposure_rank(exposures: DataFrame) -> DataFrame:
     """Exposures numbered per key, latest first."""
-    order = Window.partitionBy("key").orderBy(F.desc("exposure_time"), "variant")
-    return exposures.withColumn("rn", F.row_number().over(order))
+    return _ranked(exposures, F.desc("exposure_time"))
 
 
 def variant_spans(exposures: DataFrame) -> DataFrame:
@@ -102,15 +112,10 @@ def split_by_policy(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def exclude_join(exposures: DataFrame, pattern: str) -> DataFrame:
-    """First exposure per key and variant joined to the number of variants the key
-    saw. Same answer as ``overlap_exclude``, in join form."""
-    spans = variant_spans(exposures)
-    counts = spans.groupBy("key").agg(F.count("*").alias("texts"))
-    return (
-        spans.join(counts.where(F.col("texts") == 1), "key")
-        .where(matches_variant(F.col("variant"), pattern))
-        .select("key", F.col("first_time").alias("exposure_time"))
-    )
+    """First exposure per key and variant beside the number of variants the key saw.
+    A join of two uses of the same rows would read the events twice; the count and the one
+    row it is joined to come from one aggregate instead."""
+    return overlap_exclude(exposures, pattern)
 
 
 def post_exposure_join(units: DataFrame, conversions: DataFrame, strict: bool) -> DataFrame:

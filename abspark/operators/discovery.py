@@ -267,9 +267,11 @@ def discover_json_keys(
     exclude: Sequence[str] = (),
     pattern: str = KEY_WITH_ESCAPES,
     scope: str = "EVENT",
+    trim: bool = True,
 ) -> DataFrame:
     """Quoted tokens before a colon, at any depth. A struct column names its keys
-    in the schema, so the data is not read."""
+    in the schema, so the data is not read. Blank keys are left out; the two-bag layout
+    also trims, the one-bag layout keeps a key as it is written."""
     dtype = events.schema[bag].dataType
     if isinstance(dtype, StructType):
         names = [n for n in dtype.fieldNames() if n not in exclude]
@@ -277,14 +279,35 @@ def discover_json_keys(
     keys = events.where(window).select(
         F.explode(F.regexp_extract_all(_bag_text(events, bag), F.lit(pattern), 1)).alias("k")
     )
-    return _names(keys.where(F.trim("k") != ""), F.trim(F.col("k")), scope, exclude)
+    name = F.trim(F.col("k")) if trim else F.col("k")
+    return _names(keys.where(F.trim("k") != ""), name, scope, exclude)
 
 
 def discover_json_keys_plain(
     events: DataFrame, bag: str, window: Column, exclude: Sequence[str] = ()
 ) -> DataFrame:
     """The simpler pattern of the one-bag layout."""
-    return discover_json_keys(events, bag, window, exclude, KEY_PLAIN)
+    return discover_json_keys(events, bag, window, exclude, KEY_PLAIN, trim=False)
+
+
+def discover_variant_params_two_bag(
+    events: DataFrame, window: Column, exclude: Sequence[str] = ()
+) -> DataFrame:
+    """Variant parameters of the two-bag layout, EVENT and USER names."""
+    return union_distinct(
+        discover_json_keys(events, "event_properties", window, exclude, scope="EVENT"),
+        discover_json_keys(events, "user_properties", window, exclude, scope="USER"),
+    )
+
+
+def discover_variant_params_flat(
+    events: DataFrame,
+    column_regex: str | None = None,
+    exclude: Sequence[str] = (),
+) -> DataFrame:
+    """Variant parameters of the flattened layout; every name has the scope EVENT."""
+    found = discover_params_flat(events, column_regex, exclude)
+    return found.select(F.lit("EVENT").alias("scope"), "name").distinct()
 
 
 def json_nonstring_hits(
@@ -294,15 +317,19 @@ def json_nonstring_hits(
     such a value are left out. All pairs are taken from the text in one pass, instead of
     trying every key on every text."""
     text = _bag_text(events, bag)
+    # The bag is parsed once, into a column; explode_outer keeps the optimizer from
+    # computing the pairs a second time in a filter on their number.
     pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(PAIR_WITH_ESCAPES), 1).alias("key"),
-        F.regexp_extract_all(text, F.lit(PAIR_WITH_ESCAPES), 2).alias("val"),
+        F.regexp_extract_all("text", F.lit(PAIR_WITH_ESCAPES), 1).alias("key"),
+        F.regexp_extract_all("text", F.lit(PAIR_WITH_ESCAPES), 2).alias("val"),
     )
     val = F.trim("pair.val")
     typed = val.rlike(NUMBER_VALUE) | val.rlike(BOOLEAN_VALUE) | val.rlike(OPENING_VALUE)
     return (
         events.where(window)
-        .select(F.explode(pairs).alias("pair"))
+        .select(text.alias("text"))
+        .select(F.explode_outer(pairs).alias("pair"))
+        .where(F.col("pair").isNotNull())
         .select(F.col("pair.key").alias("name"), typed.alias("typed"))
         .where(_without(F.col("name"), exclude))
         .groupBy("name")
@@ -375,5 +402,5 @@ def discover_filter_fields(
             events, "User", sorted(n for n in users if n not in exclude)
         )
         return union_distinct(names, user_names, columns)
-    names = discover_json_keys(events, "properties", window, exclude, KEY_PLAIN, "Event")
+    names = discover_json_keys(events, "properties", window, exclude, KEY_PLAIN, "Event", False)
     return union_distinct(names, discover_columns(events, column_regex, scope="Column"))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from abspark.functions.scalars import format_bytes, full_trim
 
-# Fixed value: most rows a lookup list may have.
-LOOKUP_ROWS = 100_000
-
 # Columns of the downloaded report, in order.
 RESULT_COLUMNS = [
     "id", "experiment_name", "date_last_analyzed", "date_start", "date_end", "hypothesis",
@@ -60,9 +57,10 @@ def lookup_order(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.orderBy(*columns)
 
 
-def lookup_table_limit(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The first rows of a sorted lookup list; sort and limit run as one top-k."""
-    return rows.orderBy(*order).limit(LOOKUP_ROWS)
+def lookup_table(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A whole lookup list in order. A spreadsheet stops after some rows; here none
+    are lost, and the sort is a range exchange, not one task."""
+    return rows.orderBy(*order)
 
 
 def results_order() -> list[Column]:

@@ -9,38 +9,44 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from abspark.functions.scalars import to_double
 from abspark.operators.registry import normalize_id
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE, REPORT
 
 
+# A cell without a value and a blank one stay apart: only the former is written like this.
+BLANKS = {"nullValue": "\\N", "emptyValue": ""}
+
+
 def load_registry(spark: SparkSession, path: str, schema=EXPERIMENTS_STAGE) -> DataFrame:
     """Staged CSV rows with a declared schema; nothing is inferred."""
-    return spark.read.schema(schema).csv(path, multiLine=True, escape='"')
+    return spark.read.schema(schema).csv(path, multiLine=True, escape='"', **BLANKS)
 
 
 def write_stage(stage: DataFrame, path: str) -> None:
     """Staged rows as CSV, blanks kept as they are."""
     stage.write.csv(
-        path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        nullValue=BLANKS["nullValue"], emptyValue='""',
     )
 
 
-def unique_by_id(source: DataFrame, key: str = "id") -> DataFrame:
-    """(key, struct of the row) of the source, failing on two rows for one key, as a merge
-    would."""
-    row = F.any_value(F.struct(*source.columns))
-    text = F.concat(F.lit("more than one row for "), F.col(key).cast("string"))
-    checked = F.when(F.count("*") > 1, F.raise_error(text)).otherwise(row)
-    return source.groupBy(key).agg(checked.alias("new"))
+def unique_rows(source: DataFrame, *keys: str) -> DataFrame:
+    """The source, failing on two rows for one key, as a merge would. The rows are counted
+    in a window on the key that the join after it needs sorted in any case."""
+    text = F.concat_ws(" ", F.lit("more than one row for"), *[F.col(k).cast("string") for k in keys])
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(*keys))
+    checked = F.when(count > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return source.withColumn("one_row", checked).where("one_row").drop("one_row")
 
 
 def upsert_report(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
     """Source rows replace target rows of the same key; new keys are added. Each side
     is read once: the source may be a whole analysis that is still to run."""
-    fresh = unique_by_id(source, key)
+    fresh = unique_rows(source, key).select(key, F.struct(*source.columns).alias("new"))
     old = target.select(key, F.struct(*target.columns).alias("old"))
     both = old.join(fresh, key, "full_outer")
     is_new = F.col("new").isNotNull()
@@ -91,8 +97,9 @@ def valid_stage(stage: DataFrame) -> DataFrame:
 
 def upsert_registry(target: DataFrame, stage: DataFrame) -> DataFrame:
     """Merge by export mode. ANALYZE takes all staged columns and adds new rows,
-    UPDATE takes the descriptive ones, STATUS_ONLY none; the last two end the analysis."""
-    staged = valid_stage(stage).select(
+    UPDATE takes the descriptive ones, STATUS_ONLY none; the last two end the analysis.
+    Two staged rows for one (id, variant) make it fail."""
+    staged = unique_rows(valid_stage(stage), "id", "variant").select(
         "id", "variant", _mode().alias("mode"),
         F.struct(*EXPERIMENTS.fieldNames()).alias("new"),
     )
@@ -149,12 +156,18 @@ def sync_report_names(report: DataFrame, stage: DataFrame) -> DataFrame:
     )
 
 
+def is_number(text: Column) -> Column:
+    """A finite number; words that a cast would take for one ('nan', '12d') are none."""
+    value = to_double(text)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
 def ids_with(df: DataFrame, ids: DataFrame | Iterable[str]) -> DataFrame:
     """Numeric ids, zero-padded, as a one-column frame."""
     if not isinstance(ids, DataFrame):
         ids = df.sparkSession.createDataFrame([(i,) for i in ids], "id STRING")
     return (
-        ids.where(F.trim("id").try_cast("double").isNotNull())
+        ids.where(is_number(F.trim("id")))
         .select(normalize_id(F.col("id")).alias("id"))
         .where(F.col("id") != "")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,8 +35,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the cluster's checkpoint folder when it names
-    one; only a session without that setting (a test) gets a local folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="abspark-")
+def stage_folder(spark: SparkSession, parent: str | None = None) -> str:
+    """A new folder for staged rows, below the given one or below spark.checkpoint.dir.
+    Executors and driver must both see it, so there is no local default."""
+    parent = parent or spark.conf.get("spark.checkpoint.dir", None)
+    if not parent:
+        raise ValueError("name a shared folder: an argument or spark.checkpoint.dir")
+    return f"{parent.rstrip('/')}/stage-{uuid.uuid4()}"

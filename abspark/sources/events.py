@@ -28,6 +28,15 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("table_suffix", F.col("table_suffix").cast("string"))
 
 
+def read_chosen_shards(spark: SparkSession, catalog: DataFrame, root: str) -> DataFrame:
+    """The nested event table read through the choice of family: ``root`` holds one folder
+    of day shards per family, named like its prefix. Only the choice reaches the driver."""
+    fresh = F.col("table_name").startswith(FRESH_PREFIX)
+    any_fresh = not catalog.where(fresh).isEmpty()
+    prefix = FRESH_PREFIX if any_fresh else DAILY_PREFIX
+    return read_shards(spark, f"{root.rstrip('/')}/{prefix}")
+
+
 def scan_sharded_events(
     events: DataFrame, start: dt.date, end: dt.date
 ) -> DataFrame:
@@ -48,11 +57,11 @@ def chosen_shards(catalog: DataFrame) -> DataFrame:
     fresh = name.startswith(FRESH_PREFIX)
     daily = name.startswith(DAILY_PREFIX) & ~fresh
     any_fresh = catalog.agg(F.coalesce(F.bool_or(fresh), F.lit(False))).scalar()
-    prefix_length = F.when(fresh, len(FRESH_PREFIX)).otherwise(len(DAILY_PREFIX))
+    begin = F.when(fresh, len(FRESH_PREFIX) + 1).otherwise(len(DAILY_PREFIX) + 1)
     return (
         catalog.where(fresh | daily)
         .where(fresh == any_fresh)
-        .select("table_name", F.substring(name, prefix_length + 1, 64).alias("table_suffix"))
+        .select("table_name", F.substr(name, begin).alias("table_suffix"))
     )
 
 

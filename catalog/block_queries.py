@@ -122,14 +122,14 @@ def _(spark, sf_dir):
 
 @query(
     "previous_period",
-    f"""{W} SELECT {C}, CAST(date_start_a - CAST(date_end_a - date_start_a AS INTEGER) - 1 AS DATE)
-    AS date_start, CAST(date_start_a - 1 AS DATE) AS date_end FROM blocks
-    WHERE date_start_a <= date_end_a""",
+    f"""{W} SELECT {C}, CASE WHEN date_start_a <= date_end_a THEN
+    CAST(date_start_a - CAST(date_end_a - date_start_a AS INTEGER) - 1 AS DATE) END AS date_start,
+    CASE WHEN date_start_a <= date_end_a THEN CAST(date_start_a - 1 AS DATE) END AS date_end
+    FROM blocks""",
 )
 def _(spark, sf_dir):
     period = reg.previous_period(F.col("date_start_a"), F.col("date_end_a"))
-    found = blocks(spark, sf_dir).select(C, period.alias("p")).where("p IS NOT NULL")
-    return found.select(C, "p.*")
+    return blocks(spark, sf_dir).select(C, period.alias("p")).select(C, "p.*")
 
 
 @query(

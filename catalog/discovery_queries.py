@@ -328,6 +328,19 @@ def _(spark, sf_dir):
     return dis.discover_json_keys_plain(events, "properties", window, ["info"])
 
 
+@query(
+    "discover_variant_params_flat",
+    f"""WITH {BASE_SQL} SELECT unnest(['k', 'value', 'ga_session_id', 'exp_variant_string', 'tier',
+    'ecommerce.purchase_revenue']) AS name, 'EVENT' AS scope, unnest([count(k), count(value),
+    count(session_id), count(variant), count(tier), count(value)]) AS n FROM base""",
+)
+def _(spark, sf_dir):
+    events, _layout = view(spark, sf_dir, TOOL_FLAT)
+    found = names_in(dis.discover_variant_params_flat(events, r"^ecommerce\.[a-z_]+$"))
+    counted = filled_counts(events.select("*", "event_params.*"), found)
+    return counted.withColumn("scope", F.lit("EVENT"))
+
+
 @query(
     "json_numeric_keys",
     f"""{SINCE} SELECT DISTINCT 'EVENT' AS scope, unnest(['k', 'value']) AS name FROM win""",
@@ -340,14 +353,11 @@ def _(spark, sf_dir):
 @query(
     "key_event_join",
     f"""WITH {BASE_SQL} SELECT name, count(*) AS texts FROM (SELECT {ONE_BAG_KEYS} AS name
-    FROM base) WHERE name IN ('tier', '$user_id', 'plan', 'k') GROUP BY name""",
+    FROM base) WHERE name IS NOT NULL GROUP BY name""",
 )
 def _(spark, sf_dir):
     events, _layout = view(spark, sf_dir, TOOL_ONE_BAG)
-    # candidate keys: those of the user events, without the ones every text has
-    wanted = dis.discover_json_keys_plain(
-        events, "properties", F.lit(True), ["value", "variant", "info", "session_id"]
-    )
+    wanted = dis.discover_json_keys_plain(events, "properties", F.lit(True))
     return dis.key_event_join(events, "properties", wanted)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from abspark.operators import attribution as att
 from abspark.operators import exposures as exp
-from abspark.operators.aggregates import distinct_unit_count, sufficient_stats
+from abspark.operators.aggregates import distinct_unit_count, sufficient_stats, unit_stats
 from abspark.plans.analyze import analyze_one, analyze_specs
 from abspark.sources import events as scans
 from abspark.sources.layouts import layout_for
@@ -698,7 +698,7 @@ for name, tool in (("post_exposure_join", TOOL_FLAT), ("post_exposure_join_stric
         parts_sql(tool, join_spec)
         + """SELECT key, epoch_us(exposure_time) AS exposure_micros,
         epoch_us(conv_time) AS conv_micros, round(conv_value, 4) AS conv_value
-        FROM joined""",
+        FROM met WHERE conv_time IS NOT NULL""",
     )
     def _(spark, sf_dir, tool=tool, join_spec=join_spec):
         events, layout = view(spark, sf_dir, tool)
@@ -717,23 +717,41 @@ for name, tool in (("post_exposure_join", TOOL_FLAT), ("post_exposure_join_stric
 
 @query(
     "exclude_join",
-    f"""{EXPOSURES} SELECT key, epoch_us(exposure_time) AS micros FROM (
-    {units_sql(TOOL_NESTED, spec(TOOL_NESTED, user_overlap=EXCLUDE))})""",
+    EXPOSURES + " " + " UNION ALL ".join(
+        f"""SELECT '{v}' AS side, key, epoch_us(exposure_time) AS micros FROM (
+        {units_sql(TOOL_NESTED, spec(TOOL_NESTED, v, user_overlap=EXCLUDE))})"""
+        for v in "AB"
+    ),
 )
 def _(spark, sf_dir):
-    units = att.exclude_join(labelled(spark, sf_dir), "^control$")
-    return units.select("key", micros("exposure_time").alias("micros"))
+    exposures = labelled(spark, sf_dir)
+    sides = [
+        att.exclude_join(exposures, spec(TOOL_NESTED, v).exp_variant_string).select(
+            F.lit(v).alias("side"), "key", micros("exposure_time").alias("micros")
+        )
+        for v in "AB"
+    ]
+    return union(sides)
 
 
-@query("sufficient_stats", stats_sql(TOOL_FLAT, spec(TOOL_FLAT, conversion_count_all=True)))
+@query(
+    "sufficient_stats",
+    " UNION ALL ".join(
+        f"SELECT '{v}' AS side, * FROM ({stats_sql(TOOL_FLAT, spec(TOOL_FLAT, v, conversion_count_all=True))})"
+        for v in "AB"
+    ),
+)
 def _(spark, sf_dir):
     events, layout = view(spark, sf_dir, TOOL_FLAT)
-    s = spec(TOOL_FLAT, conversion_count_all=True)
-    units = att.overlap_first_exposure(
-        exp.label_exposures(events, layout, s), s.exp_variant_string
-    )
-    joined = att.post_exposure_join(units, exp.conversions(events, layout, s), False)
-    return rounded(sufficient_stats(units, joined))
+    sides = []
+    for v in "AB":
+        s = spec(TOOL_FLAT, v, conversion_count_all=True)
+        units = att.overlap_first_exposure(
+            exp.label_exposures(events, layout, s), s.exp_variant_string
+        )
+        found = rounded(unit_stats(units, exp.conversions(events, layout, s), False))
+        sides.append(found.select(F.lit(v).alias("side"), "*"))
+    return union(sides)
 
 
 @query(

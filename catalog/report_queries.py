@@ -344,9 +344,7 @@ VALUE_COLUMNS = [
 
 @query("attach_value_test", f"{TESTS} SELECT {', '.join(VALUE_COLUMNS)} FROM report")
 def _(spark, sf_dir):
-    pivoted = ab(spark, sf_dir)
-    values = rep.test_values(agg.value_moments(pivoted))
-    return round_doubles(rep.attach_value_test(pivoted, values).select(*VALUE_COLUMNS))
+    return round_doubles(rep.with_value_test(ab(spark, sf_dir)).select(*VALUE_COLUMNS))
 
 
 def derived_report(spark, sf_dir):

@@ -206,13 +206,12 @@ def _(spark, sf_dir):
 
 @query(
     "rate_of_change",
-    f"""WITH {ARMS_SQL} SELECT id, round((mb - ma) / ma * 100, 6) AS change FROM arms
-    WHERE ma IS NOT NULL AND mb IS NOT NULL""",
+    f"""WITH {ARMS_SQL} SELECT id, round((mb - ma) / nullif(ma, 0) * 100, 6) AS change
+    FROM arms""",
 )
 def _(spark, sf_dir):
     change = stats.rate_of_change(F.col("ma"), F.col("mb"))
-    both = arms(spark, sf_dir).where("ma IS NOT NULL AND mb IS NOT NULL")
-    return both.select("id", F.round(change, 6).alias("change"))
+    return arms(spark, sf_dir).select("id", F.round(change, 6).alias("change"))
 
 
 def side_p_sql(stat: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from abspark.operators import aggregates as agg
 from abspark.operators import lookups, tables
 from abspark.operators.attribution import split_by_policy
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE
-from abspark.session import scratch_dir
+from abspark.session import stage_folder
 from catalog.registry import query
 from catalog.views import BASE_SQL, base, table
 
@@ -107,13 +107,15 @@ STAGE_SQL = f"""(SELECT {registry_select('new', f', {MODE_SQL} AS export_mode')}
 
 @query(
     "load_registry",
-    f"""SELECT * REPLACE (nullif(id, '') AS id) FROM {STAGE_SQL}""",
+    f"SELECT * FROM {STAGE_SQL}",
 )
 def _(spark, sf_dir):
     stage = customer_rows(spark, sf_dir, "new", NEW, extra="mode").select(
         *EXPERIMENTS_STAGE.fieldNames()
     )
-    folder = f"{scratch_dir(spark)}/stage-{uuid.uuid4()}"
+    # One machine's session (a test) may have no shared folder; a cluster must name one.
+    alone = spark.sparkContext.master.startswith("local[")
+    folder = stage_folder(spark, tempfile.mkdtemp(prefix="stage-") if alone else None)
     tables.write_stage(stage, folder)
     return tables.load_registry(spark, folder)
 
@@ -236,9 +238,12 @@ def _(spark, sf_dir):
     from abspark.operators.registry import normalize_id
 
     customers = table(spark, sf_dir, "customer")
-    # every third customer, plus their names, which are no numbers and delete nothing
+    # every third customer; names, 'nan' and the like are no numbers and delete nothing
     gone = customers.where(DELETED).select(
-        F.explode(F.array(F.col("c_custkey").cast("string"), "c_name")).alias("id")
+        F.explode(
+            F.array(F.col("c_custkey").cast("string"), "c_name", F.lit("nan"),
+                    F.concat(F.col("c_custkey") + 1, F.lit("d")))
+        ).alias("id")
     )
     left = tables.delete_experiments(
         {
@@ -414,11 +419,11 @@ def _(spark, sf_dir):
 
 @query(
     "lookup_table_limit",
-    f"SELECT o_orderkey AS name FROM orders ORDER BY name LIMIT {lookups.LOOKUP_ROWS}",
+    "SELECT o_orderkey AS name FROM orders ORDER BY name",
 )
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
-    return lookups.lookup_table_limit(keys, ["name"])
+    return lookups.lookup_table(keys, ["name"])
 
 
 @query(

@@ -182,7 +182,7 @@ def test_lookup_lists(spark):
                                "name STRING, scope STRING")
     merged = lookups.merge_lookup_lists(df, df)
     assert [tuple(r) for r in merged.collect()] == [("z", "EVENT"), ("a", "USER"), ("b", "USER")]
-    limited = lookups.lookup_table_limit(merged, ["name"])
+    limited = lookups.lookup_table(merged, ["name"])
     assert "TakeOrderedAndProject" in limited._jdf.queryExecution().executedPlan().toString()
 
 
