@@ -138,7 +138,8 @@ def counted(texts: DataFrame, count) -> DataFrame:
             every: Counter = Counter()
             for text in batch["text"]:
                 every.update(count(text))
-            yield pd.DataFrame({"key": list(every), "texts": pd.array(list(every.values()), "int64")})
+            if every:
+                yield pd.DataFrame({"key": list(every), "texts": pd.array(list(every.values()), "int64")})
 
     return texts.select("text").mapInPandas(sums, "key string, texts long").groupBy("key").agg(F.sum("texts").alias("texts"))
 
