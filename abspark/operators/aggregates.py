@@ -227,3 +227,23 @@ def export_summary(stage: DataFrame) -> DataFrame:
         ids("UPDATE").alias("updated"),
         ids("STATUS_ONLY").alias("synced"),
     )
+
+
+def cost_rows(
+    job_log: DataFrame, price: DataFrame, merge_jobs: DataFrame, run_time: Column
+) -> DataFrame:
+    """G5 as rows of the cost table: the jobs of the run's merge (job_id, bytes_billed) are
+    billed to one of its experiments, the smallest id, and every row carries the time of the
+    run."""
+    billed_to = job_log.agg(F.min("id")).scalar()
+    merges = merge_jobs.select(billed_to.alias("id"), "job_id", "bytes_billed")
+    jobs = job_log.select("id", "job_id", "bytes_billed").unionByName(merges)
+    return query_cost_rollup(jobs, price).select(
+        "id", run_time.alias("execution_time"), "job_ids", "total_bytes_billed",
+        "estimated_cost_usd",
+    )
+
+
+def distinct_list(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct combinations of some columns."""
+    return rows.select(*columns).distinct()

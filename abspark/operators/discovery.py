@@ -235,6 +235,12 @@ def discover_params_flat(
     return union_distinct(*scopes)
 
 
+def lateral_names(events: DataFrame, *arrays: str) -> DataFrame:
+    """One row per element of the named key/value arrays, with its key."""
+    keys = F.concat(*[F.coalesce(F.col(f"{a}.key"), F.array()) for a in arrays])
+    return events.select(F.explode(keys).alias("key"))
+
+
 def detect_time_column(events: DataFrame) -> str | None:
     """The best time column the table has."""
     return next((c for c in TIME_COLUMNS if c in events.columns), None)

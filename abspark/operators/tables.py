@@ -190,3 +190,13 @@ def delete_query_info(table: DataFrame, job_ids: DataFrame | Iterable[str]) -> D
         )
     named = F.col("job_ids").isin(list(job_ids))
     return table.where(F.coalesce(~named, F.lit(True)))
+
+
+def rows_with_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is listed; a key that is listed twice does not repeat them."""
+    return rows.join(ids.select(key), key, "left_semi").select(*rows.columns)
+
+
+def rows_without_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is not listed, NULL keys included."""
+    return rows.join(ids.select(key), key, "left_anti").select(*rows.columns)

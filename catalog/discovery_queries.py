@@ -12,6 +12,7 @@ from abspark.sources.layouts import layout_for
 from abspark.spec import TOOL_FLAT, TOOL_NESTED, TOOL_ONE_BAG, TOOL_TWO_BAG
 from catalog.events_queries import SHORT, union, view
 from catalog.registry import query
+from abspark.operators.aggregates import distinct_list
 from catalog.views import BASE_SQL, base, table
 
 TODAY = dt.date(2024, 1, 25)
@@ -159,10 +160,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     events, _layout = view(spark, sf_dir, TOOL_NESTED)
-    keys = F.concat("event_params.key", "user_properties.key")
-    return events.select(F.explode(keys).alias("key")).groupBy("key").agg(
-        F.count("*").alias("n")
-    )
+    keys = dis.lateral_names(events, "event_params", "user_properties")
+    return keys.groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -170,8 +169,7 @@ def _(spark, sf_dir):
     f"""WITH {BASE_SQL} SELECT DISTINCT event_type, variant, tier FROM base""",
 )
 def _(spark, sf_dir):
-    b = base(spark, sf_dir)
-    return b.select("event_type", "variant", "tier").distinct()
+    return distinct_list(base(spark, sf_dir), "event_type", "variant", "tier")
 
 
 # ---------------------------------------------------------------- D6, D8, D13

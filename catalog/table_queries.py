@@ -306,6 +306,28 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "cost_rows",
+    f"""WITH {JOBS_SQL}, {PRICE_SQL}, every AS (SELECT * FROM jobs UNION ALL
+      SELECT (SELECT min(id) FROM jobs), 'merge_' || CAST(s_suppkey AS VARCHAR), s_suppkey * 1000000
+      FROM supplier)
+    SELECT id, TIMESTAMP '2024-03-01 00:00:00' AS execution_time,
+      string_agg(job_id, ', ' ORDER BY job_id) AS job_ids,
+      CAST(sum(bytes_billed) AS BIGINT) AS total_bytes_billed,
+      round(sum(bytes_billed) / 1099511627776.0 * (SELECT p FROM price), 6) AS estimated_cost_usd
+    FROM every GROUP BY id""",
+)
+def _(spark, sf_dir):
+    merges = table(spark, sf_dir, "supplier").selectExpr(
+        "'merge_' || s_suppkey AS job_id", "s_suppkey * 1000000 AS bytes_billed"
+    )
+    when = F.lit("2024-03-01").cast("timestamp")
+    rows = agg.cost_rows(job_log(spark, sf_dir), price(spark, sf_dir), merges, when)
+    return rows.withColumn(
+        "estimated_cost_usd", F.round(F.col("estimated_cost_usd").cast("double"), 6)
+    )
+
+
 def cost_table(spark, sf_dir):
     costs = agg.query_cost_rollup(job_log(spark, sf_dir), price(spark, sf_dir))
     days = F.make_interval(days=(F.col("id").cast("int") % 28))
@@ -483,9 +505,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     staged = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     lines = table(spark, sf_dir, "lineitem")
-    return lines.join(
-        staged.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"
-    ).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    ids = staged.select(F.col("o_orderkey").alias("l_orderkey"))
+    return tables.rows_with_ids(lines, ids, "l_orderkey")
 
 
 @query(
