@@ -2,9 +2,12 @@
 
 Rows of a source are put in order of (size, doc_id), each is expected r = target / source
 size times, and a row is taken once for every integer that the running sum r * rank + offset
-crosses at it. The offset is drawn once per source from a hash of its name and the seed, so
-reruns agree. Because neighbours in the order have nearly the same size, the words taken are
-off the target by at most about the largest document of the source.
+crosses at it. A source has one random offset, drawn from a hash of its name and the seed, so
+reruns agree. Neighbours in the order have nearly the same size, so the words taken are off
+the target by at most about the largest document of the source. So that their differences
+don't add up either, the two rows of each pair of neighbours change places by a hash, and of
+DRAWS draws (offset and places) the one that comes nearest is kept, which matters for small
+sources (balanced sampling by rejection).
 
 Nulls and repeats: a null text has size 0; a null source is a source of its own, last in
 order; rows that agree in doc_id, source and size share one draw. An empty table gives an
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from abspark.llm.common import NOT_TOKEN, count_words, running_sum, staged
 
 CEILING = 3  # no source gets more than so many times its size
+DRAWS = 16  # draws tried per source
 WEIGHTS = 3  # weights 1, 2, 3, repeating in the order of the sources
 
 
@@ -55,12 +59,20 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def offset(source: Column, seed: int) -> Column:
-    """A number in [0, 1) for each source and seed."""
-    name = F.concat(F.coalesce(source, F.lit("")), F.lit(f":{seed}"))
+def offset(source: Column, seed: int, number: int) -> Column:
+    """A number in [0, 1) for each source, seed and number of the draw."""
+    name = F.concat(F.coalesce(source, F.lit("")), F.lit(f":{seed}:{number}"))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def place(source: Column, rank: Column, seed: int, number: int) -> Column:
+    """The rank of a row after its pair of neighbours has or has not changed places."""
+    pair = F.shiftright(rank - 1, 1)
+    name = F.concat_ws(":", F.coalesce(source, F.lit("")), F.lit(seed), F.lit(number), pair)
+    swap = F.when(F.substring(F.md5(name), 1, 1) < "8", 0).otherwise(1)
+    return pair * 2 + (rank - 1 + swap) % 2 + 1
+
+
 def draw(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, rows (how many rows of the table
     share the draw): how often each document is taken."""
@@ -70,10 +82,21 @@ def draw(docs: DataFrame, seed: int = 1) -> DataFrame:
     targets = targets.withColumnRenamed("source", "of")
     order = [F.col("size"), F.col("doc_id").asc_nulls_last()]
     ranked = running_sum(units, ["source"], order, F.lit(1))
-    ranked = ranked.join(targets, F.col("source").eqNullSafe(F.col("of")))
+    ranked = staged(ranked.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
     rate = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
-    crossed = lambda rank: F.floor(rank * rate + offset(F.col("source"), seed))
-    copies = F.coalesce(crossed(F.col("upto")) - crossed(F.col("upto") - 1), F.lit(0))
+
+    def copies_of(number: int) -> Column:
+        start = offset(F.col("source"), seed, number)
+        rank = place(F.col("source"), F.col("upto"), seed, number)
+        return F.coalesce(F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start), F.lit(0))
+
+    numbers = range(1, DRAWS + 1)
+    words = F.col("size") * F.col("rows")
+    tried = ranked.groupBy("source", "target").agg(*[F.sum(copies_of(k) * words).alias(f"words_{k}") for k in numbers])
+    each = [F.struct(F.abs(F.col(f"words_{k}") - F.col("target")), F.lit(k).alias("number")) for k in numbers]
+    best = tried.select(F.col("source").alias("of"), F.array_min(F.array(*each))["number"].alias("number"))
+    ranked = ranked.join(best, F.col("source").eqNullSafe(F.col("of")))
+    copies = F.coalesce(*[F.when(F.col("number") == k, copies_of(k)) for k in numbers])
     return ranked.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), "rows"
     )

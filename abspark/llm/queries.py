@@ -127,17 +127,29 @@ WITH d AS (
 ), target AS (
     SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE
         CAST((SELECT sum(source_size) - sum(CASE WHEN is_full THEN 3 * source_size ELSE 0 END) FROM level) AS DOUBLE)
-        / CAST((SELECT sum(CASE WHEN is_full THEN 0 ELSE weight END) FROM level) AS DOUBLE) * weight END AS target,
-        CAST(CAST('0x' || substr(md5(coalesce(source, '') || ':1'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
+        / CAST((SELECT sum(CASE WHEN is_full THEN 0 ELSE weight END) FROM level) AS DOUBLE) * weight END AS target
     FROM level
 ), ranked AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, u, target / nullif(t.source_size, 0) AS rate,
+    SELECT d.source, d.doc_id, d.size, t.source_size, t.target, target / nullif(t.source_size, 0) AS rate,
         dense_rank() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k
     FROM d JOIN target AS t ON d.source IS NOT DISTINCT FROM t.source
+), draw AS (
+    SELECT source, target, n, CAST(CAST('0x' || substr(md5(coalesce(source, '') || ':1:' || n), 1, 8) AS BIGINT)
+        AS DOUBLE) / 4294967296.0 AS u
+    FROM target, (SELECT unnest(range(1, 17)) AS n)
+), placed AS (
+    SELECT ranked.*, n, u, (k - 1) // 2 * 2 + 1 + (k - 1 + CASE WHEN substr(md5(coalesce(ranked.source, '')
+        || ':1:' || n || ':' || (k - 1) // 2), 1, 1) < '8' THEN 0 ELSE 1 END) % 2 AS p
+    FROM ranked JOIN draw ON ranked.source IS NOT DISTINCT FROM draw.source
+), tried AS (
+    SELECT *, size * CAST(coalesce(floor(p * rate + u) - floor((p - 1) * rate + u), 0) AS BIGINT) AS taken FROM placed
+), best AS (
+    SELECT source, arg_min(n, row(away, n)) AS n
+    FROM (SELECT source, n, abs(CAST(sum(taken) AS BIGINT) - any_value(target)) AS away FROM tried GROUP BY source, n)
+    GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-    CAST(coalesce(floor(k * rate + u) - floor((k - 1) * rate + u), 0) AS BIGINT) * size AS taken
-FROM ranked
+SELECT doc_id, size, source_size, target, taken
+FROM tried JOIN best ON tried.source IS NOT DISTINCT FROM best.source AND tried.n = best.n
 """)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     drawn = mixing.draw(table(spark, folder, "documents"))
