@@ -66,6 +66,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "x DOUBLE",
         "STRING",
         """CASE WHEN isnan(x) THEN 'nan'
+            WHEN abs(x) = double('infinity') THEN IF(x > 0, 'inf', '-inf')
             WHEN contains(string(x), 'E') AND abs(x) BETWEEN 1e-4D AND 1e15D
             THEN regexp_replace(regexp_replace(
                 string(try_cast(string(x) AS DECIMAL(38, 21))), '0+$', ''), '[.]$', '')

@@ -32,17 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from abspark.functions.scalars import all_of
+from abspark.functions.scalars import all_of, normalize_path
 from abspark.operators.aggregates import sufficient_stats
 from abspark.operators.attribution import OVERLAP, post_exposure_join
 from abspark.operators.exposures import (
     conversions,
+    filter_predicates,
     label_exposures,
     matches_variant,
     select_active,
 )
 from abspark.schemas import RESULTS
-from abspark.sources.layouts import EventLayout, LookupStage, layout_for
+from abspark.sources.layouts import EventLayout, LookupStage, field_type, layout_for
 from abspark.spec import (
     BOTH,
     CONVERSION_SIDE,
@@ -84,7 +85,23 @@ def skip_reasons(layout: EventLayout, spec: ExperimentSpec) -> list[str]:
         sided = f.applies_to(EXPOSURE_SIDE) or f.applies_to(CONVERSION_SIDE)
         if sided and (f.filter_field is None or f.filter_value is None):
             reasons.append("filter without field or value")
-    return reasons
+        elif sided and (f.filter_scope or "").upper() == "COLUMN":
+            if field_type(layout.schema, normalize_path(f.filter_field)) is None:
+                reasons.append(f"no column {f.filter_field!r}")
+    return reasons or _unbuildable(layout, spec)
+
+
+def _unbuildable(layout: EventLayout, spec: ExperimentSpec) -> list[str]:
+    """Names no expression can be made of, such as a key no JSON path can name. They keep
+    their own row from running, not the report of all the others."""
+    try:
+        layout.exposure_text(spec)
+        layout.value(spec)
+        for side in (EXPOSURE_SIDE, CONVERSION_SIDE):
+            filter_predicates(layout, spec, side)
+    except ValueError as error:
+        return [str(error)]
+    return []
 
 
 def active_specs(

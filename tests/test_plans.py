@@ -133,6 +133,20 @@ def test_scans_do_not_grow_with_the_registry(one_bag, count_all, scans):
     assert event_scans(final_plan(results)) == scans
 
 
+def test_one_odd_row_does_not_stop_the_others(one_bag):
+    from abspark.spec import FilterSpec
+
+    events, layout = one_bag
+    good = [spec(TOOL_ONE_BAG, v) for v in "AB"]
+    odd = [
+        spec(TOOL_ONE_BAG, "A", id="odd", filters=(FilterSpec("Include", "Both", "Event", "a'[b", "x"),)),
+        spec(TOOL_ONE_BAG, "A", id="gone", filters=(FilterSpec("Include", "Both", "Column", "not.there", "x"),)),
+    ]
+    assert all(plan.skip_reasons(layout, s) for s in odd)
+    results = plan.analyze_specs(events, layout, good + odd).collect()
+    assert sorted(r["variant"] for r in results) == ["A", "B"]
+
+
 def test_gaps_between_windows_are_not_read(spark, one_bag):
     events, layout = one_bag
     apart = [
