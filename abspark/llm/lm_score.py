@@ -34,6 +34,7 @@ from abspark.llm.hashing import GRAM_FACTORS, mixed, token_hashes
 CHUNK_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+PAIR_BITS_DROPPED = np.uint64(16)  # pairs travel with 48 bits beside their bucket
 CONTEXTS = 24  # classes of context frequency: 0, 1, 2-3, 4-7, ...
 STEPS = 4  # grid steps per factor of two
 GRID = 64 * STEPS
@@ -76,12 +77,31 @@ def distinct(chunk: pd.DataFrame, buckets: int):
     tokens, contexts, bounds = chunk_tokens(chunk)
     pairs = mixed(contexts * GRAM_FACTORS[0] + tokens * GRAM_FACTORS[1])
     found = []
-    for keys in (tokens, pairs):
+    for keys, dropped in ((tokens, np.uint64(0)), (pairs, PAIR_BITS_DROPPED)):
         values, inverse = np.unique(keys, return_inverse=True)
-        found.append(((values % np.uint64(buckets)).astype(np.int64), values // np.uint64(buckets), inverse))
+        found.append(((values % np.uint64(buckets)).astype(np.int64), values >> dropped, inverse))
     return found, bounds
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their steps: the low halves as they are (they are random), the high
+    halves, which are small, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    low, high = steps.astype(np.uint32).tobytes(), (steps >> np.uint64(32)).astype(np.uint32)
+    planes = high.view(np.uint8).reshape(-1, 4).T  # equal bytes side by side
+    return len(keys).to_bytes(8, "little") + low + zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    n = int.from_bytes(blob[:8], "little")
+    low = np.frombuffer(blob, np.uint32, n, 8).astype(np.uint64)
+    planes = np.frombuffer(zlib.decompress(blob[8 + 4 * n :]), np.uint8).reshape(4, n)
+    high = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
+    return np.cumsum(low + (high << np.uint64(32)), dtype=np.uint64)
+
+
 def sender(buckets: int):
     def send(chunk: pd.DataFrame) -> pd.DataFrame:
         found, bounds = distinct(chunk, buckets)
@@ -93,10 +113,7 @@ def sender(buckets: int):
             numbers, at = np.unique(bucket[order], return_index=True)
             for number, own in zip(numbers.tolist(), np.split(order, at[1:]), strict=True):
                 row = blobs.setdefault(number, [b"", b"", b"", b""])
-                if kind == 0:
-                    row[0] = key[own].tobytes()
-                else:  # pairs travel with 48 bits beside their bucket
-                    row[2] = key[own].astype(np.uint32).tobytes() + (key[own] >> np.uint64(32)).astype(np.uint16).tobytes()
+                row[2 * kind] = packed_keys(key[own])
                 row[2 * kind + 1] = zlib.compress(counts[own].tobytes(), 1)
         number = int(chunk["chunk"].iloc[0])
         return pd.DataFrame(
@@ -111,12 +128,6 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), np.int64) if blob else np.zeros(0, np.int64)
 
 
-def pair_keys(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint16, n, 4 * n)
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-
-
 def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The summed count of each key, as each sender asked, and of each distinct key."""
     values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -126,8 +137,8 @@ def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
 
 
 def answer(sent: pd.DataFrame) -> pd.DataFrame:
-    tokens, sums = totals([np.frombuffer(b, np.uint64) for b in sent["tokens"]], [unpacked(b) for b in sent["token_counts"]])
-    pairs, _ = totals([pair_keys(b) for b in sent["pairs"]], [unpacked(b) for b in sent["pair_counts"]])
+    tokens, sums = totals([unpacked_keys(b) for b in sent["tokens"]], [unpacked(b) for b in sent["token_counts"]])
+    pairs, _ = totals([unpacked_keys(b) for b in sent["pairs"]], [unpacked(b) for b in sent["pair_counts"]])
     pack = lambda x: zlib.compress(x.tobytes(), 1)
     out = pd.DataFrame({
         "chunk": sent["chunk"], "bucket": sent["bucket"],
