@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words are runs of letters, digits and everything outside ASCII; the class below is the rest.
@@ -57,17 +56,6 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, the first of each name in any case; whatever else the table has
-    can't clash with columns an operator adds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def without(df: DataFrame, *names: str) -> list[Column]:
-    """The columns of a frame but the named ones."""
-    return [F.col(f"`{c}`") for c in df.columns if c not in names]
-
-
 def ordered_blocks(df: DataFrame, *order: Column) -> DataFrame:
     """Rows with a column block; blocks follow the order and are about equally large
     whatever key is frequent. Staged, so that a row's block never changes."""
@@ -100,7 +88,3 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     """A frame marked for broadcast if it has at most that many rows (counted), else as it
     is, for a join that shuffles both sides."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def long_field(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())
