@@ -4,6 +4,8 @@ All hashes are 64-bit and depend on content only, so they agree between tasks an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _SEED = np.random.Generator(np.random.PCG64(20240501))
@@ -63,9 +65,27 @@ def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+def in_pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Consecutive texts of about `size` characters together (one text at least), so that
+    the arrays over a batch stay small."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        more = len(text or "")
+        if i > begin and held + more > size:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += more
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-token shingles of each text; of a text with fewer
     tokens, the hash of all of them; none without tokens."""
+    return [s for piece in in_pieces(texts) for s in _shingle_sets(piece, n)]
+
+
+def _shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     tokens, at = token_hashes(texts)
     grams = gram_hashes(tokens, n)
     sets = []
