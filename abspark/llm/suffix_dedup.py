@@ -23,6 +23,7 @@ not remove each other's bytes. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,7 +218,7 @@ def segment_sender(buckets: int):
         heads["low"], heads["high"] = low, high
         number = int(chunk["chunk"].iloc[0])
         rows = [
-            (bucket, number, heads[own].tobytes(), b"".join(bodies[one[i]] for i in own))
+            (bucket, number, heads[own].tobytes(), zlib.compress(b"".join(bodies[one[i]] for i in own), 1))
             for bucket, own in by_bucket(heads["anchor"], buckets)
         ]
         return pd.DataFrame(rows, columns=columns)
@@ -267,7 +268,7 @@ def answer_documents(sent: pd.DataFrame) -> pd.DataFrame:
     heads = np.concatenate(parts)
     bodies = []
     for part, body in zip(parts, sent["body"], strict=True):
-        ends = np.cumsum(part["size"].astype(np.int64)).tolist()
+        ends, body = np.cumsum(part["size"].astype(np.int64)).tolist(), zlib.decompress(body)
         bodies += [body[e - s : e] for s, e in zip(part["size"].tolist(), ends, strict=True)]
     order = np.argsort(heads["key"], kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(heads["key"][order]) != 0))
