@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abspark.llm.common import row_key
@@ -310,9 +310,10 @@ def remover(with_text: bool):
                 columns["n_removed"].append(int(out.sum()))
                 columns["n_spans"].append(int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()))
                 columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                columns["kept"].append(kept if with_text else None)
+                # A character that lost some of its bytes goes as a whole.
+                columns["kept"].append(kept.decode("utf-8", "ignore") if with_text else None)
         out = pd.DataFrame(columns)
-        out.insert(0, "part", chunk["part"].to_numpy())
+        out.insert(0, "others", chunk["others"].to_numpy())
         out.insert(0, "known", chunk["known"].to_numpy())
         out.insert(0, "id", chunk["id"].to_numpy())
         return out
@@ -320,17 +321,19 @@ def remover(with_text: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, part, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null
-    without with_text) for each row."""
+def remove_repeats(
+    docs: DataFrame, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, others: Column | None = None
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text; null without
+    with_text) for each row, and a text column of docs that is carried along."""
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = buckets = max(16, -(-whole // chunk_bytes))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"),
-        row_key(F.col("text")).alias("part"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"), (F.lit(None) if others is None else others).cast("string").alias("others"),
     )
-    chunk = F.pmod(F.xxhash64("id", "part"), F.lit(chunks))
-    rows = rows.select(chunk.alias("chunk"), "id", "known", "part", "text")
+    chunk = F.pmod(F.xxhash64("id", row_key(F.col("text"))), F.lit(chunks))
+    rows = rows.select(chunk.alias("chunk"), "id", "known", "text", "others")
     by_chunk = rows.groupBy("chunk")
     sent = by_chunk.applyInPandas(anchor_sender(buckets), "bucket long, chunk long, hashes binary, shared binary")
     shared = sent.groupBy("bucket").applyInPandas(answer_shared, "chunk long, answer binary")
@@ -340,24 +343,26 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, chunk_bytes: int = C
     smallest = segments.groupBy("bucket").applyInPandas(answer_documents, "chunk long, answer binary")
     result = by_chunk.cogroup(smallest.groupBy("chunk")).applyInPandas(
         remover(with_text),
-        "id long, known boolean, part long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        "id long, known boolean, others string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string",
     )
     return result.select(
-        F.when(F.col("known"), F.col("id")).alias("doc_id"), "part", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
+        F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "others"
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs with the repeated passages cut out of text (a character that lost
     some of its bytes goes as a whole) and n_chars counted anew where there is such a
-    column; rows of which nothing is left go. Columns unchanged."""
-    judged = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "part"])
-    judged = judged.select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    match = F.col("row.doc_id").eqNullSafe(F.col("of")) & (row_key(F.col("row.text")) == F.col("of_part"))
-    joined = rows.join(judged, match, "left")
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.regexp_replace(whole, "�", ""))
-    joined = joined.withColumn("left", text).where(F.col("kept").isNull() | (F.col("left") != ""))
-    new = {"text": F.col("left"), "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left"))} if "n_chars" in docs.columns else {"text": F.col("left")}
-    return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    column; rows of which nothing is left go. Columns unchanged. The other columns travel
+    with the text as JSON, so that the texts need no join with them."""
+    names = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    kind = docs.select(row.alias("r")).schema["r"].dataType.simpleString()
+    judged = remove_repeats(docs, others=F.to_json(row, {"ignoreNullFields": "false"}))
+    judged = judged.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    judged = judged.select(F.from_json("others", kind).alias("r"), "n_removed", "kept")
+    new = {"text": F.when(~F.col("r.no_text"), F.col("kept"))}
+    if "n_chars" in names:
+        counted = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col("r.row.n_chars")).otherwise(counted)
+    return judged.select(*[new.get(c, F.col(f"r.row.`{c}`")).alias(c) for c in docs.columns])
