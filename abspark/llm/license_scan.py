@@ -40,7 +40,7 @@ FAMILIES = [
     ("epl", r"eclipse public license|epl", ["1 0", "2 0"]),
     ("cddl", r"common development and distribution license|cddl", ["1 0", "1 1"]),
     ("cpl", r"common public license", ["1 0"]),
-    ("eupl", r"european union public licen[cs]e|eupl", ["1 0", "1 1", "1 2"]),
+    ("eupl", r"european union public license|european union public licence|eupl", ["1 0", "1 1", "1 2"]),
     ("artistic", r"artistic license", ["1 0", "2 0"]),
     ("osl", r"open software license", ["1 0", "2 0", "3 0"]),
     ("afl", r"academic free license", ["2 0", "2 1", "3 0"]),
@@ -53,7 +53,7 @@ FAMILIES = [
     ("ruby", r"ruby license", []),
     ("wtfpl", r"wtfpl|do what the fuck you want to public license", ["2"]),
     ("unlicense", r"the unlicense", []),
-    ("mit", r"mit licen[cs]e|expat license|x11 license", []),
+    ("mit", r"mit license|mit licence|expat license|x11 license", []),
     ("ofl", r"sil open font license|open font license", ["1 0", "1 1"]),
     ("ms-pl", r"microsoft public license", []),
     ("odbl", r"open database license|odbl", ["1 0"]),
@@ -85,7 +85,7 @@ SENTENCES = [
     ("zlib", "this software is provided as is without any express or implied warranty", "warranty"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
     ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "domain"),
-    ("cc0", "cc0|cc zero|creative commons zero", "cc"),
+    ("cc0", "cc0|cc zero|creative commons zero", "cc0", "cc", "creative"),
     ("proprietary", "all rights reserved", "reserved"),
     ("proprietary", "proprietary and confidential", "proprietary"),
     ("proprietary", "no part of this (?:publication|document|work) may be reproduced", "reproduced"),
@@ -103,12 +103,15 @@ class Rule:
 
 
 def keywords_of(names: str) -> tuple[str, ...]:
-    """For each way to write a name, its longest word outside optional parts that is not
-    common to many names; a text without any of them can't match."""
+    """For each way to write a name, its longest word outside groups that is not common to
+    many names, after a blank (a version may follow at once); a text without any of them can't
+    match. Names may hold groups of whole words but nothing that changes letters in a word."""
+    common = ("general", "license", "licence", "public", "software", "open")
     found = set()
-    for name in re.sub(r"\(\?:[^)]*\)\??|\[.*?\]", "", names).split("|"):
-        own = [w for w in name.split() if w not in ("general", "license", "public", "software", "open")]
-        found.add(max(own or ["general public" if "general" in name else name.strip()], key=len))
+    for name in re.sub(r"\(\?:[^)]*\)\??", "", names).split("|"):
+        own = [w for w in name.split() if w not in common]
+        word = max(own or ["general public" if "general" in name else name.strip()], key=len)
+        found.add(f" {word}")
     return tuple(sorted(found))
 
 
@@ -146,8 +149,8 @@ def creative_rules() -> list[Rule]:
 
 def all_rules() -> list[Rule]:
     rules = [*family_rules(), *creative_rules()]
-    for label, pattern, keyword in SENTENCES:
-        rules.append(Rule(f"{label}-text", label, pattern, (keyword,), 15, 0.9))
+    for label, pattern, *keywords in SENTENCES:
+        rules.append(Rule(f"{label}-text", label, pattern, tuple(keywords), 15, 0.9))
     return rules
 
 

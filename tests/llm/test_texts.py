@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
+from re import _parser as sre_parse
 
 import numpy as np
 import pytest
@@ -293,6 +295,39 @@ def test_license_scan(make_docs, corpus):
     assert "cc-by-sa-4.0" in got[90].labels.split(",")
 
 
+def written_out(parsed):
+    """Texts a parsed pattern matches: every alternative, each optional part with and without."""
+    texts = [""]
+    for op, value in parsed:
+        if op is sre_parse.LITERAL:
+            some = [chr(value)]
+        elif op is sre_parse.IN:
+            some = [chr(v) for kind, v in value if kind is sre_parse.LITERAL]
+        elif op is sre_parse.ANY:
+            some = ["x"]
+        elif op is sre_parse.BRANCH:
+            some = [t for branch in value[1] for t in written_out(branch)]
+        elif op is sre_parse.SUBPATTERN:
+            some = written_out(value[3])
+        else:
+            assert op in (sre_parse.MAX_REPEAT, sre_parse.MIN_REPEAT)
+            once = written_out(value[2])
+            some = once if value[0] else ["", *once]
+        texts = [t + s for t in texts for s in some]
+    return texts
+
+
+def test_every_way_to_write_a_rule_passes_its_gate():
+    for rule in license_scan.all_rules():
+        pattern = re.compile(rf"(?<= )(?:{rule.pattern})(?= )")
+        for text in written_out(sre_parse.parse(rule.pattern)):
+            norm = f" {text} "
+            assert pattern.search(norm), (rule.name, text)
+            assert any(k in norm for k in rule.keywords), (rule.name, text)
+    for text, rule in (("Released under the MIT License.", "mit-grant"), ("the MIT Licence", "mit-name"), ("Creative Commons Zero", "cc0-text")):
+        assert rule in license_scan.scan_text(text)[-1].split(",")
+
+
 def test_rules_suppress_contained_ones():
     found = {r.name for _, _, r in license_scan.detections(license_scan.normalized("under the GNU Lesser General Public License version 2.1")[0])}
     assert found == {"lgpl-2.1-name"}
