@@ -1,10 +1,11 @@
 """Near-duplicates by SetSketch.
 
-A document's set holds the hashes of its distinct 4-token shingles (all tokens as one if it
-has fewer). Documents with equal sets are one node. A node's sketch has M registers
-K = floor(1 - log_b(h / rate)) over the smallest exponential variate h of each register: the
-variates are spaced exponentially and truncated, so sketches merge by the larger register
-and equal registers tell similarity. Bands of ROWS registers put nodes into buckets.
+A document's set holds the hashes of its distinct shingles (all tokens as one if it has
+fewer): SHINGLE tokens, or as many as the caller names. Documents with equal sets are one
+node. A node's sketch has M registers K = floor(1 - log_b(h / rate)) over the smallest
+exponential variate h of each register: the variates are spaced exponentially and truncated,
+so sketches merge by the larger register and equal registers tell similarity. Bands of ROWS
+registers put nodes into buckets.
 
 Candidates of a bucket are checked, first by the maximum-likelihood similarity of the two
 sketches (given the set sizes, which are known), then on the full sets:
@@ -34,7 +35,7 @@ from abspark.llm.common import bounded, row_key, staged
 from abspark.llm.graph import components
 from abspark.llm.hashing import mixed, shingle_sets
 
-SHINGLE = 4
+SHINGLE = 4  # tokens, by the contract of op10
 PERCENT = 80
 REGISTERS, ROWS = 128, 4
 LOG_BASE, RATE = 1.02, 20.0
@@ -88,12 +89,12 @@ def node_name(shingles: np.ndarray) -> bytes:
     return mixed(pair + np.uint64(len(shingles))).tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, part, n_shingles, node, bands of each row."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), SHINGLE)
+            sets = shingle_sets(batch["text"].tolist(), shingle)
             bands = []
             for s in sets:
                 r = registers(s).reshape(-1, ROWS).astype(np.uint64) if len(s) else np.zeros((0, ROWS), np.uint64)
@@ -112,12 +113,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return narrow.mapInPandas(sketch, "doc_id long, part long, n_shingles long, node binary, bands array<bigint>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """node, size, sketch, shingles of the documents with the wanted keys (doc_id, part)."""
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), SHINGLE)
+            sets = shingle_sets(batch["text"].tolist(), shingle)
             yield pd.DataFrame({
                 "node": [node_name(s) for s in sets], "size": pd.array([len(s) for s in sets], "int64"),
                 "sketch": [registers(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets],
@@ -210,11 +211,11 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Verified links (a, b) between nodes that leave no two linked nodes unconnected."""
     rows = buckets(nodes)
     wanted = rows.select("node").distinct().join(nodes.select("node", "doc_id", "part"), "node")
-    sets = full_sets(docs, wanted).dropDuplicates(["node"])
+    sets = full_sets(docs, wanted, shingle).dropDuplicates(["node"])
     found = staged(verified(first_pairs(rows), sets))
     labels = components(found)
     large = rows.where(F.col("members") > SMALL).select("node", "band").join(labels, "node", "left")
@@ -226,14 +227,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return staged(found.union(verified(prefix_pairs(open_nodes, sets), sets)).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, part, n_shingles, component_id, kept, group (null without a set) for each row."""
-    rows = staged(sketches(docs))
+    rows = staged(sketches(docs, shingle))
     one = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "bands")).alias("one")
     )
     nodes = staged(one.select("node", "one.doc_id", "one.part", "one.bands"))
-    labels = components(links(docs, nodes))
+    labels = components(links(docs, nodes, shingle))
     named = nodes.select("node", "doc_id").join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -247,10 +248,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component, that with the smallest doc_id; columns unchanged. Documents
     without a set stay; of rows that agree in doc_id and text one stays."""
-    judged = staged(near_duplicates(docs))
+    judged = staged(near_duplicates(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part")).alias("first")
     best = judged.where(F.col("group").isNotNull()).groupBy("group").agg(first).select("first.doc_id", "first.part")
     kept = best.union(judged.where(F.col("group").isNull()).select("doc_id", "part"))

@@ -14,6 +14,8 @@ from abspark.llm import decontaminate, mixing, setsketch, suffix_dedup, toxicity
 from abspark.llm.common import shared_folder, table
 from abspark.session import prepare
 
+NEAR_SHINGLE = 5  # words in a shingle of the stage near_copies; op10 has its own
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
@@ -21,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return setsketch.deduplicate(docs)
+    """One document of each group of near-duplicates (five-word shingles), the one with the
+    smallest doc_id."""
+    return setsketch.deduplicate(docs, NEAR_SHINGLE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

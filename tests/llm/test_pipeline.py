@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import corpus_pipeline
-from tests.llm.test_texts import removed, tokens, words
+from tests.llm.test_texts import components_of, near_group, removed, tokens, words
 
 
 def test_pipeline(spark, folder):
@@ -51,6 +51,21 @@ def test_pipeline(spark, folder):
     assert all(r.n_chars == len(r.text) for r in mixed if not re.search("\r", r.text))
 
 
+def test_near_copies_share_five_word_shingles(spark, make_docs, corpus):
+    def scattered(doc_id, changes):
+        w = [f"w{doc_id}x{i}" for i in range(200)]
+        for i in range(changes):
+            w[20 + 35 * i] = f"new{i}"
+        return " ".join(w)
+
+    rows = [*[r for r in corpus if r[1] and r[1].strip()], *near_group(corpus, 60)]
+    # 177/217 of the four-word shingles are common, but 171/221 of the five-word ones
+    rows += [(2000, scattered(1, 0), "s"), (2001, scattered(1, 5), "s"), (2010, scattered(2, 0), "s"), (2011, scattered(2, 4), "s")]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows), "").collect()}
+    assert kept == {k[2] for k in components_of(rows, 5)}
+    assert {2000, 2001, 2010} <= kept and 2011 not in kept
+
+
 def test_run_is_the_stages(spark, folder):
     result = corpus_pipeline.run(spark, folder)
     assert result.columns == spark.read.parquet(f"{folder}/documents.parquet").columns and result.count() > 0

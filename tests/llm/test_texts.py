@@ -131,13 +131,13 @@ def test_two_stage_sort(letters):
 
 
 # ---------------------------------------------------------------- near-duplicates
-def shingles(text):
+def shingles(text, n=4):
     w = tokens(text)
-    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def components_of(rows):
-    sets = [shingles(t) for _, t, _ in rows]
+def components_of(rows, n=4):
+    sets = [shingles(t, n) for _, t, _ in rows]
     parent = list(range(len(rows)))
 
     def find(x):
