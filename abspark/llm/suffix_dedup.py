@@ -6,10 +6,13 @@ its GRAM-byte pieces. Strings are equal only if their anchors are, so the corpus
 segments (an anchor with all strings that chose it) and solved by anchor:
 
  1. chunks of documents send the distinct hashes of their anchors to buckets of hashes; the
-    buckets answer which hashes occur in more than one document;
+    buckets answer which hashes occur in more than one document, and which of them are hot
+    (more than HOT places);
  2. chunks send the distinct segments of such anchors, each with its smallest and largest
     doc_id; a bucket sorts the suffixes of the differing segments of an anchor (two-stage),
-    takes common prefixes of neighbours, and answers the smallest doc_id of every string;
+    takes common prefixes of neighbours, and answers the smallest doc_id of every string.
+    Strings of hot anchors are not kept together: each goes to a bucket by its own hash, and
+    equal hashes give the smallest doc_id, so a hot anchor is spread over all buckets;
  3. chunks remove what a smaller document has.
 
 A passage that occurs very often is one distinct segment per chunk, however many documents
@@ -38,6 +41,7 @@ from abspark.llm.suffix_sort import common_prefixes, suffix_order
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1  # pieces in a string
 CHUNK_BYTES = 8 << 20
+HOT = 1 << 14  # places of an anchor beyond which its strings are dealt out one by one
 PIECE_BYTES = 1 << 20  # texts of a chunk are handled so many bytes at a time
 SEGMENT = np.dtype([("key", "<u8"), ("anchor", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u2")])
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "u1"), ("length", "u1")])
@@ -95,8 +99,9 @@ class Piece:
         """doc_id of each anchor."""
         return self.ids[np.searchsorted(self.starts, self.place, "right") - 1]
 
-    def cut(self, keep: np.ndarray | None = None) -> None:
-        """Segments of the anchors (or those marked): start, number of strings, key."""
+    def cut(self, hot: np.ndarray, keep: np.ndarray | None = None) -> None:
+        """Segments of the anchors (or those marked): start, number of strings, key. Each
+        string of an anchor among the hot ones (sorted) is a segment of its own, once."""
         if keep is not None:
             self.place, self.rank, self.anchor = self.place[keep], self.rank[keep], self.anchor[keep]
         self.start = np.zeros(len(self.place), np.int64)
@@ -107,6 +112,17 @@ class Piece:
             same = self.least[back] == self.rank[own, None]
             self.strings[own] = same.sum(1)
             self.start[own] = self.place[own] - same.argmax(1) - self.strings[own] + 1
+        self.single = among(self.anchor, hot)
+        if self.single.any():
+            covered = np.zeros(len(self.data) + 1, np.int64)
+            np.add.at(covered, self.start[self.single], 1)
+            np.add.at(covered, (self.start + self.strings)[self.single], -1)
+            alone, rest = np.flatnonzero(np.cumsum(covered) > 0), ~self.single
+            self.single = np.repeat([False, True], [rest.sum(), len(alone)])
+            self.start = np.concatenate([self.start[rest], alone])
+            self.place = np.concatenate([self.place[rest], alone])
+            self.anchor = np.concatenate([self.anchor[rest], np.zeros(len(alone), np.uint64)])
+            self.strings = np.concatenate([self.strings[rest], np.ones(len(alone), np.int64)])
         size = self.strings + SPAN - 1
         code = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(BYTE_CODE[self.data] * powers(BASE, len(self.data)), out=code[1:])
@@ -115,6 +131,18 @@ class Piece:
         self.key = mixed(mixed(content + size.astype(np.uint64)) + self.anchor * np.uint64(3) + left)
 
 
+def among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(ranked):
+        return np.zeros(len(values), bool)
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
+
+
+def hashes_of(blobs: pd.Series) -> np.ndarray:
+    """Sorted distinct hashes of some answers."""
+    return np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+
+
 def pieces(chunk: pd.DataFrame) -> Iterator[tuple[Piece, np.ndarray]]:
     """The documents of a chunk a piece at a time, with their rows. The order within the
     chunk does not matter to any step."""
@@ -149,49 +177,63 @@ def anchor_sender(buckets: int):
         hashes, owners = hashes[order], owners[order]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(hashes)) - 1
+        places = last - first + 1
         hashes, low, high = hashes[first], owners[first], owners[last] if len(first) else owners[:0]
         number = int(chunk["chunk"].iloc[0])
         rows = []
         for bucket, own in by_bucket(hashes, buckets):
             shared = np.packbits(low[own] != high[own]).tobytes()
-            rows.append((bucket, number, hashes[own].tobytes(), shared))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "shared"])
+            more = np.flatnonzero(places[own] > 1)
+            counts = np.stack([more, places[own][more]]).astype(np.uint32).tobytes()
+            rows.append((bucket, number, hashes[own].tobytes(), shared, counts))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "shared", "counts"])
 
     return send
 
 
-def answer_shared(sent: pd.DataFrame) -> pd.DataFrame:
-    """To each chunk, the hashes it sent that occur in more than one document. Chunks hold
-    whole documents, so a hash of two chunks is one of two documents (or of rows that
-    repeat a doc_id, which the next step sorts out)."""
-    parts = [np.frombuffer(h, np.uint64) for h in sent["hashes"]]
-    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)) for f, p in zip(sent["shared"], parts, strict=True)]
-    sizes = [len(p) for p in parts]
-    every, flag = np.concatenate(parts), np.concatenate(flags).astype(bool)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    twice = np.zeros(len(every), bool)
-    same = ranked[1:] == ranked[:-1]
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    keep = twice | flag
-    ends = np.cumsum(sizes)
-    answers = [every[e - s : e][keep[e - s : e]].tobytes() for s, e in zip(sizes, ends, strict=True)]
-    return pd.DataFrame({"chunk": sent["chunk"], "answer": answers})
+def shared_answerer(most: int):
+    def answer_shared(sent: pd.DataFrame) -> pd.DataFrame:
+        """To each chunk, the hashes it sent that occur in more than one document, and those
+        of them with more than `most` places. Chunks hold whole documents, so a hash of two
+        chunks is one of two documents (or of rows that repeat a doc_id, which the next step
+        sorts out)."""
+        parts = [np.frombuffer(h, np.uint64) for h in sent["hashes"]]
+        flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)) for f, p in zip(sent["shared"], parts, strict=True)]
+        sizes = [len(p) for p in parts]
+        every, flag = np.concatenate(parts), np.concatenate(flags).astype(bool)
+        ends = np.cumsum(sizes)
+        places = np.ones(len(every), np.int64)
+        for s, e, counts in zip(sizes, ends, sent["counts"], strict=True):
+            at, count = np.frombuffer(counts, np.uint32).reshape(2, -1)
+            places[e - s + at] = count
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(every[order]) != 0)) if len(every) else np.zeros(0, np.int64)
+        held = np.diff(np.append(first, len(every)))
+        keep, hot = flag, np.zeros(len(every), bool)
+        keep[order] |= np.repeat(held > 1, held)
+        if len(every):
+            hot[order] = np.repeat(np.add.reduceat(places[order], first) > most, held)
+        hot &= keep
+        cut = [slice(e - s, e) for s, e in zip(sizes, ends, strict=True)]
+        return pd.DataFrame({
+            "chunk": sent["chunk"], "answer": [every[c][keep[c]].tobytes() for c in cut],
+            "hot": [every[c][hot[c]].tobytes() for c in cut],
+        })
+
+    return answer_shared
 
 
 def segment_sender(buckets: int):
     def send(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "chunk", "heads", "body"]
+        columns = ["bucket", "chunk", "heads", "body", "hot"]
         if not len(answers) or not len(chunk):
             return pd.DataFrame([], columns=columns)
-        shared = np.sort(np.frombuffer(b"".join(answers["answer"]), np.uint64))
+        shared, hot = hashes_of(answers["answer"]), hashes_of(answers["hot"])
         found, bodies = [], []
         for piece, _ in pieces(chunk):
             if not len(piece.place) or not len(shared):
                 continue
-            at = np.minimum(np.searchsorted(shared, piece.anchor), len(shared) - 1)
-            piece.cut(shared[at] == piece.anchor)
+            piece.cut(hot, among(piece.anchor, shared))
             owners = piece.owners()
             order = np.lexsort((owners, piece.key))
             if not len(order):
@@ -202,7 +244,8 @@ def segment_sender(buckets: int):
             heads = np.zeros(len(one), SEGMENT)
             heads["key"], heads["anchor"] = piece.key[one], piece.anchor[one]
             heads["low"], heads["high"] = owners[order[first]], owners[order[last]]
-            heads["size"] = piece.strings[one] + SPAN - 1
+            # A string alone is known by its hash: no bytes are sent, and its size is 0.
+            heads["size"] = np.where(piece.single[one], 0, piece.strings[one] + SPAN - 1)
             data = piece.data.tobytes()
             bodies += [data[s : s + n] for s, n in zip(piece.start[one].tolist(), heads["size"].tolist(), strict=True)]
             found.append(heads)
@@ -217,9 +260,11 @@ def segment_sender(buckets: int):
         heads = heads[one]
         heads["low"], heads["high"] = low, high
         number = int(chunk["chunk"].iloc[0])
+        of = np.where(heads["size"] == 0, heads["key"], heads["anchor"])
+        # The first blob carries the hot anchors, which come back with its answer.
         rows = [
-            (bucket, number, heads[own].tobytes(), zlib.compress(b"".join(bodies[one[i]] for i in own), 1))
-            for bucket, own in by_bucket(heads["anchor"], buckets)
+            (bucket, number, heads[own].tobytes(), zlib.compress(b"".join(bodies[one[i]] for i in own), 1), b"" if k else hot.tobytes())
+            for k, (bucket, own) in enumerate(by_bucket(of, buckets))
         ]
         return pd.DataFrame(rows, columns=columns)
 
@@ -229,11 +274,11 @@ def segment_sender(buckets: int):
 def smallest_documents(heads: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     """Runs (key, doc, start, length): for the strings of each distinct segment, in order,
     the smallest doc_id of any segment that holds the string."""
-    strings = heads["size"].astype(np.int64) - SPAN + 1
+    strings = np.maximum(heads["size"].astype(np.int64) - SPAN + 1, 1)
     at = np.concatenate([[0], np.cumsum(strings)])
     doc = np.repeat(heads["low"], strings)
     _, of_anchor, held = np.unique(heads["anchor"], return_inverse=True, return_counts=True)
-    differing = np.flatnonzero(held[of_anchor] > 1)
+    differing = np.flatnonzero((held[of_anchor] > 1) & (heads["size"] > 0))
     if len(differing):
         data = np.frombuffer(b"".join(bodies[i] for i in differing), np.uint8)
         begins = np.concatenate([[0], np.cumsum(heads["size"][differing].astype(np.int64))])[:-1]
@@ -283,18 +328,19 @@ def answer_documents(sent: pd.DataFrame) -> pd.DataFrame:
         place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
         own = runs[place]
         answers.append(own[own["doc"] < np.repeat(part["high"], count)].tobytes())
-    return pd.DataFrame({"chunk": sent["chunk"], "answer": answers})
+    return pd.DataFrame({"chunk": sent["chunk"], "answer": answers, "hot": sent["hot"]})
 
 
 def remover(with_text: bool):
     def remove(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         runs = np.frombuffer(b"".join(answers["answer"]), RUN) if len(answers) else np.zeros(0, RUN)
         runs = runs[np.argsort(runs["key"], kind="stable")]
+        hot = hashes_of(answers["hot"]) if len(answers) else np.zeros(0, np.uint64)
         columns: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for piece, _ in pieces(chunk):
             marks = np.zeros(len(piece.data) + 1, np.int64)
             if len(piece.place) and len(runs):
-                piece.cut()
+                piece.cut(hot)
                 begin, end = np.searchsorted(runs["key"], piece.key), np.searchsorted(runs["key"], piece.key, "right")
                 count = end - begin
                 own = runs[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
@@ -322,7 +368,7 @@ def remover(with_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, others: Column | None = None
+    docs: DataFrame, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, others: Column | None = None, hot: int = HOT
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text; null without
     with_text) for each row, and a text column of docs that is carried along."""
@@ -335,12 +381,12 @@ def remove_repeats(
     chunk = F.pmod(F.xxhash64("id", row_key(F.col("text"))), F.lit(chunks))
     rows = rows.select(chunk.alias("chunk"), "id", "known", "text", "others")
     by_chunk = rows.groupBy("chunk")
-    sent = by_chunk.applyInPandas(anchor_sender(buckets), "bucket long, chunk long, hashes binary, shared binary")
-    shared = sent.groupBy("bucket").applyInPandas(answer_shared, "chunk long, answer binary")
+    sent = by_chunk.applyInPandas(anchor_sender(buckets), "bucket long, chunk long, hashes binary, shared binary, counts binary")
+    shared = sent.groupBy("bucket").applyInPandas(shared_answerer(hot), "chunk long, answer binary, hot binary")
     segments = by_chunk.cogroup(shared.groupBy("chunk")).applyInPandas(
-        segment_sender(buckets), "bucket long, chunk long, heads binary, body binary"
+        segment_sender(buckets), "bucket long, chunk long, heads binary, body binary, hot binary"
     )
-    smallest = segments.groupBy("bucket").applyInPandas(answer_documents, "chunk long, answer binary")
+    smallest = segments.groupBy("bucket").applyInPandas(answer_documents, "chunk long, answer binary, hot binary")
     result = by_chunk.cogroup(smallest.groupBy("chunk")).applyInPandas(
         remover(with_text),
         "id long, known boolean, others string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string",

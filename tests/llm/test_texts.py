@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from re import _parser as sre_parse
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,32 @@ def test_repeated_passages(make_docs, corpus):
     assert len(texts) == len(rows) - sum(n for k, n in found.items() if k[1] and k[1] == k[2])
 
 
+def hot_rows(count):
+    """Documents that share 20 bytes (or 60) with differing text on both sides."""
+    import random
+
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    return [(3000 + i, own(40) + "!boilerplate piece!!" * (1 + 2 * (i % 2)) + own(40) + "a" * (i % 3 * 60), "h") for i in range(count)]
+
+
+def test_hot_passages_by_definition(make_docs, corpus):
+    rows = [*corpus, *hot_rows(60), *hot_rows(3), (None, corpus[0][1], "a"), (3, "é" * 60, "b"), (99, "ab" + "é" * 60, "b")]
+    for most in (0, 1, 20):
+        got = suffix_dedup.remove_repeats(make_docs(rows), chunk_bytes=5_000, hot=most)
+        found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
+        assert found == removed([r[:2] for r in rows])
+
+
+def test_hot_anchor_is_spread_over_buckets():
+    rows = [r for r in hot_rows(4000) if len(r[1]) == 100]
+    chunk = pd.DataFrame({"chunk": 0, "id": [r[0] for r in rows], "known": True, "text": [r[1] for r in rows]})
+    shared = suffix_dedup.shared_answerer(100)(suffix_dedup.anchor_sender(16)(chunk).assign(bucket=0))
+    sent = suffix_dedup.segment_sender(16)(chunk, shared)
+    load = [len(h) + len(zlib.decompress(b)) for h, b in zip(sent["heads"], sent["body"])]
+    assert len(load) == 16 and max(load) < 2 * sum(load) / 16
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4])
 def test_two_stage_sort(letters):
     rng = np.random.default_rng(letters)
