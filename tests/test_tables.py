@@ -182,8 +182,10 @@ def test_lookup_lists(spark):
                                "name STRING, scope STRING")
     merged = lookups.merge_lookup_lists(df, df)
     assert [tuple(r) for r in merged.collect()] == [("z", "EVENT"), ("a", "USER"), ("b", "USER")]
-    limited = lookups.lookup_table(merged, ["name"])
-    assert "TakeOrderedAndProject" in limited._jdf.queryExecution().executedPlan().toString()
+    listed = lookups.lookup_table(merged, ["name"])
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "TakeOrderedAndProject" not in plan
+    assert [r.name for r in listed.collect()] == ["a", "b", "z"]
 
 
 # ---------------------------------------------------------------- report rows
