@@ -26,11 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts its lineage, survives a
     lost executor and gives the optimizer the true size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

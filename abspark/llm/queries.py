@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
-from abspark.llm import license_scan, lm_score, mixing, setsketch, spotsigs, suffix_dedup, token_counts, toxicity, url_filter
+from abspark.llm import (
+    license_scan, lm_score, mixing, setsketch, spelling, spotsigs, suffix_dedup, token_counts, toxicity, url_filter,
+)
 from abspark.llm.common import table
 from abspark.session import prepare
 
@@ -213,3 +215,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
