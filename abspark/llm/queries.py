@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abspark.llm import decontaminate as decon
 from abspark.llm import (
-    license_scan, lm_score, mixing, setsketch, spelling, spotsigs, suffix_dedup, token_counts, toxicity, url_filter,
+    lexical_search, license_scan, lm_score, mixing, setsketch, spelling, spotsigs, suffix_dedup, token_counts, toxicity, url_filter,
 )
 from abspark.llm.common import table
 from abspark.session import prepare
@@ -220,3 +220,33 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_spelling_variants")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_lexical_search", rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents
+), whole AS (
+    SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), post AS (
+    SELECT doc_id, n, term, count(*) AS tf
+    FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term
+), rare AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+    FROM (SELECT term, count(*) AS df FROM post GROUP BY term), whole
+), item AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all({LOWERED}, '{WORD}')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ) GROUP BY item_id, term
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * weight
+        * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM item JOIN rare USING (term) JOIN post USING (term), whole GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
