@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from abspark.llm import decontaminate as decon
 from abspark.llm import (
     lexical_search, license_scan, lm_score, mixing, setsketch, spelling, spotsigs, suffix_dedup, token_counts, toxicity, url_filter,
+    vector_search,
 )
 from abspark.llm.common import table
 from abspark.session import prepare
@@ -250,3 +251,8 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
