@@ -42,7 +42,7 @@ TOP = 5
 BITS = 256
 PARTS = 16  # substrings of a code, of BITS // PARTS bits
 SAMPLE = 8_192  # vectors the rotations are learned from, at most
-CALIBRATION = 2_048  # of these, compared with each other to relate angles and distances
+CALIBRATION = 768  # of these, compared with each other to relate angles and distances
 EXPECTED = 100  # codes the first radius should hold
 SPREAD = 1.7
 GROUP = 4_096
@@ -100,8 +100,8 @@ def learned(sample: np.ndarray, n: int, seed: int = 11) -> Coder:
     mean = unit.mean(axis=0)
     centred = unit - mean
     width = min(sample.shape[1], BITS)
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
-    axes = axes[:width].T
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    axes = axes[:, ::-1][:, :width]
     narrow = centred @ axes
     rotations = []
     for _ in range(-(-BITS // width)):
