@@ -13,13 +13,15 @@ COLUMNS = {
     "op5_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op7_toxicity": "doc_id held_out score predicted",
     "op8_token_counts": "n_tokens docs tokens docs_from tokens_from quantile truncated_tokens",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op13_nearest_neighbours": "query_id rank vec_id score",
 }
 
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql())
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
