@@ -103,26 +103,26 @@ def normalize_path(path: str) -> str:
     return re.sub(r"\s*\.\s*", ".", path)
 
 
-def json_path(path: str) -> str:
-    """JSON path text with one step per dotted segment."""
+def variant_path(path: str) -> str:
+    """Path into a parsed JSON value with one step per dotted segment. Such a path can quote
+    one kind of quotes only."""
     steps = []
     for part in path.split("."):
-        if not re.search(r"['?]", part):
+        if '"' not in part:
+            steps.append(f'["{part}"]')
+        elif "'" not in part:
             steps.append(f"['{part}']")
-        elif "[" not in part:
-            steps.append(f".{part}")
         else:
             raise ValueError(f"no JSON path can name the key {part!r}")
     return "$" + "".join(steps)
 
 
-def scalar_only(found: Column, bag: Column, path: str) -> Column:
-    """``found`` is the text at a path of a JSON bag; objects and arrays become NULL. A
-    string that merely starts with a brace or bracket is kept, which takes a second,
-    typed look at the bag, but only for such texts."""
-    steps = ["[\"" + p.replace("\\", "\\\\").replace('"', '\\"') + "\"]" for p in path.split(".")]
-    node = F.try_variant_get(F.try_parse_json(bag), "$" + "".join(steps), "variant")
+def scalar_only(found: Column, parsed: Column, path: str) -> Column:
+    """``found`` is the text at a path of a parsed JSON value; objects and arrays become
+    NULL. A string that merely starts with a brace or bracket is kept, which takes a look at
+    its type, but only for such texts."""
     looks_nested = F.left(found, F.lit(1)).isin("{", "[")
+    node = F.try_variant_get(parsed, variant_path(path), "variant")
     return F.when(
         looks_nested, F.when(F.schema_of_variant(node) == "STRING", found)
     ).otherwise(found)
@@ -130,7 +130,8 @@ def scalar_only(found: Column, bag: Column, path: str) -> Column:
 
 def json_scalar(bag: Column, path: str) -> Column:
     """Text of the scalar at a dotted path of a JSON bag, or NULL."""
-    return scalar_only(F.get_json_object(bag, json_path(path)), bag, path)
+    parsed = F.try_parse_json(bag)
+    return scalar_only(F.try_variant_get(parsed, variant_path(path), "string"), parsed, path)
 
 
 def first_with_key(params: Column, key: str) -> Column:

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A key that a JSON bag holds twice must not make the whole bag unreadable.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

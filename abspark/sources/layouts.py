@@ -12,6 +12,7 @@ import copy
 import datetime as dt
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ from abspark.functions.scalars import (
     field_type,
     first_with_key,
     full_trim,
-    json_path,
     normalize_path,
     param_text,
     scalar_only,
     text_of,
     to_double,
+    variant_path,
 )
 from abspark.spec import (
     BOTH,
@@ -88,6 +89,26 @@ class LookupStage:
         return [found[level] for level in sorted(found)]
 
 
+@dataclass(frozen=True)
+class Subject:
+    """Text a filter looks at, or (of_items) the texts of all items, one of which must match.
+    A missing text is no match and no mismatch, an item's missing text is a mismatch."""
+
+    texts: Column
+    of_items: bool = False
+
+    def matches(self, pattern: Column) -> Column:
+        if self.of_items:
+            return some_match(self.texts, pattern)
+        return F.rlike(self.texts, pattern)
+
+
+def some_match(texts: Column, pattern: Column) -> Column:
+    return F.coalesce(
+        F.exists(texts, lambda t: F.coalesce(F.rlike(t, pattern), F.lit(False))), F.lit(False)
+    )
+
+
 class EventLayout:
     """Expressions shared by all layouts."""
 
@@ -131,13 +152,12 @@ class EventLayout:
         return self.lookup(("text", column, key), lambda: param_text(value), 1)
 
     def scalar(self, bag: str, path: str) -> Column:
-        """Scalar at a dotted path of a JSON bag."""
-        raw = self.lookup(
-            ("json", bag, path), lambda: F.get_json_object(F.col(bag), json_path(path))
-        )
-        return self.lookup(
-            ("scalar", bag, path), lambda: scalar_only(raw, F.col(bag), path), 1
+        """Scalar at a dotted path of a JSON bag, which is parsed once for all paths."""
+        parsed = self.lookup(("bag", bag), lambda: F.try_parse_json(F.col(bag)))
+        text = self.lookup(
+            ("json", bag, path), lambda: F.try_variant_get(parsed, variant_path(path), "string"), 1
         )
+        return self.lookup(("scalar", bag, path), lambda: scalar_only(text, parsed, path), 2)
 
     # -- scan
     def event_time(self) -> Column:
@@ -147,6 +167,9 @@ class EventLayout:
         """Rows of the days start..end, as a predicate that prunes."""
         raise NotImplementedError
 
+    #: SQL test of a row, with columns row_time and first_day, last_day of a rule (dates)
+    rule_window = "row_time >= rule.first_day AND row_time < rule.last_day + INTERVAL 1 DAY"
+
     def event_is(self, name: str) -> Column:
         return F.col(self.event_column) == F.lit(name)
 
@@ -214,9 +237,14 @@ class EventLayout:
         return bool((spec.experiment_event_value_parameter or "").strip())
 
     # -- filters
+    def filter_subject(self, f: FilterSpec) -> Subject | None:
+        """What the filter's pattern is matched against; None: the filter has no effect."""
+        raise NotImplementedError
+
     def filter_match(self, f: FilterSpec) -> Column | None:
         """Match of the filter's pattern, before include/exclude; None: no effect."""
-        raise NotImplementedError
+        subject = self.filter_subject(f)
+        return None if subject is None else subject.matches(F.lit(f.filter_value))
 
     def filter_predicate(self, f: FilterSpec) -> Column | None:
         match = self.filter_match(f)
@@ -240,6 +268,7 @@ class NestedLayout(EventLayout):
     """Day-sharded events with repeated key/value parameters."""
 
     tool = TOOL_NESTED
+    rule_window = "table_suffix BETWEEN rule.first_suffix AND rule.last_suffix"
 
     def event_time(self) -> Column:
         return F.timestamp_micros(F.col("event_timestamp"))
@@ -290,39 +319,32 @@ class NestedLayout(EventLayout):
             v["double_value"].cast("double"),
         )
 
-    def filter_match(self, f) -> Column | None:
+    def filter_subject(self, f) -> Subject | None:
         if f.filter_scope == "Event":
-            found = self.parameter_text("event_params", f.filter_field)
-            return found.rlike(f.filter_value)
+            return Subject(self.parameter_text("event_params", f.filter_field))
         if f.filter_scope == "User":
-            found = self.parameter_text("user_properties", f.filter_field)
-            return found.rlike(f.filter_value)
+            return Subject(self.parameter_text("user_properties", f.filter_field))
         if (f.filter_scope or "").upper() != "COLUMN":
             return None
         path = re.sub(r"\s+", ".", normalize_path(f.filter_field.strip()))
         if path.startswith("items."):
-            return self.any_item(path, f.filter_value, missing="")
-        return F.coalesce(self.column_text(path), F.lit("")).rlike(f.filter_value)
-
-    def any_item(self, path: str, pattern: str, missing: str | None) -> Column:
-        """Does one element of the items array match? An absent array has none."""
-        return _any_item(self.schema, path, pattern, missing)
+            return Subject(_item_texts(self.schema, path, missing=""), of_items=True)
+        return Subject(F.coalesce(self.column_text(path), F.lit("")))
 
 
-def _any_item(schema: StructType, path: str, pattern: str, missing: str | None) -> Column:
+def _item_texts(schema: StructType, path: str, missing: str | None) -> Column:
+    """Texts of a field of all elements of the items array; an absent array has none."""
     inner = path.split(".", 1)[1]
     dtype = field_type(schema, path)
 
-    def matches(item: Column) -> Column:
+    def text_in(item: Column) -> Column:
         text = item
         for part in inner.split("."):
             text = text[part]
         text = text_of(text, dtype)
-        if missing is not None:
-            text = F.coalesce(text, F.lit(missing))
-        return F.coalesce(text.rlike(pattern), F.lit(False))
+        return text if missing is None else F.coalesce(text, F.lit(missing))
 
-    return F.coalesce(F.exists(F.col("items"), matches), F.lit(False))
+    return F.transform(F.col("items"), text_in)
 
 
 def _lenient_double(value: Column, dtype) -> Column:
@@ -336,6 +358,7 @@ class FlatLayout(EventLayout):
 
     tool = TOOL_FLAT
     both_uses_label = True
+    rule_window = "event_date BETWEEN rule.first_day AND rule.last_day"
 
     def event_time(self) -> Column:
         return F.timestamp_micros(F.col("time.event_timestamp"))
@@ -365,12 +388,12 @@ class FlatLayout(EventLayout):
         path = self.parameter_path(name)
         return _lenient_double(F.col(path), field_type(self.schema, path))
 
-    def filter_match(self, f) -> Column | None:
+    def filter_subject(self, f) -> Subject | None:
         if f.filter_scope not in ("Event", "Column"):
             return None
         if f.filter_field.startswith("items."):
-            return _any_item(self.schema, f.filter_field, f.filter_value, missing=None)
-        return self.column_text(self.parameter_path(f.filter_field)).rlike(f.filter_value)
+            return Subject(_item_texts(self.schema, f.filter_field, missing=None), of_items=True)
+        return Subject(self.column_text(self.parameter_path(f.filter_field)))
 
 
 class TwoBagLayout(EventLayout):
@@ -418,22 +441,22 @@ class TwoBagLayout(EventLayout):
             return F.lit(None).cast("double")
         return to_double(self.scalar(self.event_bag, name))
 
-    def bag_match(self, bag: str, path: str, pattern: str) -> Column:
-        return F.coalesce(self.scalar(bag, path), F.lit("")).rlike(pattern)
+    def in_bag(self, bag: str, path: str) -> Subject:
+        return Subject(F.coalesce(self.scalar(bag, path), F.lit("")))
 
-    def filter_match(self, f) -> Column | None:
+    def filter_subject(self, f) -> Subject | None:
         path = normalize_path((f.filter_field or "").strip())
         if not path:
             return None
         if f.filter_scope == "Event":
-            return self.bag_match(self.event_bag, path, f.filter_value)
+            return self.in_bag(self.event_bag, path)
         if f.filter_scope == "User":
-            return self.bag_match(self.user_bag, path, f.filter_value)
+            return self.in_bag(self.user_bag, path)
         if (f.filter_scope or "").upper() != "COLUMN":
             return None
         if "." in path:
-            return self.bag_match(self.event_bag, path, f.filter_value)
-        return F.coalesce(self.column_text(path), F.lit("")).rlike(f.filter_value)
+            return self.in_bag(self.event_bag, path)
+        return Subject(F.coalesce(self.column_text(path), F.lit("")))
 
 
 class OneBagLayout(TwoBagLayout):
@@ -487,13 +510,13 @@ class OneBagLayout(TwoBagLayout):
             return base
         return base & self.any_session().isNotNull()
 
-    def filter_match(self, f) -> Column | None:
+    def filter_subject(self, f) -> Subject | None:
         path = normalize_path((f.filter_field or "").strip())
         if not path or f.filter_scope is None:
             return None
         if f.filter_scope.upper() == "COLUMN":
-            return F.coalesce(self.column_text(path), F.lit("")).rlike(f.filter_value)
-        return self.bag_match(self.event_bag, path, f.filter_value)
+            return Subject(F.coalesce(self.column_text(path), F.lit("")))
+        return self.in_bag(self.event_bag, path)
 
 
 LAYOUTS = {c.tool: c for c in (NestedLayout, FlatLayout, TwoBagLayout, OneBagLayout)}
