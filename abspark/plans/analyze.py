@@ -4,8 +4,10 @@ Shape of the plan, for a table of any size:
 
 * One scan tags rows. A registry row asks for exposures and conversions; rows that ask for
   the same thing share a tag (A and B of an experiment usually differ in the variant
-  pattern alone). Each event looks only at the tags of its own event name, so the work per
-  event does not grow with the number of experiments on other events.
+  pattern alone). What a tag asks for is data: a rule in a constant map from event names to
+  rules, and one expression evaluates any rule. So the plan grows with the different keys,
+  parameters and filter fields that are read, not with the number of experiments, and each
+  event looks only at the rules of its own name.
 * Tagged rows shrink to (tag, key, variant text) with first and last time and the value
   sum: a hash aggregate over fixed-width buffers with map-side combine, so that a key that
   holds a third of all rows leaves every map task as one row per text. A second, much
@@ -35,15 +37,9 @@ from pyspark.sql.types import StructType
 from abspark.functions.scalars import all_of, normalize_path
 from abspark.operators.aggregates import sufficient_stats
 from abspark.operators.attribution import OVERLAP, post_exposure_join
-from abspark.operators.exposures import (
-    conversions,
-    filter_predicates,
-    label_exposures,
-    matches_variant,
-    select_active,
-)
+from abspark.operators.exposures import conversions, label_exposures, select_active
 from abspark.schemas import RESULTS
-from abspark.sources.layouts import EventLayout, LookupStage, field_type, layout_for
+from abspark.sources.layouts import EventLayout, LookupStage, field_type, layout_for, some_match
 from abspark.spec import (
     BOTH,
     CONVERSION_SIDE,
@@ -54,14 +50,10 @@ from abspark.spec import (
     SCOPE_USER,
     TOOL_NESTED,
     ExperimentSpec,
+    FilterSpec,
     read_specs,
 )
 
-# Codes tested in one column. Keeps the generated methods small; all columns are one array
-# in the end, so it has no influence on scans or results.
-CODES_PER_COLUMN = 40
-
-
 # ---------------------------------------------------------------- which rows can run
 def skip_reasons(layout: EventLayout, spec: ExperimentSpec) -> list[str]:
     """Why a registry row cannot be analysed; empty when it can."""
@@ -93,17 +85,38 @@ def skip_reasons(layout: EventLayout, spec: ExperimentSpec) -> list[str]:
 
 def _unbuildable(layout: EventLayout, spec: ExperimentSpec) -> list[str]:
     """Names no expression can be made of, such as a key no JSON path can name. They keep
-    their own row from running, not the report of all the others."""
-    try:
-        layout.exposure_text(spec)
-        layout.value(spec)
-        for side in (EXPOSURE_SIDE, CONVERSION_SIDE):
-            filter_predicates(layout, spec, side)
-    except ValueError as error:
-        return [str(error)]
+    their own row from running, not the report of all the others. What rows share is tried
+    once for a layout."""
+    tries: list[tuple[tuple, Callable]] = [
+        (_text_signature(layout, spec), lambda: layout.exposure_text(spec)),
+        (_value_signature(spec), lambda: layout.value(spec)),
+        *[(_subject_signature(f), lambda f=f: layout.filter_subject(f)) for f in spec.filters],
+    ]
+    for signature, build in tries:
+        if signature not in layout.unbuildable:
+            try:
+                build()
+                layout.unbuildable[signature] = None
+            except ValueError as error:
+                layout.unbuildable[signature] = str(error)
+        if layout.unbuildable[signature] is not None:
+            return [layout.unbuildable[signature]]
     return []
 
 
+def _text_signature(layout: EventLayout, spec: ExperimentSpec) -> tuple:
+    by_property = layout.exposure_event(spec) is None and spec.experiment_event_name
+    return ("text", by_property, spec.experiment_variant_parameter, spec.user_overlap == BOTH)
+
+
+def _value_signature(spec: ExperimentSpec) -> tuple:
+    return ("value", (spec.experiment_event_value_parameter or "").strip())
+
+
+def _subject_signature(f: FilterSpec) -> tuple:
+    return ("subject", f.filter_scope, f.filter_field)
+
+
 def active_specs(
     registry: DataFrame, filters: DataFrame | None, tool: str, every_tool: bool
 ) -> list[ExperimentSpec]:
@@ -149,48 +162,59 @@ class _Tag:
     spec: ExperimentSpec
     side: str
 
-    @property
-    def code(self) -> int:
-        """Number and side in one integer."""
-        return 2 * self.number + (self.side == CONVERSION_SIDE)
-
 
 def _numbers(signatures: Iterable[tuple]) -> dict[tuple, int]:
     return {s: i for i, s in enumerate(dict.fromkeys(signatures))}
 
 
 class _SharedColumns:
-    """Columns several tags use: keys, texts, values and conditions, one per signature."""
+    """Columns several tags use: keys, texts, values, conditions and filter subjects. Those
+    of a kind become one array, so that a rule can name its own by a number."""
 
     def __init__(self, stage: LookupStage) -> None:
-        self.columns: dict[str, Column] = {}
+        self.arrays: dict[str, list[Column]] = {}
         self._stage = stage
-        self._known: dict[tuple, tuple[str | None, list[tuple]]] = {}
-
-    def name(self, signature: tuple, build: Callable[[], Column | None]) -> str | None:
-        """Name of the column; None where there is nothing to build."""
+        self._known: dict[tuple, tuple[int, list[tuple]]] = {}
+        self._kinds: dict[tuple, str | None] = {}
+
+    def kind(self, f: FilterSpec, layout: EventLayout) -> str | None:
+        """Array that holds what the filter looks at; None: it has no effect."""
+        signature = _subject_signature(f)
+        if signature not in self._kinds:
+            subject = layout.filter_subject(f)
+            kind = None if subject is None else "items" if subject.of_items else "subject"
+            self._kinds[signature] = kind
+        return self._kinds[signature]
+
+    def number(self, signature: tuple, build: Callable[[], Column | None]) -> int:
+        """Place in the array of its kind (the signature's first part); -1 where there is
+        nothing to build."""
         if signature not in self._known:
             before = len(self._stage.asked)
             column = build()
-            name = None
+            at = -1
             if column is not None:
-                name = f"{signature[0]}_{len(self._known)}"
-                self.columns[name] = column
-            self._known[signature] = (name, self._stage.asked[before:])
-        name, lookups = self._known[signature]
+                own = self.arrays.setdefault(signature[0], [])
+                at = len(own)
+                own.append(column)
+            self._known[signature] = (at, self._stage.asked[before:])
+        at, lookups = self._known[signature]
         self._stage.ask_again(lookups)
-        return name
+        return at
 
+    def columns(self) -> dict[str, Column]:
+        return {f"{kind}_array": F.array(*own) for kind, own in self.arrays.items()}
+
+
+# What the scan has to know about a tag. Numbers below 0: nothing asked for.
+_RULE = """struct<tag: int, first_day: date, last_day: date, first_suffix: string,
+    last_suffix: string, who: int, key: int, text: int, pattern: string, value: int,
+    filters: array<struct<subject: int, items: int, exclude: boolean, pattern: string>>>"""
 
-def _chosen(codes_of: dict[str, list[int]], dtype: str, out: str) -> str:
-    """SQL of the column that the code of a row selects."""
-    if not codes_of:
-        return f"CAST(NULL AS {dtype}) AS {out}"
-    cases = " ".join(
-        f"WHEN code IN ({', '.join(map(str, codes))}) THEN {name}"
-        for name, codes in codes_of.items()
-    )
-    return f"CASE {cases} END AS {out}"
+
+def _json_literal(value, ddl: str) -> Column:
+    """A constant as one literal (folded at planning time)."""
+    return F.from_json(F.lit(json.dumps(value, default=str)), ddl)
 
 
 def _merged_windows(specs: Iterable[ExperimentSpec]) -> list[tuple[dt.date, dt.date]]:
@@ -208,121 +232,142 @@ def _tag_rows(events: DataFrame, layout: EventLayout, tags: list[_Tag]) -> DataF
     """One output row per (event, tag it satisfies).
 
     Event names and the union of the day windows come first as plain filters, so they reach
-    the files; experiments that any event may expose add a test of their own to the names. Keys, texts and values are columns computed once; what is blown up is only an
-    array of tag codes, which keeps the generated code small enough to be compiled to
-    machine code even for a plan full of experiments."""
-    specs = [tag.spec for tag in tags]
-    one_window = len({(s.date_start, s.date_end) for s in specs}) == 1
+    the files; experiments that any event may expose add a test of their own to the names.
+    What rules read is computed once per event; then each event is paired with the rules of
+    its name, within its own task, and one expression tells which of them it satisfies."""
     stage = LookupStage(layout.event_column)
     staged = layout.staged(stage)
     shared = _SharedColumns(stage)
-    keys: dict[str, list[int]] = {}
-    texts: dict[str, list[int]] = {}
-    values: dict[str, list[int]] = {}
-    event_of: dict[int, str | None] = {}
-    predicate_of: dict[int, Column] = {}
-
+    of_event: dict[str, list[dict]] = {}
+    of_property: dict[str, list[dict]] = {}
+    guards: dict[str, Column] = {}
     for tag in tags:
-        spec, code = tag.spec, tag.code
-        exposure = tag.side == EXPOSURE_SIDE
-        event = layout.exposure_event(spec) if exposure else spec.conversion_event
-        event_of[code] = event
+        event = layout.exposure_event(tag.spec) if tag.side == EXPOSURE_SIDE else tag.spec.conversion_event
         stage.on_event(event)
-        key = shared.name(
-            ("key", spec.by_user, spec.identity),
-            lambda spec=spec: staged.grouping_key(spec).cast("string"),
-        )
-        keys.setdefault(key, []).append(code)
-        conditions = [
-            shared.name(
-                ("who", spec.by_user, spec.scope == SCOPE_USER, spec.identity),
-                lambda spec=spec: staged.identity_predicate(spec),
-            ),
-            *[
-                shared.name(("kept", f), lambda f=f: staged.filter_predicate(f))
-                for f in spec.side_filters(tag.side)
-            ],
-            None if one_window else shared.name(
-                ("window", spec.date_start, spec.date_end),
-                lambda spec=spec: layout.in_window(spec.date_start, spec.date_end),
-            ),
-        ]
-        parts = [F.col(name) for name in conditions if name is not None]
-        if exposure:
-            both = spec.user_overlap == BOTH
-            text = shared.name(
-                ("text", event is None and spec.experiment_event_name,
-                 spec.experiment_variant_parameter, both),
-                lambda spec=spec: staged.exposure_text(spec),
-            )
-            if both:
-                parts.append(matches_variant(F.col(text), spec.exp_variant_string))
-                texts.setdefault("''", []).append(code)
-            else:
-                parts.append(F.col(text).isNotNull())
-                texts.setdefault(text, []).append(code)
-            if event is None:
-                parts.append(staged.exposure_guard(spec))
+        rule = _rule(tag, staged, shared)
+        if event is not None:
+            of_event.setdefault(event, []).append(rule)
         else:
-            value = shared.name(
-                ("value", (spec.experiment_event_value_parameter or "").strip()),
-                lambda spec=spec: staged.value(spec),
-            )
-            values.setdefault(value, []).append(code)
-            parts.append(F.col(key).isNotNull())  # a NULL key never meets an exposure
-        predicate_of[code] = all_of(parts)
-
-    names = sorted({event for event in event_of.values() if event is not None})
-    windows = [layout.in_window(*w) for w in _merged_windows(specs)]
-    wanted = reduce(lambda a, b: a | b, windows)
-    guards = {
-        t.spec.experiment_event_name: layout.exposure_guard(t.spec)
-        for t in tags
-        if event_of[t.code] is None
-    }
-    named = [F.col(layout.event_column).isin(*names)] if names else []
-    wanted = wanted & reduce(lambda a, b: a | b, [*named, *guards.values()])
-    picks = {c: F.when(p, F.lit(c)) for c, p in predicate_of.items()}
-    by_event = sorted(event_of, key=lambda c: (event_of[c] is None, event_of[c] or "", c))
-    code_columns = {
-        f"codes_{at}": _codes_here(layout, event_of, picks, by_event[at : at + CODES_PER_COLUMN])
-        for at in range(0, len(by_event), CODES_PER_COLUMN)
-    }
+            name = tag.spec.experiment_event_name
+            of_property.setdefault(name, []).append(rule)
+            if name not in guards:
+                guards[name] = layout.exposure_guard(tag.spec)
+
+    windows = [layout.in_window(*w) for w in _merged_windows(tag.spec for tag in tags)]
+    named = [F.col(layout.event_column).isin(*sorted(of_event))] if of_event else []
+    wanted = reduce(lambda a, b: a | b, windows) & reduce(
+        lambda a, b: a | b, [*named, *guards.values()]
+    )
     rows = events.where(wanted).withColumn(
         "row_time", layout.event_time().cast("timestamp")
     )
     for level in stage.levels():
         rows = rows.withColumns(level)
-    return (
-        rows.withColumns(shared.columns)
-        .withColumns(code_columns)
-        .withColumn("code", F.explode_outer(F.concat(*code_columns)))
-        .where("code IS NOT NULL")
-        .selectExpr(
-            "shiftright(code, 1) AS tag",
-            _chosen(keys, "STRING", "key"),
-            _chosen(texts, "STRING", "variant"),
-            "row_time AS time",
-            _chosen(values, "DOUBLE", "value"),
-        )
+    rules = _rules_of(F.col(layout.event_column), of_event)
+    if of_property:
+        rules = F.concat(rules, _rules_of_properties(of_property))
+    rows = rows.withColumns(shared.columns()).withColumn("rule", F.explode(rules))
+    return rows.where(_satisfied(layout, shared)).selectExpr(
+        "rule.tag AS tag",
+        "get(key_array, rule.key) AS key",
+        _variant_text(shared),
+        "row_time AS time",
+        "get(value_array, rule.value) AS value" if "value" in shared.arrays else "CAST(NULL AS DOUBLE) AS value",
     )
 
 
-def _codes_here(
-    layout: EventLayout,
-    event_of: Mapping[int, str | None],
-    picks: Mapping[int, Column],
-    codes: list[int],
-) -> Column:
-    """Array of those codes that hold for the event, tested only on events of their name."""
-    anywhere = [c for c in codes if event_of[c] is None]
-    found = F.array(*[picks[c] for c in anywhere]).cast("array<int>")
-    chosen = None
-    for name in dict.fromkeys(event_of[c] for c in codes if event_of[c] is not None):
-        here = F.array(*[picks[c] for c in codes if event_of[c] in (name, None)])
-        on_name = layout.event_is(name)
-        chosen = F.when(on_name, here) if chosen is None else chosen.when(on_name, here)
-    return found if chosen is None else chosen.otherwise(found)
+def _rule(tag: _Tag, staged: EventLayout, shared: _SharedColumns) -> dict:
+    """What a tag asks for, as numbers of shared columns and constants."""
+    spec = tag.spec
+    rule = {
+        "tag": tag.number,
+        "first_day": spec.date_start, "last_day": spec.date_end,
+        "first_suffix": spec.date_start.strftime("%Y%m%d"),
+        "last_suffix": spec.date_end.strftime("%Y%m%d"),
+        "key": shared.number(
+            ("key", spec.by_user, spec.identity), lambda: staged.grouping_key(spec).cast("string")
+        ),
+        "who": shared.number(
+            ("who", spec.by_user, spec.scope == SCOPE_USER, spec.identity),
+            lambda: staged.identity_predicate(spec),
+        ),
+        "text": -1, "value": -1, "filters": [],
+    }
+    if tag.side == EXPOSURE_SIDE:
+        rule["text"] = shared.number(
+            _text_signature(staged, spec), lambda: staged.exposure_text(spec)
+        )
+        if spec.user_overlap == BOTH:
+            rule["pattern"] = spec.exp_variant_string
+    else:
+        rule["value"] = shared.number(_value_signature(spec), lambda: staged.value(spec))
+    for f in spec.side_filters(tag.side):
+        kind = shared.kind(f, staged)
+        if kind is not None:
+            at = shared.number((kind, *_subject_signature(f)), lambda f=f: staged.filter_subject(f).texts)
+            rule["filters"].append(
+                {"subject": -1, "items": -1, "exclude": f.exclude, "pattern": f.filter_value, kind: at}
+            )
+    return rule
+
+
+def _rules_of(name: Column, rules: dict[str, list[dict]]) -> Column:
+    """Rules of a name; none for other names."""
+    none = F.array().cast(f"array<{_RULE}>")
+    if not rules:
+        return none
+    table = _json_literal(rules, f"map<string, array<{_RULE}>>")
+    return F.coalesce(F.element_at(table, name), none)
+
+
+def _rules_of_properties(rules: dict[str, list[dict]]) -> Column:
+    """Rules of all user properties the event carries."""
+    keys = F.array_distinct(F.filter(
+        F.transform(F.col("user_properties"), lambda p: p["key"]), lambda k: k.isin(*sorted(rules))
+    ))
+    none = F.array().cast(f"array<{_RULE}>")
+    return F.coalesce(F.flatten(F.transform(keys, lambda k: _rules_of(k, rules))), none)
+
+
+def _satisfied(layout: EventLayout, shared: _SharedColumns) -> Column:
+    """Does the event satisfy the rule? Three-valued like the tests it stands for: a filter
+    on a missing text is neither true nor false and lets the event drop."""
+    parts = [F.expr(layout.rule_window)]
+    if "who" in shared.arrays:
+        parts.append(F.expr("rule.who < 0 OR get(who_array, rule.who)"))
+    if "text" in shared.arrays:
+        # Credit Both asks for a match here; all others for any text. Conversions must have
+        # a key, as a NULL key never meets an exposure.
+        parts.append(F.expr("""CASE WHEN rule.text < 0 THEN get(key_array, rule.key) IS NOT NULL
+            WHEN rule.pattern IS NULL THEN get(text_array, rule.text) IS NOT NULL
+            ELSE rlike(get(text_array, rule.text), rule.pattern) END"""))
+    else:
+        parts.append(F.expr("get(key_array, rule.key) IS NOT NULL"))
+    kinds = [kind for kind in ("subject", "items") if kind in shared.arrays]
+    if kinds:
+        parts.append(F.forall(F.col("rule.filters"), lambda f: _kept(f, kinds)))
+    return all_of(parts)
+
+
+def _kept(f: Column, kinds: list[str]) -> Column:
+    """One filter of a rule."""
+    found = {
+        "subject": lambda: F.rlike(F.get(F.col("subject_array"), f["subject"]), f["pattern"]),
+        "items": lambda: some_match(F.get(F.col("items_array"), f["items"]), f["pattern"]),
+    }
+    match = found[kinds[-1]]()
+    if len(kinds) == 2:
+        match = F.when(f["subject"] >= 0, found["subject"]()).otherwise(match)
+    return F.when(f["exclude"], ~match).otherwise(match)
+
+
+def _variant_text(shared: _SharedColumns) -> str:
+    """Text of an exposure; blank under Credit Both, which has looked at it; NULL of a
+    conversion."""
+    if "text" not in shared.arrays:
+        return "CAST(NULL AS STRING) AS variant"
+    return """CASE WHEN rule.text < 0 THEN NULL WHEN rule.pattern IS NULL
+        THEN get(text_array, rule.text) ELSE '' END AS variant"""
 
 
 # ---------------------------------------------------------------- per key
@@ -352,20 +397,14 @@ def _key_summary(tagged: DataFrame, policies: set[str]) -> DataFrame:
     )
 
 
-def _literal_table(rows: list, ddl: str) -> Column:
-    """A small constant table as one array literal (folded at planning time)."""
-    return F.from_json(F.lit(json.dumps(rows, default=str)), f"array<{ddl}>")
-
-
 # What the per-key step has to know about a registry row.
 _ROW_RULES = """struct<r: int, is_last: boolean, one_text: boolean, null_key: boolean,
-    strict: boolean, pattern: int, conversion_tag: int>"""
+    strict: boolean, pattern: string, conversion_tag: int>"""
 
 
 def _row_rules(
     layout: EventLayout,
     specs: list[ExperimentSpec],
-    patterns: dict[tuple, int],
     conversion_of: list[int],
 ) -> list[dict]:
     return [
@@ -376,7 +415,7 @@ def _row_rules(
             "null_key": layout.allows_null_key(s),
             "strict": layout.strict_after and s.user_overlap != LAST,
             # Credit Both matched in the scan already
-            "pattern": -1 if s.user_overlap == BOTH else patterns[(s.exp_variant_string,)],
+            "pattern": None if s.user_overlap == BOTH else s.exp_variant_string,
             "conversion_tag": conversion_of[r],
         }
         for r, s in enumerate(specs)
@@ -391,23 +430,16 @@ def _credited_units(
     conversion_of: list[int],
 ) -> DataFrame:
     """One row per (registry row, key it credits), with the exposure time that counts."""
-    patterns = _numbers(
-        (s.exp_variant_string,) for s in specs if s.user_overlap != BOTH
-    )
-    rules = _row_rules(layout, specs, patterns, conversion_of)
-    rows_of_tag = [
-        [rule for rule, t in zip(rules, tag_of) if t == tag]
-        for tag in range(max(tag_of) + 1)
-    ]
-    table = _literal_table(rows_of_tag, f"array<{_ROW_RULES}>")
+    rules = _row_rules(layout, specs, conversion_of)
+    rows_of_tag: list[list[dict]] = [[] for _ in range(max(tag_of) + 1)]
+    for rule, tag in zip(rules, tag_of, strict=True):
+        rows_of_tag[tag].append(rule)
+    table = _json_literal(rows_of_tag, f"array<array<{_ROW_RULES}>>")
     text, time = F.expr("first.variant"), F.expr("first.first_time")
     if any(rule["is_last"] for rule in rules):
         text = F.expr("IF(rule.is_last, last.variant, first.variant)")
         time = F.expr("IF(rule.is_last, last.last_time, first.first_time)")
-    credit = F.expr("rule.pattern = -1")
-    for (pattern,), number in patterns.items():
-        matched = matches_variant(F.col("text"), pattern)
-        credit = credit | ((F.col("rule.pattern") == number) & matched)
+    credit = F.expr("rule.pattern IS NULL OR rlike(text, rule.pattern)")
     return (
         summary.withColumn("rule", F.explode(F.element_at(table, F.col("tag") + 1)))
         .where("(key IS NOT NULL OR rule.null_key) AND (texts = 1 OR NOT rule.one_text)")
@@ -427,6 +459,14 @@ def _follows() -> Column:
     )
 
 
+def _first_rows(numbers: list[int]) -> dict[int, int]:
+    """Place of the first registry row of each number."""
+    found: dict[int, int] = {}
+    for place, number in enumerate(numbers):
+        found.setdefault(number, place)
+    return found
+
+
 # ---------------------------------------------------------------- the two modes
 def _parts(
     events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
@@ -441,10 +481,11 @@ def _parts(
     ]
     numbers = _numbers(signatures)
     tag_of = [numbers[s] for s in signatures]
+    first_of = _first_rows(tag_of)
     every = _numbers(_conversion_signature(s) for s in specs if s.count_all)
     conversion_of = [every[_conversion_signature(s)] if s.count_all else -1 for s in specs]
     tags = [
-        _Tag(n, specs[tag_of.index(n)], side)
+        _Tag(n, specs[first_of[n]], side)
         for signature, n in numbers.items()
         for side in (EXPOSURE_SIDE, CONVERSION_SIDE)
         if side == EXPOSURE_SIDE or signature[1] is not None
@@ -462,9 +503,8 @@ def _parts(
     )
     if not every:
         return parts
-    conversion_tags = [
-        _Tag(n, specs[conversion_of.index(n)], CONVERSION_SIDE) for n in every.values()
-    ]
+    first_of = _first_rows(conversion_of)
+    conversion_tags = [_Tag(n, specs[first_of[n]], CONVERSION_SIDE) for n in every.values()]
     conversion_rows = _tag_rows(events, layout, conversion_tags).select(
         "tag", F.col("key").alias("conv_key"), "time", "value"
     )
@@ -501,9 +541,9 @@ def _sum_up(parts: DataFrame, specs: list[ExperimentSpec]) -> DataFrame:
         )
     )
     described = [f for f in RESULTS.fields if f.name not in sums.columns]
-    table = _literal_table(
+    table = _json_literal(
         [{f.name: getattr(s, f.name) for f in described} for s in specs],
-        StructType(described).simpleString(),
+        f"array<{StructType(described).simpleString()}>",
     )
     return sums.withColumn("row", F.element_at(table, F.col("r") + 1)).select(
         *[f.name if f.name in sums.columns else f"row.{f.name}" for f in RESULTS.fields]

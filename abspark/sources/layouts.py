@@ -127,6 +127,8 @@ class EventLayout:
     def __init__(self, schema: StructType):
         self.schema = schema
         self._stage: LookupStage | None = None
+        #: what could and what could not be built over this table, kept by the planner
+        self.unbuildable: dict[tuple, str | None] = {}
 
     # -- lookups: a JSON path or an array search, needed several times per row
     def staged(self, stage: LookupStage) -> EventLayout:

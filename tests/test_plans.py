@@ -95,21 +95,6 @@ def test_generated_code_stays_compilable(spark, one_bag):
     assert sizes and max(sizes) < 8000
 
 
-def test_codes_in_several_columns(spark, one_bag, monkeypatch):
-    """Splitting the codes over several columns changes nothing."""
-    events, layout = one_bag
-    specs = spread(TOOL_ONE_BAG)
-    whole = plan.analyze_specs(events, layout, specs).drop("total_conversion_sq_value")
-    monkeypatch.setattr(plan, "CODES_PER_COLUMN", 3)
-    split = plan.analyze_specs(events, layout, specs).drop("total_conversion_sq_value")
-
-    def rows(df):
-        df = df.withColumn("total_conversion_value", F.round("total_conversion_value", 4))
-        return sorted(map(tuple, df.collect()), key=repr)
-
-    assert rows(whole) == rows(split)
-
-
 def many_different(count, count_all):
     """Experiments that agree in nothing: windows, filters and value parameters differ."""
     from abspark.spec import FilterSpec
@@ -139,7 +124,7 @@ def test_one_odd_row_does_not_stop_the_others(one_bag):
     events, layout = one_bag
     good = [spec(TOOL_ONE_BAG, v) for v in "AB"]
     odd = [
-        spec(TOOL_ONE_BAG, "A", id="odd", filters=(FilterSpec("Include", "Both", "Event", "a'[b", "x"),)),
+        spec(TOOL_ONE_BAG, "A", id="odd", filters=(FilterSpec("Include", "Both", "Event", "a'\"b", "x"),)),
         spec(TOOL_ONE_BAG, "A", id="gone", filters=(FilterSpec("Include", "Both", "Column", "not.there", "x"),)),
     ]
     assert all(plan.skip_reasons(layout, s) for s in odd)
@@ -278,3 +263,71 @@ def test_shard_folders_are_pruned(spark, folder, tmp_path):
     assert [r.user_count for r in from_files] == [
         r.user_count for r in plan.analyze_specs(events, layout, specs).collect()
     ]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plan_does_not_grow_with_the_registry(one_bag):
+    """Rules are data: ten times the experiments give the same plan, but for constants."""
+    from abspark.spec import FilterSpec
+
+    events, layout = one_bag
+    day = dt.date(2024, 1, 1)
+
+    def shape(count):
+        specs = [
+            spec(TOOL_ONE_BAG, v, id=str(i), user_overlap=POLICIES[i % 4], date_start=day,
+                 date_end=day + dt.timedelta(days=i % 9), exp_variant_string=f"{v}{i}",
+                 experiment_event_value_parameter="value" if i % 2 else "k",
+                 filters=(FilterSpec("Include", "Both", "Event", "k", f"^{i}"),))
+            for i in range(count)
+            for v in "AB"
+        ]
+        text = plan_text(plan.analyze_specs(events, layout, specs))
+        words = re.sub(r"\{.*?\}|\[.*?\]", "", re.sub(r"#\d+L?", "", text))
+        return len(words.splitlines()), text.count("CASE WHEN")
+
+    assert shape(8) == shape(80)
+
+
+@pytest.mark.parametrize("tool", ["AMPLITUDE", "MIXPANEL"])
+def test_a_bag_is_parsed_once_for_all_paths(spark, folder, tool):
+    from abspark.spec import FilterSpec
+
+    events = layout_view(spark, folder, tool)
+    layout = layout_for(tool, events.schema)
+
+    def parses(paths):
+        specs = [
+            spec(tool, v, id=p, experiment_variant_parameter=p, experiment_event_value_parameter=p + "v",
+                 filters=(FilterSpec("Include", "Both", "Event", p + "f", "x"), FilterSpec("Exclude", "Both", "User", p + "g", "x")))
+            for p in paths
+            for v in "AB"
+        ]
+        return plan_text(plan.analyze_specs(events, layout, specs)).count("parseJson")
+
+    few, many = parses("a"), parses("abcdefgh")
+    assert 1 <= few == many <= 2
+
+
+def test_rules_of_properties_and_names_together(spark, folder):
+    """Exposures of any event beside those of named ones, under every filter kind."""
+    from abspark.spec import FilterSpec
+
+    events = layout_view(spark, folder, TOOL_NESTED)
+    layout = layout_for(TOOL_NESTED, events.schema)
+    filters = [
+        (), (FilterSpec("Include", "Both", "Event", "k", "1"),), (FilterSpec("Exclude", "Both", "Column", "items.item_name", "1"),),
+        (FilterSpec("Exclude", "Both", "Event", "k", "1"), FilterSpec("Include", "Both", "Column", "items.item_name", "[0-9]")),
+    ]
+    specs = [
+        spec(TOOL_NESTED, v, id=f"{i}{name}", filters=own, user_overlap=POLICIES[i], experiment_event_name=name or spec(TOOL_NESTED).experiment_event_name)
+        for i, own in enumerate(filters) for v in "AB" for name in ("", "firebase_exp_1")
+    ]
+    together = {(r.id, r.variant): (r.user_count, r.conversion_count) for r in plan.analyze_specs(events, layout, specs).collect()}
+    for s in specs:
+        alone = plan.analyze_one(events, layout, s).first()
+        assert together[(s.id, s.variant)] == (alone.user_count, alone.conversion_count)
+    assert any(users for users, _ in together.values())
