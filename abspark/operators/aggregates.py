@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abspark.functions.scalars import safe_divide
@@ -179,16 +179,33 @@ def one_price(registry: DataFrame, tool: str | None = None) -> DataFrame:
     return logged.agg(F.max("query_price_per_tib").alias("query_price_per_tib"))
 
 
+# Jobs named in one row of the cost log; keeps a row far below a megabyte.
+JOBS_PER_PIECE = 5_000
+
+
+def cost_pieces(job_log: DataFrame, jobs_per_piece: int = JOBS_PER_PIECE) -> DataFrame:
+    """id, piece (from 1), job_ids, bytes_billed: the jobs of an id in order of their names,
+    so many to a row, so that an id with very many jobs fills rows and not one row."""
+    order = Window.partitionBy("id").orderBy("job_id")
+    place = F.row_number().over(order) - 1
+    jobs = job_log.where(F.col("id").isNotNull()).select("id", "job_id", "bytes_billed")
+    piece = (F.floor(place / jobs_per_piece) + 1).cast("int")
+    return jobs.withColumn("piece", piece).groupBy("id", "piece").agg(
+        F.array_join(F.sort_array(F.collect_list("job_id")), ", ").alias("job_ids"),
+        F.sum("bytes_billed").alias("bytes_billed"),
+    )
+
+
 def query_cost_rollup(job_log: DataFrame, price: DataFrame) -> DataFrame:
     """Per experiment the jobs, billed bytes and cost. ``price`` is the one-row frame
-    of ``one_price``. Job names are put in order, so the text is stable."""
-    per_id = (
-        job_log.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(
-            F.array_join(F.sort_array(F.collect_list("job_id")), ", ").alias("job_ids"),
-            F.sum("bytes_billed").alias("total_bytes_billed"),
-        )
+    of ``one_price``. Job names are put in order, so the text is stable; it is made of the
+    pieces an id has."""
+    texts = F.transform(
+        F.array_sort(F.collect_list(F.struct("piece", "job_ids"))), lambda p: p["job_ids"]
+    )
+    named = F.filter(texts, lambda t: t != "")
+    per_id = cost_pieces(job_log).groupBy("id").agg(
+        F.array_join(named, ", ").alias("job_ids"), F.sum("bytes_billed").alias("total_bytes_billed")
     )
     cost = F.col("total_bytes_billed") / F.lit(BYTES_PER_TIB) * price.scalar()
     return per_id.select(

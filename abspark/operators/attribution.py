@@ -6,33 +6,50 @@ per credited unit. Ties on time go to the smaller variant text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abspark.operators.exposures import matches_variant
 from abspark.spec import BOTH, EXCLUDE, FIRST, LAST, POLICIES
 
 
-def _ranked(exposures: DataFrame, time: Column) -> DataFrame:
-    """Exposures numbered per key. Rows of a key that agree in time and text are counted
-    before the shuffle and get consecutive numbers, so that only a key's distinct rows
-    meet in a task; no plan of this library uses the numbers."""
+# Exposures of a key within so many microseconds are numbered in one task.
+BUCKET_MICROS = 3_600_000_000
+
+
+def _ranked(exposures: DataFrame, latest_first: bool) -> DataFrame:
+    """Exposures numbered per key. A key's exposures are cut into buckets of time, so that a
+    key (or NULL) that holds a third of all rows is numbered by as many tasks as it has
+    buckets: a row's number is its place in the bucket plus the rows of the buckets before.
+    Rows that agree in time and text are counted before the shuffle and get consecutive
+    numbers. Both uses of the counts share one exchange."""
     counted = exposures.groupBy("key", "exposure_time", "variant").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("key").orderBy(time, "variant")
-    upto = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbers = F.sequence(F.col("upto") - F.col("times") + 1, F.col("upto"))
-    rows = counted.withColumn("upto", upto).withColumn("rn", F.explode(numbers))
+    micros = F.unix_micros(F.col("exposure_time").cast("timestamp"))
+    counted = counted.withColumn("bucket", F.floor(micros / BUCKET_MICROS))
+    in_turn = (lambda c: F.col(c).desc_nulls_last()) if latest_first else (lambda c: F.col(c).asc_nulls_last())
+    totals = counted.groupBy("key", "bucket").agg(F.sum("times").alias("total"))
+    earlier = Window.partitionBy("key").orderBy(in_turn("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        F.col("key").alias("of_key"), F.col("bucket").alias("of_bucket"),
+        F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"),
+    )
+    order = Window.partitionBy("key", "bucket").orderBy(in_turn("exposure_time"), "variant")
+    within = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("key").eqNullSafe(F.col("of_key")) & F.col("bucket").eqNullSafe(F.col("of_bucket"))
+    rows = counted.withColumn("within", within).join(before, same)
+    last = F.col("before") + F.col("within")
+    rows = rows.withColumn("rn", F.explode(F.sequence(last - F.col("times") + 1, last)))
     return rows.select("key", "exposure_time", "variant", F.col("rn").cast("int").alias("rn"))
 
 
 def first_exposure_rank(exposures: DataFrame) -> DataFrame:
     """Exposures numbered per key, earliest first."""
-    return _ranked(exposures, F.col("exposure_time"))
+    return _ranked(exposures, latest_first=False)
 
 
 def last_exposure_rank(exposures: DataFrame) -> DataFrame:
     """Exposures numbered per key, latest first."""
-    return _ranked(exposures, F.desc("exposure_time"))
+    return _ranked(exposures, latest_first=True)
 
 
 def variant_spans(exposures: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Table maintenance (S6-S13): every change is a new DataFrame over the old one.
 
 Plain files cannot be changed in place, so an upsert is the old rows joined with the staged
-ones, written as a new snapshot. Where the table format knows MERGE,
-``merge_report`` uses it instead.
+ones, written as a new snapshot (``merge_into_snapshots`` also publishes it, so that readers
+and other writers notice). Where the table format knows MERGE, ``merge_report`` uses it
+instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from abspark.functions.scalars import to_double
 from abspark.operators.registry import normalize_id
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE, REPORT
+from abspark.sources.snapshots import Version, current_version, publish, read_version
 
 
 # A cell without a value and a blank one stay apart: only the former is written like this.
@@ -72,6 +74,15 @@ def merge_report(source: DataFrame, table: str) -> None:
     )
 
 
+def merge_into_snapshots(source: DataFrame, root: str) -> Version:
+    """S7 on plain files: the current version with the source rows merged in becomes the
+    next one. Fails with ConflictError, and changes nothing, if another writer was faster."""
+    spark = source.sparkSession
+    base = current_version(spark, root)
+    merged = upsert_report(read_version(spark, root, REPORT, base), source)
+    return publish(merged, root, base, partition_by=("date_last_analyzed",))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A new snapshot, one folder per analysis date."""
     report.write.mode("errorifexists").partitionBy("date_last_analyzed").parquet(path)

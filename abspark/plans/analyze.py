@@ -228,8 +228,11 @@ def _merged_windows(specs: Iterable[ExperimentSpec]) -> list[tuple[dt.date, dt.d
     return merged
 
 
-def _tag_rows(events: DataFrame, layout: EventLayout, tags: list[_Tag]) -> DataFrame:
-    """One output row per (event, tag it satisfies).
+def _tag_rows(
+    events: DataFrame, layout: EventLayout, tags: list[_Tag], by_day: bool = False
+) -> DataFrame:
+    """One output row per (event, tag it satisfies), with the day that windows are tested on
+    if asked for.
 
     Event names and the union of the day windows come first as plain filters, so they reach
     the files; experiments that any event may expose add a test of their own to the names.
@@ -273,6 +276,7 @@ def _tag_rows(events: DataFrame, layout: EventLayout, tags: list[_Tag]) -> DataF
         _variant_text(shared),
         "row_time AS time",
         "get(value_array, rule.value) AS value" if "value" in shared.arrays else "CAST(NULL AS DOUBLE) AS value",
+        *([f"{layout.day_of_row} AS day"] if by_day else []),
     )
 
 
@@ -371,21 +375,33 @@ def _variant_text(shared: _SharedColumns) -> str:
 
 
 # ---------------------------------------------------------------- per key
-def _key_summary(tagged: DataFrame, policies: set[str]) -> DataFrame:
+def _spans(tagged: DataFrame, *by: str) -> DataFrame:
+    """First and last time and value sum per (tag, key, variant text). Conversions are the
+    rows without variant text. Spans of parts of the rows can be merged."""
+    return tagged.groupBy("tag", "key", "variant", *by).agg(
+        F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"),
+        F.sum("value").alias("value"),
+    )
+
+
+def _merged_spans(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("tag", "key", "variant").agg(
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
+        F.sum("value").alias("value"),
+    )
+
+
+def _key_summary(spans: DataFrame, policies: set[str]) -> DataFrame:
     """One row per (tag, key): first and last labelled exposure, number of variant texts,
-    first conversion and value sum. Conversions are the rows without variant text."""
+    first conversion and value sum."""
     exposed, converted = F.col("variant").isNotNull(), F.col("variant").isNull()
     age = -F.unix_micros(F.col("last_time").cast("timestamp"))
     newest = F.struct(age.alias("age"), F.col("variant"), F.col("last_time"))
     last = F.min(F.when(exposed, newest))
     return (
-        tagged.groupBy("tag", "key", "variant")
-        .agg(
-            F.min("time").alias("first_time"),
-            F.max("time").alias("last_time"),
-            F.sum("value").alias("value"),
-        )
-        .groupBy("tag", "key")
+        spans.groupBy("tag", "key")
         .agg(
             F.min(F.when(exposed, F.struct("first_time", "variant"))).alias("first"),
             *([last.alias("last")] if LAST in policies else []),
@@ -468,13 +484,18 @@ def _first_rows(numbers: list[int]) -> dict[int, int]:
 
 
 # ---------------------------------------------------------------- the two modes
-def _parts(
-    events: DataFrame, layout: EventLayout, specs: list[ExperimentSpec]
-) -> DataFrame:
-    """Rows (r, unit, conv_count, conv_value) whose sums are the results.
+@dataclass(frozen=True)
+class _Demand:
+    """What a set of registry rows asks the events for. tag_of and conversion_of: numbers
+    for each row (-1: its conversions count once and belong to its tag)."""
+
+    tags: list[_Tag]
+    conversion_tags: list[_Tag]
+    tag_of: list[int]
+    conversion_of: list[int]
+
 
-    One scan tags the exposures of all rows and the conversions of those that count once;
-    a second one reads the conversions that count one by one, if there are such rows."""
+def _demand(layout: EventLayout, specs: list[ExperimentSpec]) -> _Demand:
     signatures = [
         (_exposure_signature(layout, s), None if s.count_all else _conversion_signature(s))
         for s in specs
@@ -490,24 +511,40 @@ def _parts(
         for side in (EXPOSURE_SIDE, CONVERSION_SIDE)
         if side == EXPOSURE_SIDE or signature[1] is not None
     ]
-    summary = _key_summary(
-        _tag_rows(events, layout, tags), {s.user_overlap for s in specs}
+    first_of = _first_rows(conversion_of)
+    conversion_tags = [_Tag(n, specs[first_of[n]], CONVERSION_SIDE) for n in every.values()]
+    return _Demand(tags, conversion_tags, tag_of, conversion_of)
+
+
+def _conversion_rows(tagged: DataFrame) -> DataFrame:
+    """Conversions that count one by one, as rows that stand for one each."""
+    return tagged.select(
+        "tag", F.col("key").alias("conv_key"), "time", F.lit(1).cast("long").alias("times"),
+        "value", (F.col("value") * F.col("value")).alias("sq_value"),
     )
-    units = _credited_units(summary, layout, specs, tag_of, conversion_of)
+
+
+def _parts(
+    spans: DataFrame,
+    conversion_rows: DataFrame | None,
+    layout: EventLayout,
+    specs: list[ExperimentSpec],
+    demand: _Demand,
+) -> DataFrame:
+    """Rows (r, unit, conv_count, conv_value, conv_sq_value) whose sums are the results, from
+    the spans of all tags and the conversions that count one by one, if there are such."""
+    summary = _key_summary(spans, {s.user_overlap for s in specs})
+    units = _credited_units(summary, layout, specs, demand.tag_of, demand.conversion_of)
     counted = _follows()
     parts = units.select(
         "r",
         F.lit(1).alias("unit"),
-        F.when(counted, F.lit(1)).alias("conv_count"),
+        F.when(counted, F.lit(1)).cast("long").alias("conv_count"),
         F.when(counted, F.col("conv_value")).alias("conv_value"),
+        F.when(counted, F.col("conv_value") * F.col("conv_value")).alias("conv_sq_value"),
     )
-    if not every:
+    if conversion_rows is None:
         return parts
-    first_of = _first_rows(conversion_of)
-    conversion_tags = [_Tag(n, specs[first_of[n]], CONVERSION_SIDE) for n in every.values()]
-    conversion_rows = _tag_rows(events, layout, conversion_tags).select(
-        "tag", F.col("key").alias("conv_key"), "time", "value"
-    )
     # Conversions have no NULL keys, so the null-safe test equals the plain one. It keeps
     # a NULL-key filter from being pushed into this use of the units only, and the tests
     # for absent sums, true of every such unit, keep both uses the same columns: both share
@@ -521,7 +558,10 @@ def _parts(
         .where(later)
     )
     return parts.unionByName(
-        joined.select("r", F.lit(1).alias("conv_count"), F.col("value").alias("conv_value")),
+        joined.select(
+            "r", F.col("times").alias("conv_count"), F.col("value").alias("conv_value"),
+            F.col("sq_value").alias("conv_sq_value"),
+        ),
         allowMissingColumns=True,
     )
 
@@ -537,7 +577,7 @@ def _sum_up(parts: DataFrame, specs: list[ExperimentSpec]) -> DataFrame:
             F.count("unit").alias("user_count"),
             F.sum("conv_count").alias("conversion_count"),
             F.sum("conv_value").alias("total_conversion_value"),
-            F.expr("sum(conv_value * conv_value)").alias("total_conversion_sq_value"),
+            F.sum("conv_sq_value").alias("total_conversion_sq_value"),
         )
     )
     described = [f for f in RESULTS.fields if f.name not in sums.columns]
@@ -557,7 +597,14 @@ def analyze_specs(
     runnable = [s for s in specs if not skip_reasons(layout, s)]
     if not runnable:
         return events.sparkSession.createDataFrame([], RESULTS)
-    return _sum_up(_parts(events, layout, runnable), runnable)
+    demand = _demand(layout, runnable)
+    # One scan tags the exposures of all rows and the conversions that count once; a second
+    # one reads the conversions that count one by one, if there are such rows.
+    spans = _spans(_tag_rows(events, layout, demand.tags))
+    each = None
+    if demand.conversion_tags:
+        each = _conversion_rows(_tag_rows(events, layout, demand.conversion_tags))
+    return _sum_up(_parts(spans, each, layout, runnable, demand), runnable)
 
 
 def analyze(

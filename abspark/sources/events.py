@@ -37,6 +37,24 @@ def read_chosen_shards(spark: SparkSession, catalog: DataFrame, root: str) -> Da
     return read_shards(spark, f"{root.rstrip('/')}/{prefix}")
 
 
+def scan_chosen_shards(spark: SparkSession, root: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Shards of the days start..end, each day from one family: the daily shard where there
+    is one, else the fresh one. (``choose_fresh_shards`` decides for all days at once, so a
+    day that only the other family holds would be missing.) The days either family has reach
+    the driver, some hundreds; both readers then list and open only the days chosen for them."""
+    daily, fresh = (read_shards(spark, f"{root.rstrip('/')}/{p}") for p in (DAILY_PREFIX, FRESH_PREFIX))
+    days = [
+        scan_sharded_events(family, start, end).select("table_suffix").distinct() for family in (daily, fresh)
+    ]
+    only_fresh = [r.table_suffix for r in days[1].join(days[0], "table_suffix", "left_anti").collect()]
+    chosen = scan_sharded_events(daily, start, end)
+    if not only_fresh:
+        return chosen
+    return chosen.unionByName(
+        fresh.where(F.col("table_suffix").isin(*sorted(only_fresh))), allowMissingColumns=True
+    )
+
+
 def scan_sharded_events(
     events: DataFrame, start: dt.date, end: dt.date
 ) -> DataFrame:

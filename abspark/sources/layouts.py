@@ -171,6 +171,8 @@ class EventLayout:
 
     #: SQL test of a row, with columns row_time and first_day, last_day of a rule (dates)
     rule_window = "row_time >= rule.first_day AND row_time < rule.last_day + INTERVAL 1 DAY"
+    #: SQL for the day that windows are tested on
+    day_of_row = "to_date(row_time)"
 
     def event_is(self, name: str) -> Column:
         return F.col(self.event_column) == F.lit(name)
@@ -271,6 +273,7 @@ class NestedLayout(EventLayout):
 
     tool = TOOL_NESTED
     rule_window = "table_suffix BETWEEN rule.first_suffix AND rule.last_suffix"
+    day_of_row = "to_date(table_suffix, 'yyyyMMdd')"
 
     def event_time(self) -> Column:
         return F.timestamp_micros(F.col("event_timestamp"))
@@ -361,6 +364,7 @@ class FlatLayout(EventLayout):
     tool = TOOL_FLAT
     both_uses_label = True
     rule_window = "event_date BETWEEN rule.first_day AND rule.last_day"
+    day_of_row = "event_date"
 
     def event_time(self) -> Column:
         return F.timestamp_micros(F.col("time.event_timestamp"))

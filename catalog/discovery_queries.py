@@ -297,6 +297,18 @@ def _(spark, sf_dir):
     return dis.discover_json_keys(events, "event_properties", window)
 
 
+@query(
+    "discover_variant_params_two_bag",
+    f"""{W} SELECT * FROM (SELECT DISTINCT 'EVENT' AS scope,
+      unnest(['k', 'value', 'variant', 'info', 'plan']) AS name FROM win
+      UNION SELECT DISTINCT 'USER', unnest(['group', CASE WHEN tier IS NOT NULL THEN 'tier' END])
+      FROM win) WHERE name <> 'plan'""",
+)
+def _(spark, sf_dir):
+    events, window, _layout = events_of(spark, sf_dir, TOOL_TWO_BAG)
+    return dis.discover_variant_params_two_bag(events, window, ["plan"])
+
+
 @query(
     "json_nonstring_hits",
     f"""{W} SELECT unnest(['k', 'value', 'info']) AS name,

@@ -11,6 +11,7 @@ from abspark.operators import attribution as att
 from abspark.operators import exposures as exp
 from abspark.operators.aggregates import distinct_unit_count, sufficient_stats, unit_stats
 from abspark.plans.analyze import analyze_one, analyze_specs
+from abspark.plans.state import advance, analyze_day_by_day
 from abspark.sources import events as scans
 from abspark.sources.layouts import layout_for
 from abspark.spec import (
@@ -41,7 +42,7 @@ from catalog.experiments import (
     stats_sql,
     units_sql,
 )
-from catalog.registry import query
+from catalog.registry import query, scratch_folder
 from catalog.views import BASE_SQL
 
 SHORT = {
@@ -117,6 +118,25 @@ def _(spark, sf_dir):
     return scans.chosen_shards(daily.unionByName(fresh))
 
 
+@query(
+    "scan_chosen_shards",
+    f"""{BASE} SELECT strftime(day, '%Y%m%d') AS table_suffix,
+    CASE WHEN day < DATE '2024-01-10' OR day = DATE '2024-01-15' THEN 'daily' ELSE 'fresh' END AS family,
+    event_type AS event_name, device AS user_pseudo_id, epoch_us(ts) AS event_timestamp
+    FROM base WHERE {DAYS}""",
+)
+def _(spark, sf_dir):
+    """The daily family ends on the 9th and has one later day, the fresh one begins on the 5th."""
+    events, _layout = view(spark, sf_dir, TOOL_NESTED)
+    rows = events.select("table_suffix", "event_name", "user_pseudo_id", "event_timestamp")
+    root = scratch_folder(spark)
+    daily = rows.where("table_suffix < '20240110' OR table_suffix = '20240115'")
+    fresh = rows.where("table_suffix >= '20240105'")
+    for family, prefix, part in (("daily", scans.DAILY_PREFIX, daily), ("fresh", scans.FRESH_PREFIX, fresh)):
+        part.withColumn("family", F.lit(family)).write.partitionBy("table_suffix").parquet(f"{root}/{prefix}")
+    return scans.scan_chosen_shards(spark, root, START, END)
+
+
 @query(
     "scan_flat_events",
     f"""{BASE} SELECT day AS event_date, event_type AS event_name,
@@ -691,28 +711,35 @@ for name, count_all in (("conversions_once", False), ("conversions_all", True)):
 
 
 for name, tool in (("post_exposure_join", TOOL_FLAT), ("post_exposure_join_strict", TOOL_ONE_BAG)):
-    join_spec = spec(tool, conversion_count_all=True)
+    join_specs = [spec(tool, v, conversion_count_all=True) for v in "AB"]
 
     @query(
         name,
-        parts_sql(tool, join_spec)
-        + """SELECT key, epoch_us(exposure_time) AS exposure_micros,
-        epoch_us(conv_time) AS conv_micros, round(conv_value, 4) AS conv_value
-        FROM met WHERE conv_time IS NOT NULL""",
+        " UNION ALL ".join(
+            f"""SELECT '{s.variant}' AS side, * FROM ({parts_sql(tool, s)}
+            SELECT key, epoch_us(exposure_time) AS exposure_micros,
+            epoch_us(conv_time) AS conv_micros, round(conv_value, 4) AS conv_value
+            FROM met WHERE conv_time IS NOT NULL)"""
+            for s in join_specs
+        ),
     )
-    def _(spark, sf_dir, tool=tool, join_spec=join_spec):
+    def _(spark, sf_dir, tool=tool, join_specs=join_specs):
         events, layout = view(spark, sf_dir, tool)
-        units = att.overlap_first_exposure(
-            exp.label_exposures(events, layout, join_spec), join_spec.exp_variant_string
-        )
-        joined = att.post_exposure_join(
-            units, exp.conversions(events, layout, join_spec), layout.strict_after
-        )
-        return joined.select(
-            "key", micros("exposure_time").alias("exposure_micros"),
-            micros("conv_time").alias("conv_micros"),
-            F.round("conv_value", 4).alias("conv_value"),
-        )
+        sides = []
+        for s in join_specs:
+            units = att.overlap_first_exposure(
+                exp.label_exposures(events, layout, s), s.exp_variant_string
+            )
+            joined = att.post_exposure_join(
+                units, exp.conversions(events, layout, s), layout.strict_after
+            )
+            sides.append(joined.select(
+                F.lit(s.variant).alias("side"), "key",
+                micros("exposure_time").alias("exposure_micros"),
+                micros("conv_time").alias("conv_micros"),
+                F.round("conv_value", 4).alias("conv_value"),
+            ))
+        return union(sides)
 
 
 @query(
@@ -771,11 +798,31 @@ for tool, short in SHORT.items():
         return rounded(analyze_specs(events, layout, spread(tool)))
 
 
+ONE_ROWS = [spec(TOOL_TWO_BAG, v, user_overlap=LAST, conversion_count_all=True) for v in "AB"]
+
+
 @query(
     "analyze_one_row",
-    stats_sql(TOOL_TWO_BAG, spec(TOOL_TWO_BAG, user_overlap=LAST, conversion_count_all=True)),
+    " UNION ALL ".join(
+        f"SELECT '{s.variant}' AS side, * FROM ({stats_sql(TOOL_TWO_BAG, s)})" for s in ONE_ROWS
+    ),
 )
 def _(spark, sf_dir):
     events, layout = view(spark, sf_dir, TOOL_TWO_BAG)
-    s = spec(TOOL_TWO_BAG, user_overlap=LAST, conversion_count_all=True)
-    return rounded(analyze_one(events, layout, s))
+    return union([
+        rounded(analyze_one(events, layout, s)).select(F.lit(s.variant).alias("side"), "*")
+        for s in ONE_ROWS
+    ])
+
+
+for tool in (TOOL_NESTED, TOOL_ONE_BAG):
+
+    @query(f"analyze_day_by_day_{SHORT[tool]}", results_sql(tool, spread(tool)))
+    def _(spark, sf_dir, tool=tool):
+        """Three runs: some days for half of the rows, more days for all, then the rest."""
+        events, layout = view(spark, sf_dir, tool)
+        specs, root = spread(tool), scratch_folder(spark)
+        middle = START + (END - START) // 2
+        advance(root, events, layout, specs[: len(specs) // 2], START + (middle - START) // 2)
+        advance(root, events, layout, specs, middle)
+        return rounded(analyze_day_by_day(root, events, layout, specs, END))

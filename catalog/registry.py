@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from abspark.session import stage_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +24,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for files a query writes and reads. One machine's session (a test) may
+    have no shared folder; a cluster must name one in spark.checkpoint.dir."""
+    alone = spark.sparkContext.master.startswith("local[")
+    if alone and not spark.conf.get("spark.checkpoint.dir", None):
+        return stage_folder(spark, tempfile.mkdtemp(prefix="stage-"))
+    return stage_folder(spark)

@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from abspark.operators import aggregates as agg
-from abspark.operators import lookups
+from abspark.operators import lookups, tables
 from abspark.operators.exposures import select_active
 from abspark.plans import report as rep
-from abspark.schemas import EXPERIMENTS, FILTERS
+from abspark.schemas import EXPERIMENTS, FILTERS, REPORT
+from abspark.sources.snapshots import read_version
 from abspark.spec import TOOL_ONE_BAG, FilterSpec
 from catalog.experiments import results_sql, spec, spread
-from catalog.registry import query
+from catalog.registry import query, scratch_folder
 from catalog.stats_queries import (
     HYPOTHESIS,
     LEVEL,
@@ -356,6 +357,18 @@ def _(spark, sf_dir):
     return round_doubles(derived_report(spark, sf_dir))
 
 
+@query("merge_into_snapshots", f"{TESTS} SELECT * FROM report")
+def _(spark, sf_dir):
+    """An older report without some experiments and with other names, then the whole one
+    merged in; read back through the manifest."""
+    folder = scratch_folder(spark)
+    report = derived_report(spark, sf_dir)
+    older = report.where("CAST(id AS BIGINT) % 3 <> 0").withColumn("experiment_name", F.lit("old"))
+    tables.merge_into_snapshots(older, folder)
+    tables.merge_into_snapshots(report, folder)
+    return round_doubles(read_version(spark, folder, REPORT))
+
+
 # ---------------------------------------------------------------- from the events
 def event_specs():
     """Registry rows of the flagship report: every policy and mode, with filters on one."""

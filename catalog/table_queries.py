@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from abspark.functions.scalars import first_with_key
@@ -11,8 +9,7 @@ from abspark.operators import aggregates as agg
 from abspark.operators import lookups, tables
 from abspark.operators.attribution import split_by_policy
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE
-from abspark.session import stage_folder
-from catalog.registry import query
+from catalog.registry import query, scratch_folder
 from catalog.views import BASE_SQL, base, table
 
 # ---------------------------------------------------------------- registry rows
@@ -113,9 +110,7 @@ def _(spark, sf_dir):
     stage = customer_rows(spark, sf_dir, "new", NEW, extra="mode").select(
         *EXPERIMENTS_STAGE.fieldNames()
     )
-    # One machine's session (a test) may have no shared folder; a cluster must name one.
-    alone = spark.sparkContext.master.startswith("local[")
-    folder = stage_folder(spark, tempfile.mkdtemp(prefix="stage-") if alone else None)
+    folder = scratch_folder(spark)
     tables.write_stage(stage, folder)
     return tables.load_registry(spark, folder)
 
@@ -306,6 +301,17 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "query_cost_pieces",
+    f"""WITH {JOBS_SQL}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY id
+      ORDER BY job_id) - 1) // 3 + 1 AS INTEGER) AS piece FROM jobs)
+    SELECT id, piece, string_agg(job_id, ', ' ORDER BY job_id) AS job_ids,
+      CAST(sum(bytes_billed) AS BIGINT) AS bytes_billed FROM placed GROUP BY id, piece""",
+)
+def _(spark, sf_dir):
+    return agg.cost_pieces(job_log(spark, sf_dir), jobs_per_piece=3)
+
+
 @query(
     "cost_rows",
     f"""WITH {JOBS_SQL}, {PRICE_SQL}, every AS (SELECT * FROM jobs UNION ALL
@@ -510,6 +516,17 @@ def _(spark, sf_dir):
     return tables.rows_with_ids(lines, ids, "l_orderkey")
 
 
+@query(
+    "id_anti_join",
+    """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IS NULL OR o_custkey
+    NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+)
+def _(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return tables.rows_without_ids(orders, ids.select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
 @query(
     "first_match_in_array",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderpriority

@@ -319,8 +319,8 @@ def test_rules_of_properties_and_names_together(spark, folder):
     events = layout_view(spark, folder, TOOL_NESTED)
     layout = layout_for(TOOL_NESTED, events.schema)
     filters = [
-        (), (FilterSpec("Include", "Both", "Event", "k", "1"),), (FilterSpec("Exclude", "Both", "Column", "items.item_name", "1"),),
-        (FilterSpec("Exclude", "Both", "Event", "k", "1"), FilterSpec("Include", "Both", "Column", "items.item_name", "[0-9]")),
+        (), (FilterSpec("Include", "Both", "Event", "k", "1"),), (FilterSpec("Exclude", "Both", "Column", "items.item_id", "1"),),
+        (FilterSpec("Exclude", "Both", "Event", "k", "1"), FilterSpec("Include", "Both", "Column", "items.item_id", "[0-9]")),
     ]
     specs = [
         spec(TOOL_NESTED, v, id=f"{i}{name}", filters=own, user_overlap=POLICIES[i], experiment_event_name=name or spec(TOOL_NESTED).experiment_event_name)
