@@ -187,27 +187,42 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     return staged(close.union(ordered).distinct())
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (node, label) of different label that may still be linked."""
+def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, label, size, shingle, holders, place, is_short: the prefixes of the sets of the
+    members (node, label), in the order of the shingles' frequency."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, label, shingles in zip(batch["node"], batch["label"], batch["shingles"], strict=True):
-                values = np.frombuffer(shingles, np.int64)
-                yield pd.DataFrame({"node": [node] * len(values), "label": [label] * len(values), "size": len(values), "shingle": values})
+            sizes = batch["shingles"].str.len().to_numpy() // 8
+            values = np.frombuffer(b"".join(batch["shingles"]), np.int64)
+            repeated = {c: batch[c].to_numpy().repeat(sizes) for c in ("node", "label")}
+            yield pd.DataFrame({**repeated, "size": sizes.repeat(sizes), "shingle": values})
 
     held = members.join(sets, "node").select("node", "label", "shingles")
     rows = staged(held.mapInPandas(unpack, "node binary, label binary, size long, shingle long"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("holders"), (F.min("label") != F.max("label")).alias("split"))
     order = Window.partitionBy("node").orderBy("holders", "shingle")
     placed = rows.join(shared, "shingle").withColumn("place", F.row_number().over(order))
-    least = F.ceil(F.col("size") * PERCENT / 100)
-    placed = staged(placed.where((F.col("place") <= F.col("size") - least + 1) & F.col("split")))
-    side = lambda c: placed.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "size", "place")])
+    # Sets that are linked share a shingle of the short prefix of the smaller one and of the
+    # long prefix of the larger one. Shingles many sets have come late in the order, so where
+    # sets share a core and are not linked, the core lies beyond the short prefixes.
+    prefix = lambda least: F.col("place") <= F.col("size") - least + 1
+    long = prefix(F.ceil(F.col("size") * PERCENT / 100))
+    short = prefix(F.ceil(2 * F.col("size") * PERCENT / (100 + PERCENT)))
+    return staged(placed.where(long & F.col("split")).withColumn("is_short", short))
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (node, label) of different label that may still be linked."""
+    placed = prefixes(members, sets)
+    side = lambda c: placed.select("shingle", "is_short", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "size", "place")])
+    smaller, larger = side("a").where("is_short").drop("is_short"), side("b").drop("is_short")
     needed = F.ceil((F.col("size_a") + F.col("size_b")) * PERCENT / (100 + PERCENT))
     still = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
-    match = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (still >= needed)
-    met = side("a").join(side("b"), "shingle").where(match)
+    in_turn = F.expr("size_a < size_b OR size_a = size_b AND node_a < node_b")
+    fits = F.col("size_a") * 100 >= F.col("size_b") * PERCENT
+    match = in_turn & fits & (F.col("label_a") != F.col("label_b")) & (still >= needed)
+    met = smaller.join(larger, "shingle").where(match)
     return staged(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
 
 
