@@ -20,8 +20,10 @@ is 1; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,9 +37,7 @@ CHUNK_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 PAIR_BITS_DROPPED = np.uint64(16)  # pairs travel with 48 bits beside their bucket
-CONTEXTS = 24  # classes of context frequency: 0, 1, 2-3, 4-7, ...
 STEPS = 4  # grid steps per factor of two
-GRID = 64 * STEPS
 ROUNDS = 60
 FOLDS, HELD_OUT = 7, 2
 
@@ -204,22 +204,51 @@ def streams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def context_class(counts: np.ndarray) -> np.ndarray:
+    """0 for none, then 1, 2-3, 4-7, ..."""
     size = np.zeros(len(counts), np.int64)
     some = counts > 0
     size[some] = np.floor(np.log2(counts[some])).astype(np.int64) + 1
-    return np.minimum(size, CONTEXTS - 1)
+    return size
 
 
-def grid_place(share: np.ndarray) -> np.ndarray:
-    """Step of a probability relative to the uniform one; 0 for none."""
-    place = np.zeros(len(share), np.int64)
-    some = share > 0
-    place[some] = np.clip(np.rint(np.log2(share[some]) * STEPS) + GRID // 4, 1, GRID - 1)
-    return place
+@dataclass(frozen=True)
+class Grid:
+    """Classes of context frequency and steps of probabilities relative to the uniform one,
+    as many as a corpus of so many words and types can have: both grow with the logarithm
+    of its size, and nothing lies outside."""
+
+    words: int
+    types: int
+
+    @property
+    def classes(self) -> int:
+        return max(self.words, 1).bit_length() + 1
+
+    @property
+    def lowest(self) -> int:
+        """Step of the rarest word of all, or of a pair after the most frequent one."""
+        return math.floor(math.log2((self.types + 1) / max(self.words, 1)) * STEPS)
+
+    @property
+    def size(self) -> int:
+        """Steps up to certainty, and one for none."""
+        return math.ceil(math.log2(self.types + 1) * STEPS) - self.lowest + 2
+
+    def place(self, share: np.ndarray) -> np.ndarray:
+        """Step of a probability relative to the uniform one; 0 for none."""
+        place = np.zeros(len(share), np.int64)
+        some = share > 0
+        place[some] = np.rint(np.log2(share[some]) * STEPS).astype(np.int64) - self.lowest + 1
+        return place
+
+    def value(self, place: np.ndarray) -> np.ndarray:
+        return np.where(place > 0, 2.0 ** ((place - 1 + self.lowest) / STEPS), 0.0)
 
 
 def learn_weights(texts: DataFrame, words: int, types: int) -> np.ndarray:
     """Weights (class, [a2, a1, a0]) from the deleted counts of the training texts."""
+    grid = Grid(words, types)
+    contexts_held, size = grid.classes, grid.size
 
     def deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, int] = {}
@@ -228,29 +257,28 @@ def learn_weights(texts: DataFrame, words: int, types: int) -> np.ndarray:
             for blob in batch["counts"]:
                 tokens, pairs, contexts = streams(blob)
                 contexts, pairs, tokens = contexts - 1, pairs - 1, tokens - 1
-                cell = context_class(contexts) * GRID + grid_place(pairs / np.maximum(contexts, 1) * (types + 1))
-                cells.append(cell * GRID + grid_place(tokens / max(words - 1, 1) * (types + 1)))
+                cell = context_class(contexts) * size + grid.place(pairs / np.maximum(contexts, 1) * (types + 1))
+                cells.append(cell * size + grid.place(tokens / max(words - 1, 1) * (types + 1)))
             values, counts = np.unique(np.concatenate(cells), return_counts=True)
             for v, n in zip(values.tolist(), counts.tolist(), strict=True):
                 sums[v] = sums.get(v, 0) + n
         yield pd.DataFrame({"cell": pd.array(list(sums), "int64"), "n": pd.array(list(sums.values()), "int64")})
 
     training = texts.where("not held_out").select("counts")
-    # At most CONTEXTS * GRID * GRID cells, whatever the size of the corpus.
-    grid = training.mapInPandas(deleted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.tile(np.array([0.4, 0.4, 0.2]), (CONTEXTS, 1))
+    # The cells of the grid: a power of the logarithm of the corpus, some ten thousand.
+    found = training.mapInPandas(deleted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    weights = np.tile(np.array([0.4, 0.4, 0.2]), (contexts_held, 1))
     weights[0] = [0.0, 0.5, 0.5]
-    if not len(grid):
-        return np.tile(np.array([0.0, 0.0, 1.0]), (CONTEXTS, 1))
-    cell, n = grid["cell"].to_numpy(), grid["n"].to_numpy(float)
-    of_class = cell // (GRID * GRID)
-    value = lambda place: np.where(place > 0, 2.0 ** ((place - GRID // 4) / STEPS), 0.0)
-    parts = np.stack([value(cell // GRID % GRID), value(cell % GRID), np.ones(len(cell))], 1)
-    seen = np.bincount(of_class, n, CONTEXTS)
+    if not len(found):
+        return np.tile(np.array([0.0, 0.0, 1.0]), (contexts_held, 1))
+    cell, n = found["cell"].to_numpy(), found["n"].to_numpy(float)
+    of_class = cell // (size * size)
+    parts = np.stack([grid.value(cell // size % size), grid.value(cell % size), np.ones(len(cell))], 1)
+    seen = np.bincount(of_class, n, contexts_held)
     for _ in range(ROUNDS):
         share = parts * weights[of_class]
         share *= (n / share.sum(1))[:, None]
-        new = np.stack([np.bincount(of_class, share[:, k], CONTEXTS) for k in range(3)], 1)
+        new = np.stack([np.bincount(of_class, share[:, k], contexts_held) for k in range(3)], 1)
         # A little of the uniform part stays everywhere, so no text has probability 0.
         new = (new + np.array([0.0, 0.01, 0.01])) / (seen[:, None] + 0.02)
         weights = np.where(seen[:, None] > 0, new, weights)
