@@ -30,7 +30,6 @@ from abspark.llm.common import staged
 
 SAMPLE = 12_000  # labelled documents that lexicon and model are learned from
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-STEMS = 20_000  # most frequent stems of toxic texts that are looked at
 LEAST_TEXTS, LEAST_ODDS = 5, 2.5  # toxic texts with a stem, log odds against clean ones
 CACHE = 200_000
 REACH = 3  # words on either side of a hit that decide between quotation and abuse
@@ -144,29 +143,37 @@ def counted(texts: DataFrame, count) -> DataFrame:
     return texts.select("text").mapInPandas(sums, "key string, texts long").groupBy("key").agg(F.sum("texts").alias("texts"))
 
 
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """How much likelier a key is in a toxic text than in a clean one, by its counts."""
+    share = lambda n, of: F.ln((F.coalesce(n, F.lit(0)) + 0.5) / F.lit(float(of + 1)))
+    return share(toxic, n_toxic) - share(clean, n_clean)
+
+
 def learn_lexicon(texts: DataFrame) -> Lexicon:
+    """Stems whose odds are high enough, and misspellings that are ordinary words. Both are
+    chosen in Spark; what reaches the driver is bounded by the sample alone."""
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     toxic, clean = texts.where("toxic = 1"), texts.where("toxic = 0")
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, frozenset())
+
+    def compared(of_toxic: DataFrame, of_clean: DataFrame, how: str) -> DataFrame:
+        both = of_toxic.join(of_clean.withColumnRenamed("texts", "clean_texts"), "key", how)
+        return both.withColumn("odds", log_odds(F.col("texts"), F.col("clean_texts"), n_toxic, n_clean))
+
     frequent = counted(toxic, stems_of).where(F.col("texts") >= LEAST_TEXTS)
-    frequent = frequent.orderBy(F.desc("texts"), "key").limit(STEMS)
-    seen = {r["key"]: r["texts"] for r in frequent.collect()}
-    asked = frozenset(seen)
-    ordinary_texts = {r["key"]: r["texts"] for r in counted(clean, lambda t: stems_of(t) & asked).collect()}
-    odds = lambda a, b: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-    stems = {s: o for s, n in seen.items() if (o := odds(n, ordinary_texts.get(s, 0))) >= LEAST_ODDS}
+    telling = compared(frequent, counted(clean, stems_of), "left").where(F.col("odds") >= LEAST_ODDS)
+    stems = {r["key"]: r["odds"] for r in telling.collect()}
     bare = Lexicon({}, frozenset())
 
     def misspelled(text: str | None) -> set[str]:
         words = {plain(t) for t in (text or "").split()}
         return {w for w in words if len(w) > 2 and (f := bare.nearest(w)) and f[0] > 0}
 
-    in_clean = counted(clean, misspelled).where("texts >= 2").orderBy(F.desc("texts"), "key").limit(STEMS).collect()
-    in_toxic = {r["key"]: r["texts"] for r in counted(toxic, misspelled).where("texts >= 2").orderBy(F.desc("texts"), "key").limit(STEMS).collect()}
-    ordinary = {r["key"] for r in in_clean if odds(in_toxic.get(r["key"], 0), r["texts"]) < LEAST_ODDS}
-    return Lexicon(stems, frozenset(ordinary))
+    seen = lambda rows: counted(rows, misspelled).where("texts >= 2")
+    common = compared(seen(toxic), seen(clean), "right").where(F.col("odds") < LEAST_ODDS)
+    return Lexicon(stems, frozenset(r["key"] for r in common.collect()))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
