@@ -376,3 +376,32 @@ def test_token_histogram(make_docs, corpus):
     histogram = token_counts.length_histogram(docs)
     assert token_counts.truncated_total(histogram, 17).first()[0] == sum(min(n, 17) for n in lengths)
     assert token_counts.quantile_length(histogram, 0.5).first()[0] == lengths[math.ceil(len(lengths) / 2) - 1]
+
+
+def test_shared_cores_meet_in_no_prefix(spark, make_docs):
+    """Texts of 400 common and 80 own words are no near copies: the common shingles are in
+    no short prefix, so nothing is joined on them; a near copy among them is found."""
+    core = [f"c{i}" for i in range(400)]
+    own = lambda d: [f"w{d}x{i}" for i in range(80)]
+    rows = [(d, " ".join(core + own(d)), "s") for d in range(60)]
+    rows.append((60, " ".join(core + own(7)[:70] + own(60)[:10]), "s"))
+    docs = make_docs(rows)
+    sketched = setsketch.sketches(docs).select("node", F.col("node").alias("label"))
+    sets = setsketch.full_sets(docs, setsketch.sketches(docs).select("doc_id", "part"))
+    placed = setsketch.prefixes(sketched, sets)
+    assert placed.where("is_short AND holders > 2").isEmpty()
+    judged = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+    assert judged == {**{d: d for d in range(60)}, 60: 7}
+
+
+@pytest.mark.parametrize("words, types", [(0, 0), (1, 1), (10, 3), (5_000, 5_000), (10**15, 10**4), (10**14, 10**13)])
+def test_grid_holds_all_probabilities(words, types):
+    """Rarest and most frequent words and contexts of corpora of any size have steps of their own."""
+    grid = lm_score.Grid(words, types)
+    counts = np.minimum([1, 2, max(words // 2, 1), max(words, 1)], max(words, 1))
+    counts.sort()
+    share = counts / max(words, 1) * (types + 1)
+    place = grid.place(share)
+    assert (place >= 1).all() and (place < grid.size).all() and (np.diff(place) >= 0).all()
+    assert np.allclose(np.log2(grid.value(place) / share), 0, atol=0.51 / lm_score.STEPS)
+    assert lm_score.context_class(counts).max() < grid.classes <= words.bit_length() + 2

@@ -90,3 +90,11 @@ def test_scores(make_docs, spark):
     assert kept.columns == docs.columns and {900, 901} <= {r.doc_id for r in kept.collect()}
     unlabelled = toxicity.score_toxicity(docs.limit(3), marks.limit(0)).collect()
     assert all(0 <= r.score <= 1 for r in unlabelled)
+
+
+def test_all_telling_stems_are_kept(spark):
+    """No limit drops stems: over 20,000 that only toxic texts have are all learned."""
+    words = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) + "zq" for i in range(11_000)]
+    texts = [(" ".join(words), 1)] * 6 + [("plain words of a clean text", 0)] * 8
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
+    assert len(lexicon.stems) == 22_000 and set(words) <= set(lexicon.stems)
