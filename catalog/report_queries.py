@@ -14,7 +14,7 @@ from abspark.schemas import EXPERIMENTS, FILTERS, REPORT
 from abspark.sources.snapshots import read_version
 from abspark.spec import TOOL_ONE_BAG, FilterSpec
 from catalog.experiments import results_sql, spec, spread
-from catalog.registry import query, scratch_folder
+from catalog.registry import placed, query, scratch_folder
 from catalog.stats_queries import (
     HYPOTHESIS,
     LEVEL,
@@ -485,7 +485,12 @@ def _(spark, sf_dir):
 
 @query(
     "download_results",
-    f"{TESTS} SELECT {', '.join(lookups.RESULT_COLUMNS)} FROM report",
+    f"""{TESTS} SELECT id, experiment_name, date_last_analyzed, date_start, date_end, hypothesis,
+    confidence_level, analyze_test, user_overlap, conversion_event, conv_significance,
+    conv_details, value_significance, value_details, scope, identity_source, test_a,
+    conversion_a, test_b, conversion_b, conv_rate_a, conv_rate_b, conv_z_score, conv_p_value,
+    mean_value_a, mean_value_b, t_value, value_p_value, row_number() OVER (ORDER BY analyze_test DESC
+    NULLS LAST, date_last_analyzed DESC, CAST(id AS BIGINT) DESC, date_end DESC) AS place FROM report""",
 )
 def _(spark, sf_dir):
-    return round_doubles(lookups.download_results(derived_report(spark, sf_dir)))
+    return round_doubles(placed(lookups.download_results(derived_report(spark, sf_dir))))

@@ -10,20 +10,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abspark.functions import stats
-from abspark.functions.stats import (
-    DENSITY_AT_ZERO,
-    HART_DENOMINATOR,
-    HART_FAR,
-    HART_NUMERATOR,
-    HART_SWITCH,
-    SQRT_TWO_PI,
-    TAIL_COEFFICIENTS,
-    TAIL_SCALE,
-)
 from catalog.registry import query
 from catalog.views import table
 
 # ---------------------------------------------------------------- formulas in SQL
+# Fixed values, written out again so that a slip in the library shows: Abramowitz & Stegun
+# 26.2.17, and Hart 1968 as given by West 2005.
+TAIL_SCALE = 0.2316419
+TAIL_COEFFICIENTS = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+DENSITY_AT_ZERO = 0.3989422804014327
+HART_NUMERATOR = [
+    220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383,
+    6.37396220353165, 0.700383064443688, 3.52624965998911e-02,
+]
+HART_DENOMINATOR = [
+    440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674,
+    86.7807322029461, 16.064177579207, 1.75566716318264, 8.83883476483184e-02,
+]
+HART_SWITCH = 7.07106781186547
+HART_FAR = 37.0
+SQRT_TWO_PI = 2.506628274631
+
+
 def horner(x: str, coefficients: list[float]) -> str:
     text = f"{coefficients[-1]!r}"
     for c in reversed(coefficients[:-1]):

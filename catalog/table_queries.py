@@ -9,7 +9,7 @@ from abspark.operators import aggregates as agg
 from abspark.operators import lookups, tables
 from abspark.operators.attribution import split_by_policy
 from abspark.schemas import EXPERIMENTS, EXPERIMENTS_STAGE
-from catalog.registry import query, scratch_folder
+from catalog.registry import placed, query, scratch_folder
 from catalog.views import BASE_SQL, base, table
 
 # ---------------------------------------------------------------- registry rows
@@ -369,12 +369,13 @@ def bytes_sql(column: str) -> str:
     "download_query_info",
     f"""{COST_SQL} SELECT id, epoch_us(TIMESTAMP '2024-01-01'
       + to_days(CAST(CAST(id AS BIGINT) % 28 AS INTEGER))) AS micros, job_ids,
-    total_bytes_billed, {bytes_sql('total_bytes_billed')} AS bytes_text FROM costs""",
+    total_bytes_billed, {bytes_sql('total_bytes_billed')} AS bytes_text,
+    row_number() OVER (ORDER BY CAST(id AS BIGINT) % 28 DESC, id DESC) AS place FROM costs""",
 )
 def _(spark, sf_dir):
-    return lookups.download_query_info(cost_table(spark, sf_dir)).select(
+    return placed(lookups.download_query_info(cost_table(spark, sf_dir))).select(
         "id", F.unix_micros("execution_time").alias("micros"), "job_ids",
-        "total_bytes_billed", "bytes_text",
+        "total_bytes_billed", "bytes_text", "place",
     )
 
 
@@ -446,41 +447,47 @@ def _(spark, sf_dir):
 
 
 @query(
-    "lookup_table_limit",
-    "SELECT o_orderkey AS name FROM orders ORDER BY name",
+    "lookup_table",
+    "SELECT o_orderkey AS name, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders",
 )
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
-    return lookups.lookup_table(keys, ["name"])
+    return placed(lookups.lookup_table(keys, ["name"]))
 
 
 @query(
     "lookup_order",
-    f"{NAMES_SQL} SELECT * FROM events_list UNION ALL SELECT * FROM users_list",
+    f"""{NAMES_SQL} SELECT *, row_number() OVER (ORDER BY scope, name) AS place
+    FROM (SELECT * FROM events_list UNION ALL SELECT * FROM users_list)""",
 )
 def _(spark, sf_dir):
     b = base(spark, sf_dir)
     both = event_list(b).unionByName(user_list(b))
-    return lookups.lookup_order(both, "scope", "name")
+    return placed(lookups.lookup_order(both, "scope", "name"))
 
 
 @query(
     "results_order",
-    """SELECT o_orderkey AS id, o_orderdate::DATE AS date_end FROM orders""",
+    """SELECT o_orderkey AS id, o_orderdate::DATE AS date_end, row_number() OVER
+    (ORDER BY o_orderstatus = 'F' DESC, o_orderkey DESC) AS place FROM orders""",
 )
 def _(spark, sf_dir):
     report = table(spark, sf_dir, "orders").selectExpr(
         "string(o_orderkey) AS id", "o_orderstatus = 'F' AS analyze_test",
         "date('2024-01-01') AS date_last_analyzed", "date(o_orderdate) AS date_end",
     )
-    ordered = report.orderBy(*lookups.results_order())
-    return ordered.select(F.col("id").cast("bigint").alias("id"), "date_end")
+    ordered = placed(report.orderBy(*lookups.results_order()))
+    return ordered.select(F.col("id").cast("bigint").alias("id"), "date_end", "place")
 
 
-@query("query_info_order", f"{COST_SQL} SELECT id, job_ids FROM costs")
+@query(
+    "query_info_order",
+    f"""{COST_SQL} SELECT id, job_ids, row_number() OVER
+    (ORDER BY CAST(id AS BIGINT) % 28 DESC, id DESC) AS place FROM costs""",
+)
 def _(spark, sf_dir):
-    ordered = cost_table(spark, sf_dir).orderBy(*lookups.query_info_order())
-    return ordered.select("id", "job_ids")
+    ordered = placed(cost_table(spark, sf_dir).orderBy(*lookups.query_info_order()))
+    return ordered.select("id", "job_ids", "place")
 
 
 POLICY_SQL = """CASE o_orderkey % 6 WHEN 0 THEN 'First Exposure' WHEN 1 THEN 'Last Exposure'
