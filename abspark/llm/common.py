@@ -89,7 +89,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """A frame marked for broadcast if it has at most that many rows (counted), else as it
-    is, for a join that shuffles both sides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+BROADCAST_BYTES = 64 << 20  # texts of a frame up to this size may be broadcast
+
+
+def bounded(df: DataFrame, most: int, text: str | None = None) -> DataFrame:
+    """A frame marked for broadcast if it has at most that many rows (counted) and its text
+    column, if one is named, at most BROADCAST_BYTES (summed); else as it is, for a join that
+    shuffles both sides."""
+    size = F.lit(0) if text is None else F.octet_length(F.col(text))
+    rows, held = df.limit(most + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= most and (held or 0) <= BROADCAST_BYTES else df

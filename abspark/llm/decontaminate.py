@@ -58,21 +58,24 @@ def windows(tokens: Column, start: Column, length: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """window, length, items: distinct windows and the sorted ids of the items they are in."""
+    """window, length, item: one row for every item a window is in."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), words(ascii_lower(F.col("text"))).alias("tokens")
     ).where(F.size("tokens") > 0)
     length = F.least(F.size("tokens"), F.lit(SPAN))
     places = F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - length)).alias("start")
     cut = items.select("item", "tokens", length.alias("length"), places)
-    cut = cut.select("item", "length", windows(F.col("tokens"), F.col("start"), F.col("length")).alias("window"))
-    return cut.groupBy("window", "length").agg(F.collect_set("item").alias("items"))
+    cut = cut.select("length", windows(F.col("tokens"), F.col("start"), F.col("length")).alias("window"), "item")
+    return cut.distinct()
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, part (tells repeated ids apart), spans (array of start and length of the
-    occurrences), items (distinct ids), for documents with a hit."""
-    found = staged(benchmark_windows(benchmark))
+    occurrences), items (distinct ids), for documents with a hit. Windows are looked up
+    without their items, which may be very many for a template; items are joined to the
+    distinct windows of a document afterwards."""
+    of_items = staged(benchmark_windows(benchmark))
+    found = staged(of_items.select("window", "length").distinct())
     short = [r[0] for r in found.where(F.col("length") < SPAN).select("length").distinct().collect()]
     found = found.withColumn("tokens", F.split("window", " "))
     prints = with_prints(found.where(F.col("length") == SPAN), "tokens", "prints").select(
@@ -122,11 +125,17 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "part", "span",
         windows(F.col("tokens"), F.col("span.start"), F.col("span.length")).alias("window"),
     )
-    hits = tried.join(bounded(found.select("window", "items"), PRINTS_BROADCAST), "window")
-    return hits.groupBy("doc_id", "part").agg(
-        F.collect_set("span").alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    known = bounded(found.select("window"), PRINTS_BROADCAST, "window")
+    hits = staged(tried.join(known, "window").select("doc_id", "part", "span", "window"))
+    spans = hits.groupBy("doc_id", "part").agg(F.collect_set("span").alias("spans"))
+    in_items = bounded(of_items.select("window", "item"), PRINTS_BROADCAST, "window")
+    items = hits.select("doc_id", "part", "window").distinct().join(in_items, "window")
+    items = items.select("doc_id", "part", "item").distinct()
+    items = items.groupBy(F.col("doc_id").alias("of"), F.col("part").alias("of_part")).agg(
+        F.collect_list("item").alias("items")
     )
+    match = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))
+    return spans.join(items, match).select("doc_id", "part", "spans", "items")
 
 
 def covered(spans: Column) -> Column:
