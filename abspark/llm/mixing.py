@@ -16,7 +16,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abspark.llm.common import NOT_TOKEN, count_words, running_sum, staged
@@ -30,31 +30,27 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target: every source's words, shared by weight; a source stops
     at CEILING times its size and the excess goes to the others by weight. One row per
     source; the fixed point of that resharing is found by sorting the sources by the level
-    at which they are full."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    sources = sources.select(
+    at which they are full. Ranks and sums over them go by blocks, as there may be as many
+    sources as sites."""
+    sources = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    name = F.col("source").asc_nulls_last()
+    sources = running_sum(sources, [], [name], F.lit(1)).select(
         "source", "source_size", (F.col("source_size") * CEILING).alias("full"),
-        ((F.row_number().over(by_name) - 1) % WEIGHTS + 1).cast("long").alias("weight"),
-    )
-    everything = Window.partitionBy(F.lit(0))
-    by_level = everything.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(0, Window.unboundedFollowing)
-    sources = sources.select(
-        "*", F.sum("source_size").over(everything).alias("whole"),
-        F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full_before"),
-        F.sum("weight").over(onward).alias("weight_left"),
+        ((F.col("upto") - 1) % WEIGHTS + 1).cast("long").alias("weight"),
     )
+    sources = staged(sources)
+    total = lambda value: sources.agg(F.sum(value)).scalar()
+    by_level = [F.col("full") / F.col("weight"), name]
+    sources = running_sum(sources, [], by_level, F.col("full")).withColumnRenamed("upto", "full_upto")
+    sources = running_sum(sources, [], by_level, F.col("weight")).withColumnRenamed("upto", "weight_upto")
+    whole, weights = total("source_size"), total("weight")
     # At the level where this source is full, do all sources together stay within the whole?
-    is_full = (
-        F.col("full_before") * F.col("weight") + F.col("full") * F.col("weight_left")
-        <= F.col("whole") * F.col("weight")
-    )
-    sources = sources.withColumn("is_full", is_full)
-    spent = F.sum(F.when(F.col("is_full"), F.col("full")).otherwise(0)).over(everything)
-    weights = F.sum(F.when(F.col("is_full"), 0).otherwise(F.col("weight"))).over(everything)
-    level = (F.col("whole") - spent) / F.when(weights > 0, weights)
+    before, left = F.col("full_upto") - F.col("full"), weights - F.col("weight_upto") + F.col("weight")
+    is_full = before * F.col("weight") + F.col("full") * left <= whole * F.col("weight")
+    sources = staged(sources.select("source", "source_size", "full", "weight", is_full.alias("is_full")))
+    spent = total(F.when(F.col("is_full"), F.col("full")).otherwise(0))
+    open_weights = total(F.when(F.col("is_full"), 0).otherwise(F.col("weight")))
+    level = (total("source_size") - spent) / F.when(open_weights > 0, open_weights)
     target = F.when(F.col("is_full"), F.col("full").cast("double")).otherwise(level * F.col("weight"))
     return sources.select("source", "source_size", target.alias("target"))
 
