@@ -405,3 +405,34 @@ def test_grid_holds_all_probabilities(words, types):
     assert (place >= 1).all() and (place < grid.size).all() and (np.diff(place) >= 0).all()
     assert np.allclose(np.log2(grid.value(place) / share), 0, atol=0.51 / lm_score.STEPS)
     assert lm_score.context_class(counts).max() < grid.classes <= words.bit_length() + 2
+
+
+def test_a_window_in_very_many_items(spark, make_docs):
+    """A template shared by all items: every document that holds it names them all."""
+    template = [f"t{i}" for i in range(12)]
+    n = 20_000
+    bench = spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit(" ".join(template) + " own"), "id").alias("text"))
+    docs = make_docs([(1, "x " + " ".join(template) + " y", "s"), (2, " ".join(template[:9]), "s"), (3, " ".join(template), "s")])
+    got = {r.doc_id: (r.n_hit, len(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: (12, n), 2: (0, 0), 3: (12, n)}
+
+
+def test_targets_of_very_many_sources(spark):
+    """Targets over 5,000 sources, against filling them up by hand."""
+    rng = np.random.default_rng(9)
+    sizes = [(f"site{i:05d}", int(n)) for i, n in enumerate(rng.integers(0, 2000, 5000))] + [(None, 777)]
+    rows = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
+    weight = {s: i % 3 + 1 for i, (s, _) in enumerate(sizes)}
+    full, left = {}, dict(sizes)
+    rest = sum(left.values())
+    while left:
+        level = rest / sum(weight[s] for s in left)
+        over = [s for s in left if 3 * left[s] <= level * weight[s]]
+        if not over:
+            break
+        for s in over:
+            full[s] = 3 * left.pop(s)
+            rest -= full[s]
+    expected = {**full, **{s: level * weight[s] for s in left}}
+    assert rows.keys() == expected.keys()
+    assert all(abs(rows[s] - expected[s]) < 1e-6 * max(expected[s], 1) for s in rows)
