@@ -41,6 +41,7 @@ REGISTERS, ROWS = 128, 4
 LOG_BASE, RATE = 1.02, 20.0
 SMALL = 24  # buckets up to this size are compared pair by pair
 MARGIN = 0.22  # estimates this far (6 standard errors) below the threshold are not verified
+UNPACKED = 100_000  # shingles a task unpacks at a time (one more set may exceed it)
 WANTED_BROADCAST = 300_000  # keys of documents to reread; more are joined by shuffle
 
 _RANDOM = np.random.Generator(np.random.PCG64(77))
@@ -194,9 +195,12 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["shingles"].str.len().to_numpy() // 8
-            values = np.frombuffer(b"".join(batch["shingles"]), np.int64)
-            repeated = {c: batch[c].to_numpy().repeat(sizes) for c in ("node", "label")}
-            yield pd.DataFrame({**repeated, "size": sizes.repeat(sizes), "shingle": values})
+            piece = np.cumsum(sizes) // UNPACKED
+            for own in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(piece)) + 1):
+                rows, n = batch.iloc[own], sizes[own]
+                repeated = {c: rows[c].to_numpy().repeat(n) for c in ("node", "label")}
+                values = np.frombuffer(b"".join(rows["shingles"]), np.int64)
+                yield pd.DataFrame({**repeated, "size": n.repeat(n), "shingle": values})
 
     held = members.join(sets, "node").select("node", "label", "shingles")
     rows = staged(held.mapInPandas(unpack, "node binary, label binary, size long, shingle long"))
