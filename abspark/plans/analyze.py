@@ -14,12 +14,12 @@ Shape of the plan, for a table of any size:
   smaller aggregate gives one row per (tag, key), from which every overlap policy is read.
 * Once mode needs nothing more: the key's first conversion sits beside its exposure. No
   join, one scan.
-* Both modes share that scan, whatever the number of experiments; only conversions counted
-  one by one are scanned once more. Scans are limited to the union of the date windows.
+* Both modes share that scan, whatever the number of experiments. It is limited to the
+  union of the date windows.
 * Count-all mode compares each conversion with the exposure of its key, so the units are
-  joined to the conversion rows on (tag, key) with the time test as residual. The
-  conversion side goes straight from scan to exchange, so adaptive execution can split a
-  hot key over many tasks; nothing is collected per key.
+  joined to the conversions, summed by time, on (tag, key) with the time test as residual.
+  Both come from one aggregate, whose exchange is used twice. Adaptive execution can split a
+  hot key of the join over many tasks; nothing is collected per key.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -516,12 +516,35 @@ def _demand(layout: EventLayout, specs: list[ExperimentSpec]) -> _Demand:
     return _Demand(tags, conversion_tags, tag_of, conversion_of)
 
 
-def _conversion_rows(tagged: DataFrame) -> DataFrame:
-    """Conversions that count one by one, as rows that stand for one each."""
-    return tagged.select(
-        "tag", F.col("key").alias("conv_key"), "time", F.lit(1).cast("long").alias("times"),
-        "value", (F.col("value") * F.col("value")).alias("sq_value"),
+def _spans_and_conversions(
+    events: DataFrame, layout: EventLayout, demand: _Demand
+) -> tuple[DataFrame, DataFrame | None]:
+    """Spans of all tags, and the conversions that count one by one, if there are such. One
+    aggregate over one scan holds both: a conversion is a group of its time (so the
+    conversions of a hot key go to many tasks), anything else one of its text."""
+    if not demand.conversion_tags:
+        return _spans(_tag_rows(events, layout, demand.tags)), None
+    offset = 1 + max(tag.number for tag in demand.tags)
+    shifted = [replace(tag, number=offset + tag.number) for tag in demand.conversion_tags]
+    tagged = _tag_rows(events, layout, [*demand.tags, *shifted])
+    alone = F.when(F.col("tag") >= offset, F.col("time")).alias("alone")
+    held = tagged.groupBy("tag", "key", "variant", alone).agg(
+        F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"),
+        F.count(F.lit(1)).alias("times"),
+        F.sum("value").alias("value"),
+        F.sum(F.col("value") * F.col("value")).alias("sq_value"),
+        F.min("tag").alias("number"),
+    )
+    # Both uses must be the same plan up to the exchange for it to be shared: they are told
+    # apart by an aggregate, which no filter passes, and ask for all columns.
+    whole = F.expr("times > 0 AND coalesce(first_time, last_time) IS NOT NULL AND (value IS NULL OR sq_value IS NULL OR NOT isnan(value) OR isnan(sq_value))")
+    spans = held.where((F.col("number") < offset) & whole)
+    each = held.where((F.col("number") >= offset) & whole).select(
+        (F.col("number") - offset).alias("tag"), F.col("key").alias("conv_key"),
+        F.col("first_time").alias("time"), "times", "value", "sq_value",
     )
+    return spans.select("tag", "key", "variant", "first_time", "last_time", "value"), each
 
 
 def _parts(
@@ -598,12 +621,7 @@ def analyze_specs(
     if not runnable:
         return events.sparkSession.createDataFrame([], RESULTS)
     demand = _demand(layout, runnable)
-    # One scan tags the exposures of all rows and the conversions that count once; a second
-    # one reads the conversions that count one by one, if there are such rows.
-    spans = _spans(_tag_rows(events, layout, demand.tags))
-    each = None
-    if demand.conversion_tags:
-        each = _conversion_rows(_tag_rows(events, layout, demand.conversion_tags))
+    spans, each = _spans_and_conversions(events, layout, demand)
     return _sum_up(_parts(spans, each, layout, runnable, demand), runnable)
 
 
