@@ -92,6 +92,58 @@ SENTENCES = [
 ]
 
 
+# Sentences of the headers and grants that families ask to be put into files.
+HEADERS = [
+    ("apache-2.0", "licensed under the apache license version 2 0 the license", "apache"),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "compliance"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "redistribute"),
+    ("agpl", "under the terms of the gnu affero general public license", "affero"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "document"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "mozilla"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "development"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "organization"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice", "redistributions"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", "advertising"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "documentation"),
+    ("ofl", "this font software is licensed under the sil open font license", "font"),
+    ("python", "psf is making python 3 available to licensee", "psf"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "anyone"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone"),
+    ("cc0-1.0", "to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", "waived"),
+    ("eupl", "licensed under the eupl", "eupl"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensor"),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service", "hosted"),
+    ("json", "the software shall be used for good not evil", "evil"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "beer"),
+    ("wtfpl", "you just do what the fuck you want to", "fuck"),
+    ("artistic", "the terms and conditions of this license govern the standard version", "standard"),
+]
+
+# Identifiers of the SPDX list.
+SPDX = """
+    0BSD AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0-only
+    AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl
+    Artistic-2.0 Beerware BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+    BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0
+    CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0
+    CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0
+    CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPAL-1.0 CPL-1.0 curl ECL-2.0 EFL-2.0 Elastic-2.0
+    EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.1-only GFDL-1.2-only GFDL-1.3-only
+    GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only
+    GPL-3.0-or-later HPND ICU IJG IPL-1.0 ISC JSON LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only
+    LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later Libpng LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1
+    MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0
+    OFL-1.0 OFL-1.1 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL
+    PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11
+    Zlib ZPL-2.0 ZPL-2.1
+""".split()
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -129,8 +181,6 @@ def family_rules() -> list[Rule]:
             said = clause if "clause" in version else numbered
             rules.append(Rule(f"{code}-grant", code, grant + f"(?:{said})", keywords, 10, 0.98))
             rules.append(Rule(f"{code}-name", code, said, keywords, 20, 0.9))
-            tag = rf"spdx license identifier {label} {version}(?: only| or later)?"
-            rules.append(Rule(f"{code}-tag", code, tag, ("spdx",), 5, 1.0))
         rules.append(Rule(f"{label}-grant", label, grant + f"(?:{names})", keywords, 30, 0.85))
         rules.append(Rule(f"{label}-name", label, names, keywords, 40, 0.6))
     return rules
@@ -147,8 +197,27 @@ def creative_rules() -> list[Rule]:
     return rules
 
 
+def spdx_rules() -> list[Rule]:
+    """Identifiers after their tag, and those with a number also where they stand alone. The
+    endings "only" and "or later" do not make another license. An old identifier is the
+    current one without its ending."""
+    rules = []
+    for identifier in SPDX:
+        code = re.sub("-(only|or-later)$", "", identifier.lower())
+        words = re.sub("[^a-z0-9]", " ", identifier.lower())
+        ways = sorted({words, re.sub("[^a-z0-9]", " ", code)}, key=len)
+        for way in ways:
+            name = way.replace(" ", "-")
+            rules.append(Rule(f"{name}-tag", code, f"spdx license identifier {way}", ("spdx",), 5, 1.0))
+            if re.search(r"\d", way) and " " in way:
+                rules.append(Rule(f"{name}-id", code, way, (f" {way} ",), 25, 0.8))
+    return list({r.name: r for r in rules}.values())
+
+
 def all_rules() -> list[Rule]:
-    rules = [*family_rules(), *creative_rules()]
+    rules = [*family_rules(), *creative_rules(), *spdx_rules()]
+    for place, (label, pattern, *keywords) in enumerate(HEADERS):
+        rules.append(Rule(f"{label}-header-{place}", label, pattern, tuple(keywords), 12, 0.95))
     for label, pattern, *keywords in SENTENCES:
         rules.append(Rule(f"{label}-text", label, pattern, tuple(keywords), 15, 0.9))
     return rules
