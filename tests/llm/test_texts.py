@@ -355,6 +355,50 @@ def test_every_way_to_write_a_rule_passes_its_gate():
         assert rule in license_scan.scan_text(text)[-1].split(",")
 
 
+@pytest.mark.parametrize("text, label", [
+    ("BSD 3-Clause License", "bsd-3-clause"), ("under the BSD-2-Clause", "bsd-2-clause"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: Zlib", "zlib"), ("SPDX-License-Identifier: Unlicense", "unlicense"),
+    ("SPDX-License-Identifier: Ruby", "ruby"), ("SPDX-License-Identifier: BUSL-1.1", "busl-1.1"),
+    ("license: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "General Public License as published by the Free Software Foundation", "gpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License.", "apache-2.0"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"),
+    ("Redistributions of source code must retain the above copyright notice", "bsd-2-clause"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights", "cc0-1.0"),
+])
+def test_real_headers_are_found(text, label):
+    assert label in license_scan.scan_text(text)[5].split(",")
+
+
+def test_scan_agrees_with_trying_every_rule():
+    """Labels, score and rules without gates and with containment by definition."""
+    rng = np.random.default_rng(2)
+    said = ["MIT License", "SPDX-License-Identifier: GPL-3.0-only", "the GNU GPL v3", "Apache License 2.0", "all rights reserved",
+            "BSD 3-Clause", "creative commons attribution share alike 4.0", "CC BY", "word", "license", "Apache-2.0", "public domain",
+            "released under the Mozilla Public License 2.0", "free software", "gnu general public license version 2"]
+    rules = license_scan.all_rules()
+    for _ in range(150):
+        text = " ".join(said[i] for i in rng.integers(0, len(said), rng.integers(0, 12)))
+        norm, _ = license_scan.normalized(text)
+        every = [(m.start(), m.end(), r) for r in rules for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", norm)]
+        every.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].name))
+        kept = []
+        for d in every:
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        base = {label for phrase, label in license_scan.BASE.items() if f" {phrase} " in norm}
+        miss = math.prod(1 - r.confidence for _, _, r in kept)
+        got = license_scan.scan_text(text)
+        assert got[5] == ",".join(sorted(base | {r.label for _, _, r in kept}))
+        assert abs(got[6] - (1 - (min(miss, 0.25) if base else miss))) < 1e-12
+        assert got[7] == ",".join(sorted({r.name for _, _, r in kept}))
+
+
 def test_rules_suppress_contained_ones():
     found = {r.name for _, _, r in license_scan.detections(license_scan.normalized("under the GNU Lesser General Public License version 2.1")[0])}
     assert found == {"lgpl-2.1-name"}
