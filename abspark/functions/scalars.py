@@ -117,21 +117,42 @@ def variant_path(path: str) -> str:
     return "$" + "".join(steps)
 
 
-def scalar_only(found: Column, parsed: Column, path: str) -> Column:
-    """``found`` is the text at a path of a parsed JSON value; objects and arrays become
-    NULL. A string that merely starts with a brace or bracket is kept, which takes a look at
-    its type, but only for such texts."""
-    looks_nested = F.left(found, F.lit(1)).isin("{", "[")
-    node = F.try_variant_get(parsed, variant_path(path), "variant")
-    return F.when(
-        looks_nested, F.when(F.schema_of_variant(node) == "STRING", found)
-    ).otherwise(found)
+def json_path(path: str) -> str | None:
+    """The same as a path into JSON text, whose keys hold no quotes and no question marks
+    beside brackets; None where that cannot be said."""
+    steps = []
+    for part in path.split("."):
+        if not re.search(r"['?]", part):
+            steps.append(f"['{part}']")
+        elif "[" not in part:
+            steps.append(f".{part}")
+        else:
+            return None
+    return "$" + "".join(steps)
+
+
+def scalar_only(found: Column, parsed: Column, bag: Column, path: str) -> Column:
+    """``found`` is the text at a path of a JSON bag that was parsed; objects and arrays
+    become NULL. A string that merely starts with a brace or bracket is kept, and a number
+    with a fraction reads as it is written, which the parsed value does not know (1.0): both
+    take another look, but only for such texts."""
+    first = F.left(found, F.lit(1))
+    kind = F.schema_of_variant(F.try_variant_get(parsed, variant_path(path), "variant"))
+    text = F.when(first.isin("{", "["), F.when(kind == "STRING", found))
+    raw = json_path(path)
+    if raw is not None:
+        looks_number = first.isin("-", *"0123456789")
+        text = text.when(
+            looks_number & ~kind.isin("STRING", "BIGINT"), F.get_json_object(bag, raw)
+        )
+    return text.otherwise(found)
 
 
 def json_scalar(bag: Column, path: str) -> Column:
     """Text of the scalar at a dotted path of a JSON bag, or NULL."""
     parsed = F.try_parse_json(bag)
-    return scalar_only(F.try_variant_get(parsed, variant_path(path), "string"), parsed, path)
+    found = F.try_variant_get(parsed, variant_path(path), "string")
+    return scalar_only(found, parsed, bag, path)
 
 
 def first_with_key(params: Column, key: str) -> Column:

@@ -153,13 +153,23 @@ class EventLayout:
         value = self.parameter(column, key)
         return self.lookup(("text", column, key), lambda: param_text(value), 1)
 
-    def scalar(self, bag: str, path: str) -> Column:
-        """Scalar at a dotted path of a JSON bag, which is parsed once for all paths."""
-        parsed = self.lookup(("bag", bag), lambda: F.try_parse_json(F.col(bag)))
-        text = self.lookup(
+    def parsed(self, bag: str) -> Column:
+        """A JSON bag, parsed once for all paths."""
+        return self.lookup(("bag", bag), lambda: F.try_parse_json(F.col(bag)))
+
+    def number_text(self, bag: str, path: str) -> Column:
+        """Text at a dotted path of a JSON bag; of a number, not always as it is written."""
+        parsed = self.parsed(bag)
+        return self.lookup(
             ("json", bag, path), lambda: F.try_variant_get(parsed, variant_path(path), "string"), 1
         )
-        return self.lookup(("scalar", bag, path), lambda: scalar_only(text, parsed, path), 2)
+
+    def scalar(self, bag: str, path: str) -> Column:
+        """Scalar at a dotted path of a JSON bag."""
+        parsed, text = self.parsed(bag), self.number_text(bag, path)
+        return self.lookup(
+            ("scalar", bag, path), lambda: scalar_only(text, parsed, F.col(bag), path), 2
+        )
 
     # -- scan
     def event_time(self) -> Column:
@@ -445,7 +455,7 @@ class TwoBagLayout(EventLayout):
         name = normalize_path((spec.experiment_event_value_parameter or "").strip())
         if not name:
             return F.lit(None).cast("double")
-        return to_double(self.scalar(self.event_bag, name))
+        return to_double(self.number_text(self.event_bag, name))
 
     def in_bag(self, bag: str, path: str) -> Subject:
         return Subject(F.coalesce(self.scalar(bag, path), F.lit("")))
