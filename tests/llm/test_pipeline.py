@@ -69,3 +69,31 @@ def test_near_copies_share_five_word_shingles(spark, make_docs, corpus):
 def test_run_is_the_stages(spark, folder):
     result = corpus_pipeline.run(spark, folder)
     assert result.columns == spark.read.parquet(f"{folder}/documents.parquet").columns and result.count() > 0
+
+
+def tables(spark, tmp_path, rows, labels, items):
+    """A folder of the tables the pipeline reads."""
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    result = corpus_pipeline.run(spark, tables(spark, tmp_path, [], [], []))
+    assert result.columns == ["doc_id", "text", "lang", "source", "n_chars"] and result.count() == 0
+
+
+def test_run_on_nulls_and_repeats(spark, corpus, tmp_path):
+    """Null ids, texts, sources and labels, rows that repeat, an item without text."""
+    rows = [*corpus, *corpus[:3], (None, "a text without id but words enough", None), (None, None, None), (30, None, "a")]
+    labels = [(1, 1, 0), (2, None, None), (None, 0, 1), (1, 1, 0)]
+    folder = tables(spark, tmp_path, rows, labels, [(0, None), (1, ""), (2, corpus[6][1][:300]), (None, "of the and")])
+    result = corpus_pipeline.run(spark, folder)
+    assert result.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = result.collect()
+    given = {(d, s) for d, _, s in rows}
+    assert kept and {(r.doc_id, r.source) for r in kept} <= given
+    assert 1 in {r.doc_id for r in kept} and 2 not in {r.doc_id for r in kept}  # 2 copies 1
