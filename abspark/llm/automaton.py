@@ -10,10 +10,11 @@ CACHED_STATES = 20_000  # tables are built anew beyond this; results do not chan
 
 
 class FuzzyLexicon:
-    """Finds the nearest term within a number of edits (insert, delete, substitute)."""
+    """Finds the nearest term within a number of edits (insert, delete, substitute). With
+    added_only a word may have letters more than the term, but none less or other."""
 
-    def __init__(self, terms: list[str], edits: int):
-        self.edits = edits
+    def __init__(self, terms: list[str], edits: int, added_only: bool = False):
+        self.edits, self.added_only = edits, added_only
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         for term in sorted(set(terms)):
@@ -31,12 +32,13 @@ class FuzzyLexicon:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
+        self.ends: list[dict[str, frozenset[str]]] = []
         self.accepts: list[tuple[int, str] | None] = []
         self.start = self.number(self.closed({0: 0}))
 
     def closed(self, best: dict[int, int]) -> frozenset:
         """Add nodes reached by leaving out characters of the term; fewest edits per node."""
-        todo = list(best.items())
+        todo = [] if self.added_only else list(best.items())
         while todo:
             node, edits = todo.pop()
             if edits < self.edits and best[node] == edits:
@@ -51,6 +53,7 @@ class FuzzyLexicon:
             self.numbers[state] = len(self.sets)
             self.sets.append(state)
             self.steps.append({})
+            self.ends.append({})
             ends = [(edits, self.term[node]) for node, edits in state if self.term[node] is not None]
             self.accepts.append(min(ends, default=None))
         return self.numbers[state]
@@ -65,7 +68,8 @@ class FuzzyLexicon:
         for node, edits in self.sets[at]:
             reach(node, edits + 1)
             for letter, child in self.children[node].items():
-                reach(child, edits + (letter != c))
+                if letter == c or not self.added_only:
+                    reach(child, edits + (letter != c))
         self.steps[at][c] = found = self.number(self.closed(best)) if best else -1
         return found
 
@@ -80,3 +84,24 @@ class FuzzyLexicon:
             if at < 0:
                 return None
         return self.accepts[at]
+
+    def near_starts(self, word: str) -> frozenset[str]:
+        """Terms within the edits of a start of the word. The last letter of the term must
+        stand there unchanged: otherwise a term would fit all that starts like the term
+        without it."""
+        if len(self.sets) > CACHED_STATES:
+            self.forget()
+        at, found = self.start, frozenset()
+        for c in word:
+            to = self.steps[at].get(c)
+            if to is None:
+                to = self.step(at, c)
+            if c not in self.ends[at]:
+                over = (self.children[node].get(c) for node, _ in self.sets[at])
+                self.ends[at][c] = frozenset(self.term[n] for n in over if n and self.term[n] is not None)
+            if self.ends[at][c]:
+                found |= self.ends[at][c]
+            at = to
+            if at < 0:
+                break
+        return found

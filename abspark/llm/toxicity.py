@@ -1,9 +1,11 @@
 """Toxicity scores from a lexicon that tolerates misspellings.
 
-Words are looked up in a lexicon trie intersected with Levenshtein automata (exact up to 4
-letters, one edit up to 7, two beyond). The lexicon is a list of English terms and the word
-stems that labelled texts show to be far more frequent in toxic ones; fuzzy finds that
-labelled clean texts show to be ordinary words are excepted. Hits are weighed by a window of
+Words are looked up in a lexicon trie intersected with Levenshtein automata. The lexicon is a
+list of English terms (one added letter up to 4 letters, one edit up to 7, two beyond) and the
+word stems, of whatever language, that labelled texts show to be far more frequent in toxic
+ones (one edit before the last letter from FUZZY_STEM letters on, unless labelled clean texts
+show the words so near to be usual ones; shorter stems as they are).
+Fuzzy finds that labelled clean texts show to be ordinary words are excepted. Hits are weighed by a window of
 words around them: in quotation marks, or after a word that mentions rather than uses a term,
 a hit counts as quotation. A logistic model over hits, quotations and density, fitted on the
 same labelled texts, gives the score; nothing else enters it.
@@ -30,6 +32,7 @@ from abspark.llm.common import staged
 
 SAMPLE = 12_000  # labelled documents that lexicon and model are learned from
 STEM_LENGTHS = (4, 5, 6, 7, 8)
+FUZZY_STEM = 5  # letters from which on a stem is found with an edit
 LEAST_TEXTS, LEAST_ODDS = 5, 2.5  # toxic texts with a stem, log odds against clean ones
 CACHE = 200_000
 REACH = 3  # words on either side of a hit that decide between quotation and abuse
@@ -65,25 +68,50 @@ def plain(token: str) -> str:
 
 class Lexicon:
     """Looks words up: 0 for none, else the weight of the hit. Finds are kept in a table that
-    is emptied when full."""
+    is emptied when full. Stems in strict are found as they are only. A lexicon is sent to
+    tasks as what it is built from."""
 
-    def __init__(self, stems: dict[str, float], ordinary: frozenset[str]):
-        self.stems, self.ordinary, self.known = stems, ordinary, {}
+    def __init__(self, stems: dict[str, float], ordinary: frozenset[str], strict: frozenset[str] = frozenset()):
+        self.stems, self.ordinary, self.strict, self.known = stems, ordinary, strict, {}
         by_edits = {0: [], 1: [], 2: []}
         for term in TERMS:
             by_edits[0 if len(term) <= 4 else 1 if len(term) <= 7 else 2].append(term)
-        self.fuzzy = [FuzzyLexicon(terms, edits) for edits, terms in by_edits.items()]
+        self.fuzzy = [FuzzyLexicon(by_edits[0], 1, added_only=True), *(FuzzyLexicon(by_edits[n], n) for n in (1, 2))]
+        self.starts = FuzzyLexicon([s for s in stems if len(s) >= FUZZY_STEM and s not in strict], 1)
+
+    def __reduce__(self):
+        return Lexicon, (self.stems, self.ordinary, self.strict)
 
     def nearest(self, word: str) -> tuple[int, str] | None:
         return min((f for f in (x.find(word) for x in self.fuzzy) if f), default=None)
 
+    def stem(self, word: str) -> float:
+        """Weight of the strongest stem the word starts with."""
+        return max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) >= n), default=0.0)
+
+    def near_stem(self, word: str) -> float:
+        """Weight of the strongest stem the word starts with but for an edit."""
+        return max((self.stems[s] - 1 for s in self.starts.near_starts(word)), default=0.0)
+
+    def stems_near(self, word: str) -> frozenset[str]:
+        """Stems that make the word a hit by an edit alone."""
+        exact = len(word) < 3 or self.nearest(word) or self.stem(word)
+        return frozenset() if exact else self.starts.near_starts(word)
+
+    def is_misspelled(self, word: str) -> bool:
+        """Is the word a hit by edits alone?"""
+        if len(word) < 3:
+            return False
+        found = self.nearest(word)
+        return found[0] > 0 if found else not self.stem(word) and self.near_stem(word) > 0
+
     def look_up(self, word: str) -> float:
         if len(word) < 3:
             return 0.0
         found = self.nearest(word)
         if found and (found[0] == 0 or word not in self.ordinary):
             return 5.0 - found[0]
-        return max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) >= n), default=0.0)
+        return self.stem(word) or (0.0 if word in self.ordinary else self.near_stem(word))
 
     def weight(self, token: str) -> float:
         got = self.known.get(token)
@@ -165,15 +193,21 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     frequent = counted(toxic, stems_of).where(F.col("texts") >= LEAST_TEXTS)
     telling = compared(frequent, counted(clean, stems_of), "left").where(F.col("odds") >= LEAST_ODDS)
     stems = {r["key"]: r["odds"] for r in telling.collect()}
-    bare = Lexicon({}, frozenset())
+    every = Lexicon(stems, frozenset())
+    words_of = lambda text: {plain(t) for t in (text or "").split()}
+
+    def near(text: str | None) -> set[str]:
+        return set().union(*map(every.stems_near, words_of(text)))
+
+    usual = compared(counted(toxic, near), counted(clean, near), "right").where(F.col("odds") < LEAST_ODDS)
+    bare = Lexicon(stems, frozenset(), frozenset(r["key"] for r in usual.collect()))
 
     def misspelled(text: str | None) -> set[str]:
-        words = {plain(t) for t in (text or "").split()}
-        return {w for w in words if len(w) > 2 and (f := bare.nearest(w)) and f[0] > 0}
+        return {w for w in words_of(text) if bare.is_misspelled(w)}
 
     seen = lambda rows: counted(rows, misspelled).where("texts >= 2")
     common = compared(seen(toxic), seen(clean), "right").where(F.col("odds") < LEAST_ODDS)
-    return Lexicon(stems, frozenset(r["key"] for r in common.collect()))
+    return Lexicon(stems, frozenset(r["key"] for r in common.collect()), bare.strict)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -207,10 +241,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: Column | None = Non
     """doc_id and score (0 to 1) of each row. held, over the labels, marks documents that
     nothing is learned from."""
     lexicon, weights = learn(docs, labels, held)
-    stems, ordinary = lexicon.stems, lexicon.ordinary
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Lexicon(stems, ordinary)
+        own = Lexicon(lexicon.stems, lexicon.ordinary, lexicon.strict)
         for batch in batches:
             x = np.array([features(t, own) for t in batch["text"]]).reshape(-1, len(weights))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))})
@@ -223,11 +256,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs below the threshold; columns unchanged. The score is computed in an
     Arrow-batched column function here, so the rows need no join."""
     lexicon, weights = learn(docs, labels)
-    stems, ordinary = lexicon.stems, lexicon.ordinary
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Lexicon(stems, ordinary)
+        own = Lexicon(lexicon.stems, lexicon.ordinary, lexicon.strict)
         for texts in batches:
             x = np.array([features(t, own) for t in texts]).reshape(-1, len(weights))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))

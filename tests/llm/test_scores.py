@@ -99,19 +99,30 @@ def test_toxicity_score_by_hand(spark, make_docs, monkeypatch):
     stems, ordinary, weights = {"dumm": 3.0, "dummk": 3.5, "blöd": 2.6}, frozenset({"morton"}), np.array([-2.0, 1.5, 0.3, -0.7, 0.4, -0.1])
     monkeypatch.setattr(toxicity, "learn", lambda *_: (toxicity.Lexicon(stems, ordinary), weights))
     texts = ["you stupid idiot", "you stupud idoit and Dummkopf", 'they said "idiot" to me', "the word moron is old", "morton lives here",
-             "", None, "a clean text of words", "blödes Zeug, du Trottel! uglyy", "pathetic... patetic?! worthles", "no " * 50 + "scum"]
+             "", None, "a clean text of words", "blödes Zeug, du Trottel! uglyy", "pathetic... patetic?! worthles", "no " * 50 + "scum", "dumnkopf, dumbb scumm and Dumkopff"]
     rows = list(enumerate(texts))
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(make_docs([(d, t, "s") for d, t in rows]), None).collect()}
-    allowed = lambda term: 0 if len(term) <= 4 else 1 if len(term) <= 7 else 2
+
+    def gap(word, term):
+        """Edits if they are allowed: a letter more in terms up to 4 letters, 1 edit up to 7, 2 beyond."""
+        if len(term) <= 4:
+            more = term in [word[:i] + word[i + 1 :] for i in range(len(word))]
+            return [0] if word == term else [1] if more else []
+        n = edits(word, term)
+        return [n] if n <= (1 if len(term) <= 7 else 2) else []
+
+    def near(word, stem):
+        return any(word[i] == stem[-1] and edits(word[:i], stem[:-1]) <= 1 for i in range(len(word)))
 
     def weight(token):
         word = token.strip(toxicity.TRIMMED).lower()
         if len(word) < 3:
             return 0.0
-        near = [n for t in toxicity.TERMS if (n := edits(word, t)) <= allowed(t)]
-        if near and (min(near) == 0 or word not in ordinary):
-            return 5.0 - min(near)
-        return max((stems.get(word[:n], 0.0) for n in toxicity.STEM_LENGTHS if len(word) >= n), default=0.0)
+        gaps = [n for t in toxicity.TERMS for n in gap(word, t)]
+        if gaps and (min(gaps) == 0 or word not in ordinary):
+            return 5.0 - min(gaps)
+        exact = max((stems.get(word[:n], 0.0) for n in toxicity.STEM_LENGTHS if len(word) >= n), default=0.0)
+        return exact or max((w - 1 for s, w in stems.items() if len(s) >= 5 and word not in ordinary and near(word, s)), default=0.0)
 
     for d, t in rows:
         tokens = (t or "").split()

@@ -1,5 +1,6 @@
 """URL filters against a plain matcher; automata, lexicon and model of the toxicity score."""
 
+import pickle
 import random
 import re
 
@@ -57,6 +58,40 @@ def test_automaton_finds_the_nearest_term():
                 assert lexicon.find(asked) == (near if near[0] <= edits else None)
 
 
+def test_automaton_finds_added_letters_and_near_starts():
+    rng = random.Random(5)
+    word = lambda low: "".join(rng.choice("abc") for _ in range(rng.randint(low, 7)))
+    for _ in range(40):
+        terms = [word(2) for _ in range(6)]
+        added, starts = FuzzyLexicon(terms, 1, added_only=True), FuzzyLexicon(terms, 1)
+        for _ in range(40):
+            asked = word(0)
+            shorter = {asked} | {asked[:i] + asked[i + 1 :] for i in range(len(asked))}
+            near = min(((int(t != asked), t) for t in terms if t in shorter), default=None)
+            assert added.find(asked) == near
+            begins = [asked[:i] for i in range(1, len(asked) + 1)]
+            fits = lambda t: any(p[-1] == t[-1] and distance(p[:-1], t[:-1]) <= 1 for p in begins)
+            assert starts.near_starts(asked) == {t for t in terms if fits(t)}
+
+
+def test_misspelled_stems_and_short_terms():
+    stems = {"dummk": 3.0, "cretino": 4.0}
+    lexicon = toxicity.Lexicon(stems, frozenset({"dumkling"}))
+    assert [lexicon.weight(w) for w in ("dummkopf", "dumnkopf", "Dumkopf,", "duummkopf", "creTjnos")] == [3.0, 2.0, 2.0, 2.0, 3.0]
+    assert [lexicon.weight(w) for w in ("dumkling", "dumnopf", "dumm", "dxnnkopf")] == [0.0] * 4
+    assert [lexicon.weight(w) for w in ("dumbb", "duumb", "scumm", "jerkk")] == [4.0] * 4
+    strict = pickle.loads(pickle.dumps(toxicity.Lexicon(stems, frozenset(), frozenset({"dummk"}))))
+    assert strict.weight("dumnkopf") == 0.0 and strict.weight("dummkopf") == 3.0 and strict.weight("cretjnos") == 3.0
+
+
+def test_stems_with_usual_neighbours_are_strict(spark):
+    """What labelled clean texts say often is no misspelling: such stems are found exactly."""
+    texts = [("a zorbling and a quandral here", 1)] * 6 + [("the zarbling of the valley", 0)] * 8 + [("plain words", 0)] * 40
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
+    assert {"zorbl", "zorbling"} <= lexicon.strict and "quandra" in lexicon.stems and "quandra" not in lexicon.strict
+    assert lexicon.weight("zorblings") > 0 and lexicon.weight("zurblings") == 0 and lexicon.weight("quamdral") > 0
+
+
 def test_lexicon_and_context():
     lexicon = toxicity.Lexicon({"réêou": 3.0}, frozenset({"oron"}))
     assert lexicon.weight("Idiot!!") == 5.0 and lexicon.weight("(idi0t)") == 4.0
