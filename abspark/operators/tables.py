@@ -21,6 +21,8 @@ from abspark.sources.snapshots import Version, current_version, publish, read_ve
 
 # A cell without a value and a blank one stay apart: only the former is written like this.
 BLANKS = {"nullValue": "\\N", "emptyValue": ""}
+# A cell may hold line breaks, so a task reads a staged file as a whole: files are kept small.
+ROWS_PER_FILE = 50_000
 
 
 def load_registry(spark: SparkSession, path: str, schema=EXPERIMENTS_STAGE) -> DataFrame:
@@ -29,8 +31,8 @@ def load_registry(spark: SparkSession, path: str, schema=EXPERIMENTS_STAGE) -> D
 
 
 def write_stage(stage: DataFrame, path: str) -> None:
-    """Staged rows as CSV, blanks kept as they are."""
-    stage.write.csv(
+    """Staged rows as CSV, blanks kept as they are, ROWS_PER_FILE in a file at most."""
+    stage.write.option("maxRecordsPerFile", ROWS_PER_FILE).csv(
         path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         nullValue=BLANKS["nullValue"], emptyValue='""',
     )

@@ -153,6 +153,22 @@ def test_stage_files_keep_texts(spark, tmp_path):
     assert [tuple(r) for r in tables.load_registry(spark, path).collect()] == [row]
 
 
+def test_stage_files_are_bounded(spark, tmp_path):
+    """A task reads a whole file, so a large partition is written as several."""
+    path, n = tmp_path / "stage", 2 * tables.ROWS_PER_FILE + 1
+    cells = {"id": "CAST(id AS STRING)", "description": "'two\\nlines'"}
+    rows = spark.range(0, n, numPartitions=1).selectExpr(
+        *[
+            f"{cells.get(f.name, 'NULL')} :: {f.dataType.simpleString()} AS {f.name}"
+            for f in EXPERIMENTS_STAGE.fields
+        ]
+    )
+    tables.write_stage(rows, str(path))
+    assert len(list(path.glob("part-*.csv"))) == 3
+    back = tables.load_registry(spark, str(path))
+    assert back.select("id").distinct().count() == back.where("description = 'two\\nlines'").count() == n
+
+
 def test_report_snapshot(spark, tmp_path):
     values = {"id": "01", "test_a": 3, "date_last_analyzed": dt.date(2024, 1, 1)}
     report = spark.createDataFrame([tuple(values.get(c) for c in REPORT.fieldNames())], REPORT)
