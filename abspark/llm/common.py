@@ -40,6 +40,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "4m"  # of an Arrow batch; Spark's own bound is 10,000 rows, whatever their length
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are bounded by bytes, too: a JVM and its Python
+    workers each hold a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is. lower() does that on ASCII texts and
     is far cheaper than translate()."""

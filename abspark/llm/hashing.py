@@ -65,7 +65,7 @@ def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def in_pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
+def in_pieces(texts: list[str | None], size: int = 1 << 18) -> Iterator[list[str | None]]:
     """Consecutive texts of about `size` characters together (one text at least), so that
     the arrays over a batch stay small."""
     begin, held = 0, 0

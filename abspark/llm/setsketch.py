@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abspark.llm.common import bounded, row_key, staged
+from abspark.llm.common import bounded, row_key, small_batches, staged
 from abspark.llm.graph import components
 from abspark.llm.hashing import mixed, shingle_sets
 
@@ -248,6 +248,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFram
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, part, n_shingles, component_id, kept, group (null without a set) for each row."""
+    small_batches(docs.sparkSession)
     rows = staged(sketches(docs, shingle))
     one = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "bands")).alias("one")

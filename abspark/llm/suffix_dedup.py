@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abspark.llm.common import row_key
+from abspark.llm.common import row_key, small_batches
 from abspark.llm.hashing import BASE, BASE_INVERSE, BYTE_CODE, mixed, powers
 from abspark.llm.suffix_sort import common_prefixes, suffix_order
 
@@ -42,7 +42,8 @@ SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1  # pieces in a string
 CHUNK_BYTES = 8 << 20
 HOT = 1 << 14  # places of an anchor beyond which its strings are dealt out one by one
-PIECE_BYTES = 1 << 20  # texts of a chunk are handled so many bytes at a time
+SORTED_BYTES = 1 << 19  # of segments whose suffixes are sorted at a time
+PIECE_BYTES = 1 << 18  # texts of a chunk are handled so many bytes at a time
 SEGMENT = np.dtype([("key", "<u8"), ("anchor", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u2")])
 RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "u1"), ("length", "u1")])
 
@@ -146,16 +147,17 @@ def hashes_of(blobs: pd.Series) -> np.ndarray:
 def pieces(chunk: pd.DataFrame) -> Iterator[tuple[Piece, np.ndarray]]:
     """The documents of a chunk a piece at a time, with their rows. The order within the
     chunk does not matter to any step."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in chunk["text"]]
     ids, known = chunk["id"].to_numpy(np.int64), chunk["known"].to_numpy(bool)
-    begin, held = 0, 0
-    for i, text in enumerate([*texts, None]):
-        if text is None or held and held + len(text) > PIECE_BYTES:
-            rows = np.arange(begin, i)
-            if len(rows):
-                yield Piece(texts[begin:i], ids[begin:i], known[begin:i]), rows
-            begin, held = i, 0
-        held += len(text or b"")
+    begin, texts, held = 0, [], 0
+    for i, text in enumerate(chunk["text"]):
+        text = (text or "").encode("utf-8", "surrogatepass")
+        if held and held + len(text) > PIECE_BYTES:
+            yield Piece(texts, ids[begin:i], known[begin:i]), np.arange(begin, i)
+            begin, texts, held = i, [], 0
+        texts.append(text)
+        held += len(text)
+    if texts:
+        yield Piece(texts, ids[begin:], known[begin:]), np.arange(begin, len(chunk))
 
 
 def by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,7 +231,7 @@ def segment_sender(buckets: int):
         if not len(answers) or not len(chunk):
             return pd.DataFrame([], columns=columns)
         shared, hot = hashes_of(answers["answer"]), hashes_of(answers["hot"])
-        found, bodies = [], []
+        found, bodies = [], {}
         for piece, _ in pieces(chunk):
             if not len(piece.place) or not len(shared):
                 continue
@@ -247,7 +249,9 @@ def segment_sender(buckets: int):
             # A string alone is known by its hash: no bytes are sent, and its size is 0.
             heads["size"] = np.where(piece.single[one], 0, piece.strings[one] + SPAN - 1)
             data = piece.data.tobytes()
-            bodies += [data[s : s + n] for s, n in zip(piece.start[one].tolist(), heads["size"].tolist(), strict=True)]
+            for key, s, n in zip(heads["key"].tolist(), piece.start[one].tolist(), heads["size"].tolist(), strict=True):
+                if key not in bodies:
+                    bodies[key] = data[s : s + n]
             found.append(heads)
         if not found:
             return pd.DataFrame([], columns=columns)
@@ -263,7 +267,7 @@ def segment_sender(buckets: int):
         of = np.where(heads["size"] == 0, heads["key"], heads["anchor"])
         # The first blob carries the hot anchors, which come back with its answer.
         rows = [
-            (bucket, number, heads[own].tobytes(), zlib.compress(b"".join(bodies[one[i]] for i in own), 1), b"" if k else hot.tobytes())
+            (bucket, number, heads[own].tobytes(), zlib.compress(b"".join(map(bodies.__getitem__, heads["key"][own].tolist())), 1), b"" if k else hot.tobytes())
             for k, (bucket, own) in enumerate(by_bucket(of, buckets))
         ]
         return pd.DataFrame(rows, columns=columns)
@@ -271,6 +275,18 @@ def segment_sender(buckets: int):
     return send
 
 
+def by_anchor(segments: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The segments some anchors at a time, about SORTED_BYTES together. Equal strings have
+    equal anchors, so the parts know nothing of each other."""
+    segments = segments[np.argsort(anchor[segments], kind="stable")]
+    if not len(segments):
+        return
+    first = np.flatnonzero(np.diff(anchor[segments], prepend=-1))
+    before = np.cumsum(size[segments].astype(np.int64)) - size[segments]
+    part = np.repeat(before[first] // SORTED_BYTES, np.diff(np.append(first, len(segments))))
+    yield from np.split(segments, np.flatnonzero(np.diff(part)) + 1)
+
+
 def smallest_documents(heads: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     """Runs (key, doc, start, length): for the strings of each distinct segment, in order,
     the smallest doc_id of any segment that holds the string."""
@@ -279,13 +295,13 @@ def smallest_documents(heads: np.ndarray, bodies: list[bytes]) -> np.ndarray:
     doc = np.repeat(heads["low"], strings)
     _, of_anchor, held = np.unique(heads["anchor"], return_inverse=True, return_counts=True)
     differing = np.flatnonzero((held[of_anchor] > 1) & (heads["size"] > 0))
-    if len(differing):
-        data = np.frombuffer(b"".join(bodies[i] for i in differing), np.uint8)
-        begins = np.concatenate([[0], np.cumsum(heads["size"][differing].astype(np.int64))])[:-1]
-        own = strings[differing]
+    for some in by_anchor(differing, of_anchor, heads["size"]):
+        data = np.frombuffer(b"".join(bodies[i] for i in some), np.uint8)
+        begins = np.concatenate([[0], np.cumsum(heads["size"][some].astype(np.int64))])[:-1]
+        own = strings[some]
         within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         place = np.repeat(begins, own) + within
-        target = np.repeat(at[differing], own) + within
+        target = np.repeat(at[some], own) + within
         number = np.full(len(data), -1, np.int64)
         number[place] = target
         order = suffix_order(data, SPAN)
@@ -372,6 +388,7 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text; null without
     with_text) for each row, and a text column of docs that is carried along."""
+    small_batches(docs.sparkSession)
     whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = buckets = max(16, -(-whole // chunk_bytes))
     rows = docs.select(

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abspark.llm.automaton import FuzzyLexicon
-from abspark.llm.common import staged
+from abspark.llm.common import small_batches, staged
 
 SAMPLE = 12_000  # labelled documents that lexicon and model are learned from
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -224,6 +224,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
 
 def learn(docs: DataFrame, labels: DataFrame, held: Column | None = None) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from the labelled documents that are not held out."""
+    small_batches(docs.sparkSession)
     texts = labelled(docs, labels, held_out(F.col("doc_id")) if held is None else held)
     lexicon = learn_lexicon(texts)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from re import _parser as sre_parse
@@ -26,6 +27,41 @@ def tokens(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
 
+def test_memory_of_removal(make_docs, spark, monkeypatch):
+    """Arrow batches are bounded by bytes, and no step's arrays grow with the whole chunk or
+    bucket but for its hashes. Parts of any size give the same rows."""
+    suffix_dedup.remove_repeats(make_docs([(1, "a", "s")]))
+    long = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("x"), 8_000).alias("text"))
+    sums = long.mapInPandas(lambda batches: (pd.DataFrame({"n": [b["text"].str.len().sum()]}) for b in batches), "n long")
+    assert 1 < sums.count() and sums.agg(F.max("n")).first()[0] < 8 << 20
+
+    rng = np.random.default_rng(3)
+    common = "".join(map(chr, rng.integers(97, 123, 400_000)))
+    texts = [common[i * 900 : i * 900 + 1_800] for i in range(440)] * 3
+    texts = ["".join(t[k : k + 60] + chr(c) for k, c in zip(range(0, len(t), 60), rng.integers(97, 123, 30))) for t in texts]
+    chunk = pd.DataFrame({"chunk": 0, "id": range(len(texts)), "known": True, "text": texts, "others": "{}"})
+
+    def steps():
+        shared = suffix_dedup.shared_answerer(100)(suffix_dedup.anchor_sender(16)(chunk).assign(bucket=0))
+        sent = suffix_dedup.segment_sender(16)(chunk, shared)
+        tracemalloc.start()
+        answers = suffix_dedup.answer_documents(sent)
+        answering = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        rows = suffix_dedup.remover(False)(chunk, answers)
+        removing = tracemalloc.get_traced_memory()[1] - before
+        tracemalloc.stop()
+        return rows, answering, removing
+
+    rows, answering, removing = steps()
+    assert answering < 120e6 and removing < 35e6
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 1 << 40)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1 << 40)
+    whole, more, _ = steps()
+    assert rows["n_removed"].sum() > 0 and rows.equals(whole) and more > 2 * answering
+
+
 def test_empty_tables(make_docs, spark):
     docs = make_docs([])
     bench = spark.createDataFrame([], "item_id long, text string")
