@@ -47,6 +47,7 @@ EXPECTED = 100  # codes the first radius should hold
 SPREAD = 1.7
 GROUP = 4_096
 PIECE = 16_384
+GRID = 131_072  # groups whose numbers of pieces may be broadcast
 ROUNDS = 30  # of the rotation
 
 
@@ -150,6 +151,19 @@ def distinct_vectors(rows: DataFrame, kept: int) -> DataFrame:
     )
 
 
+def learning_sample(points: DataFrame, n: int) -> np.ndarray:
+    """Vectors of the SAMPLE smallest hashes among n points. Only hashes below a bound under which
+    about that many lie are ordered, as each task sends the driver its first SAMPLE rows."""
+    hashed = points.select("embedding", F.xxhash64("embedding").alias("hash"))
+    share = (SAMPLE + 6 * SAMPLE**0.5) / n
+    while True:
+        low = hashed if share >= 1 else hashed.where(F.col("hash") < int(share * 2**64) - 2**63)
+        sample = low.orderBy("hash").limit(SAMPLE).select("embedding").toPandas()
+        if share >= 1 or len(sample) == SAMPLE:
+            return np.stack(sample["embedding"])
+        share *= 2
+
+
 def coded(rows: DataFrame, key: str, coder: Coder, with_radius: bool) -> DataFrame:
     """key, code, keys (of the substrings) and, for queries, the first radius."""
     sent = rows.sparkSession.sparkContext.broadcast(coder)
@@ -193,10 +207,14 @@ def within(index: DataFrame, queries: DataFrame, group_bits: int) -> DataFrame:
     asked = asked.where("reach >= 0").withColumn("group", F.explode(F.filter(
         groups, lambda g: F.bit_count(g.bitwiseXOR(F.col("group"))) <= F.col("reach")
     ))).select("part", "group", "query", "code", "radius")
-    # A grid of pieces: rows of either side meet each piece of the other once.
+    # A grid of pieces: rows of either side meet each piece of the other once. It has a row for each
+    # group at most; the sides hold a query in very many groups, so they are never broadcast.
     pieces = lambda df, name: df.groupBy("part", "group").agg(F.ceil(F.count("*") / PIECE).alias(name))
     grid = pieces(stored, "rows").join(pieces(asked, "columns"), ["part", "group"])
-    dealt = lambda df, own, other, key: df.join(grid, ["part", "group"]).withColumn(
+    beside = (lambda df: df.join(F.broadcast(grid), ["part", "group"])) if PARTS << group_bits <= GRID else (
+        lambda df: df.hint("merge").join(grid, ["part", "group"])
+    )
+    dealt = lambda df, own, other, key: beside(df).withColumn(
         own[:-1], F.pmod(F.xxhash64(key), F.col(own))
     ).withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
     stored = dealt(stored, "rows", "columns", "rep").select("part", "group", "row", "column", "rep", "code")
@@ -260,8 +278,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     n = points.count()
     if n == 0:
         return rows.sparkSession.createDataFrame([], result)
-    sample = points.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toPandas()
-    coder = learned(np.stack(sample["embedding"]), n)
+    coder = learned(learning_sample(points, n), n)
     index = staged(coded(points, "rep", coder, False))
     group_bits = int(np.clip(np.ceil(np.log2(n / GROUP)), 4, BITS // PARTS))
     reps = asking.select("query").distinct()

@@ -239,3 +239,25 @@ def test_radius_finds_every_code(spark):
             got = Counter(map(tuple, vector_search.within(index, asked, bits).collect()))
             expected = {(q, int(r)) for q in range(0, 600, 20) for r in np.flatnonzero(vector_search.hamming(codes, codes[q]) <= radius)}
             assert got == dict.fromkeys(expected, 1)
+
+
+def test_sample_sent_to_driver_is_bounded(spark, monkeypatch):
+    """However many tasks read the points, they send about SAMPLE of them to the driver."""
+    monkeypatch.setattr(vector_search, "SAMPLE", 500)
+    vectors = np.random.default_rng(6).normal(size=(12_000, 16))
+    kind = "rep long, embedding array<double>, members array<long>"
+    points = spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(vectors)], kind).repartition(24)
+    points = points.cache()
+    expected = [r[0] for r in points.select(F.xxhash64("embedding"), "embedding").orderBy(F.xxhash64("embedding")).select("embedding").collect()]
+    settings, most = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    old = settings.get(most, "1g")
+    settings.set(most, "1m")
+    try:
+        sample = vector_search.learning_sample(points, len(vectors))
+    finally:
+        settings.set(most, old)
+        points.unpersist()
+    assert sample.tolist() == [list(v) for v in expected[:500]]
+    few = spark.createDataFrame([(1, [1.0, 2.0])], "rep long, embedding array<double>")
+    assert vector_search.learning_sample(few, 1).tolist() == [[1.0, 2.0]]
+    assert len(vector_search.learning_sample(points, 10_000_000)) == 500  # a bound with too few below it
