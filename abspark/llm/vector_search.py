@@ -10,6 +10,10 @@
   query is sent to the groups within its reach, and compares keys, then codes, there. Large
   groups and groups with many queries are dealt out as a grid of pieces, so that no task
   holds more than PIECE of either. A pair is reported by the first substring that finds it.
+* A radius so wide that a query would be sent to more groups than there are pieces of codes is
+  served by comparing the query with every code instead: pieces of the points meet blocks of
+  such queries, each returns the nearest of the codes within the radius. So are few queries,
+  for which dealing all codes PARTS times does not pay. Both ways find the same.
 * Candidates are scored on their own vectors. The first radius is one that holds about
   EXPECTED codes, estimated from the sample. A second round takes, for a query, the radius
   within which a vector as near as its last result lies with the chance that SPREAD
@@ -27,14 +31,18 @@ tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abspark.llm.common import staged
 
@@ -47,7 +55,10 @@ EXPECTED = 100  # codes the first radius should hold
 SPREAD = 1.7
 GROUP = 4_096
 PIECE = 16_384
+FEW = 4_096  # queries for which no keys are dealt
 GRID = 131_072  # groups whose numbers of pieces may be broadcast
+SCAN_BYTES = 64 << 20  # of the vectors (as doubles) in a piece or block of the scan
+STRETCH = 16_384  # codes compared, and pairs scored, at once
 ROUNDS = 30  # of the rotation
 
 
@@ -165,7 +176,7 @@ def learning_sample(points: DataFrame, n: int) -> np.ndarray:
 
 
 def coded(rows: DataFrame, key: str, coder: Coder, with_radius: bool) -> DataFrame:
-    """key, code, keys (of the substrings) and, for queries, the first radius."""
+    """key, code, keys (of the substrings) and, for queries, the first radius and the vector."""
     sent = rows.sparkSession.sparkContext.broadcast(coder)
     kind = rows.schema[key].dataType.simpleString()
 
@@ -182,11 +193,12 @@ def coded(rows: DataFrame, key: str, coder: Coder, with_radius: bool) -> DataFra
             yield pa.record_batch(
                 [batch[key], pa.array([c.tobytes() for c in codes], pa.binary()),
                  pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * PARTS, pa.array(keys.ravel())),
-                 pa.array(radius)],
-                [key, "code", "keys", "radius"],
+                 pa.array(radius), *[batch["embedding"]] * with_radius],
+                [key, "code", "keys", "radius", *["embedding"] * with_radius],
             )
 
-    return rows.select(key, "embedding").mapInArrow(encode, f"{key} {kind}, code binary, keys array<long>, radius long")
+    schema = f"{key} {kind}, code binary, keys array<long>, radius long" + ", embedding array<double>" * with_radius
+    return rows.select(key, "embedding").mapInArrow(encode, schema)
 
 
 # ---------------------------------------------------------------- lookups
@@ -244,6 +256,95 @@ def within(index: DataFrame, queries: DataFrame, group_bits: int) -> DataFrame:
     return stored.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(meet, f"query {kinds}, rep {kinds}")
 
 
+# ---------------------------------------------------------------- the scan
+def by_keys(n: int, group_bits: int) -> int:
+    """Widest radius at which a query meets no more groups than there are pieces of n codes
+    (below 0: none)."""
+    ball = np.cumsum([math.comb(group_bits, bits) for bits in range(group_bits + 1)])
+    for radius in range(BITS + 1):
+        reach = radius // PARTS - (np.arange(PARTS) > radius % PARTS)
+        if ball[np.minimum(reach[reach >= 0], group_bits)].sum() > n / PIECE:
+            return radius - 1
+    return BITS
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def stretches(codes: np.ndarray, code: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the codes (words x codes) within the radius of one."""
+    out = []
+    for start in range(0, codes.shape[1], STRETCH):
+        part = codes[:, start : start + STRETCH]
+        # Sums of 8 bits: BITS itself becomes 0 and is looked at again.
+        apart = np.bitwise_count(part ^ code[:, None]).sum(axis=0, dtype=np.uint8)
+        near = np.flatnonzero(apart <= np.uint8(min(radius, 255)))
+        out.append(near[hamming(part[:, near].T, code) <= radius] + start)
+    return np.concatenate(out)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of rows, added up in the order and so with the rounding of cosine()."""
+    a, b = np.ascontiguousarray(a.T, float), np.ascontiguousarray(b.T, float)
+    product, norm_a, norm_b = np.zeros((3, a.shape[1]))
+    for x, y in zip(a, b):
+        product += x * y
+        norm_a += x * x
+        norm_b += y * y
+    return product / (np.sqrt(norm_a) * np.sqrt(norm_b))
+
+
+def scanned(points: DataFrame, queries: DataFrame, coder: Coder, n: int, kept: int, number: str) -> DataFrame:
+    """query, rep, score: of the codes within the radius of the query's, the kept nearest of each
+    piece of the points. Vectors travel as arrays of that number type."""
+    most, asking = max(SCAN_BYTES // (8 * len(coder.mean)), 1), queries.count()
+    side = min(max(2 * asking, GROUP), most)
+    rows, columns = -(-n // side), -(-asking // side)
+    vector = F.col("embedding").cast(f"array<{number}>").alias("embedding")
+    place = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    stored = points.select("rep", vector, place("rep", rows).alias("row"), each(columns).alias("column"))
+    asked = queries.select("query", "code", "radius", vector, place("query", columns).alias("column"), each(rows).alias("row"))
+    sent = points.sparkSession.sparkContext.broadcast(coder)
+    kinds = points.schema["rep"].dataType.simpleString()
+
+    def meet(here: pa.Table, there: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(here) and len(there):
+            vectors, targets = matrix(here["embedding"]).astype(float), matrix(there["embedding"])
+            codes = [sent.value.codes(vectors[i : i + GROUP]) for i in range(0, len(vectors), GROUP)]
+            codes = np.ascontiguousarray(np.concatenate(codes).T)
+            norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            order = np.empty(len(here), int)
+            order[pc.sort_indices(here["rep"]).to_numpy()] = np.arange(len(here))
+            waiting, size = [], 0
+            for query, (code, radius) in enumerate(zip(there["code"].to_pylist(), there["radius"].to_pylist())):
+                near = stretches(codes, np.frombuffer(code, np.uint64), radius)
+                if len(near) > kept:
+                    target = targets[query].astype(float)
+                    score = vectors[near] @ target / (norms[near] * np.linalg.norm(target))
+                    near = near[score >= np.partition(score, -kept)[-kept] - 1e-9]
+                waiting.append((query, near))
+                size += len(near)
+                if size >= STRETCH or query == len(there) - 1:
+                    asks = np.repeat([q for q, _ in waiting], [len(x) for _, x in waiting])
+                    near = np.concatenate([x for _, x in waiting])
+                    score = cosines(targets[asks], vectors[near])
+                    best = np.lexsort((order[near], -score, asks))
+                    asks, near, score = asks[best], near[best], score[best]
+                    top = np.arange(len(asks)) - np.searchsorted(asks, asks) < kept
+                    found.append((asks[top], near[top], score[top]))
+                    waiting, size = [], 0
+        asks, near, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query": there["query"].take(asks), "rep": here["rep"].take(near), "score": score})
+
+    by = ["row", "column"]
+    pairs = stored.groupBy(*by).cogroup(asked.groupBy(*by))
+    return pairs.applyInArrow(meet, f"query {kinds}, rep {kinds}, score double")
+
+
 def cosine(a: str, b: str) -> Column:
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
@@ -260,6 +361,14 @@ def scored(pairs: DataFrame, vectors: DataFrame, kept: int) -> DataFrame:
     return ranked(rows, kept)
 
 
+def members(pairs: DataFrame, vectors: DataFrame, kept: int) -> DataFrame:
+    """query, rank, vec_id, score: the nearest rows behind scored candidates. A row's rep has no
+    larger id, so it is among the kept nearest of those, too."""
+    few = ranked(pairs.withColumnRenamed("rep", "vec_id"), kept).select("query", "score", F.col("vec_id").alias("rep"))
+    rows = few.join(vectors.select("rep", "members"), "rep")
+    return ranked(rows.select("query", "score", F.explode("members").alias("vec_id")), kept)
+
+
 def ranked(rows: DataFrame, kept: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
@@ -279,18 +388,28 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     if n == 0:
         return rows.sparkSession.createDataFrame([], result)
     coder = learned(learning_sample(points, n), n)
-    index = staged(coded(points, "rep", coder, False))
+    number = "float" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "double"
+    index = None
     group_bits = int(np.clip(np.ceil(np.log2(n / GROUP)), 4, BITS // PARTS))
     reps = asking.select("query").distinct()
     todo = staged(coded(reps.join(points.withColumnRenamed("rep", "query"), "query"), "query", coder, True))
     best = None
     while not todo.isEmpty():
-        found = staged(scored(within(index, todo, group_bits), points, kept))
+        widest, parts = by_keys(n, group_bits), []
+        near, far = todo.where(F.col("radius") <= widest), todo.where(F.col("radius") > widest)
+        if near.count() > FEW:
+            index = index or staged(coded(points, "rep", coder, False))
+            parts.append(scored(within(index, near, group_bits), points, kept))
+        else:
+            far = todo
+        if not far.isEmpty():
+            parts.append(members(scanned(points, far, coder, n, kept, number), points, kept))
+        found = staged(reduce(DataFrame.unionByName, parts))
         worst = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
         wider = todo.join(worst, "query").withColumn("need", F.when(
             F.col("n") < kept, F.least(F.col("radius") + BITS // 8, F.lit(BITS))
         ).otherwise(radius_of(coder)(F.col("score"))))
-        again = staged(wider.where("need > radius").select("query", "code", "keys", F.col("need").alias("radius")))
+        again = staged(wider.where("need > radius").select("query", "code", "keys", F.col("need").alias("radius"), "embedding"))
         done = found.join(again.select("query"), "query", "left_anti")
         best = done if best is None else best.unionByName(done)
         todo = again

@@ -261,3 +261,44 @@ def test_sample_sent_to_driver_is_bounded(spark, monkeypatch):
     few = spark.createDataFrame([(1, [1.0, 2.0])], "rep long, embedding array<double>")
     assert vector_search.learning_sample(few, 1).tolist() == [[1.0, 2.0]]
     assert len(vector_search.learning_sample(points, 10_000_000)) == 500  # a bound with too few below it
+
+
+def test_scan_finds_what_keys_find(spark, monkeypatch):
+    """Vectors of one direction tie; pieces hold 100 vectors."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(500, 16))
+    vectors = np.vstack([vectors, np.outer(2.0 ** np.arange(1, 41), vectors[0]), 3.7 * vectors[20:30]])
+    coder = vector_search.learned(vectors, len(vectors))
+    kind = "rep long, embedding array<double>, members array<long>"
+    rows = [(3 * i, v.tolist(), [3 * i] if i % 4 else [3 * i, 3 * i + 1, 3 * i + 2]) for i, v in enumerate(vectors)]
+    points = spark.createDataFrame(rows, kind)
+    asked = points.where("rep % 60 = 0").select(F.col("rep").alias("query"), "embedding")
+    asked = vector_search.coded(asked, "query", coder, True).withColumn("radius", (F.col("query") * 7 % 257).cast("long"))
+    keyed = vector_search.scored(vector_search.within(vector_search.coded(points, "rep", coder, False), asked, 4), points, 6)
+    monkeypatch.setattr(vector_search, "SCAN_BYTES", 100 * 16 * 8)
+    monkeypatch.setattr(vector_search, "STRETCH", 64)
+    pairs = vector_search.scanned(points, asked, coder, len(vectors), 6, "double").cache()
+    assert pairs.groupBy("query").count().agg(F.max("count")).first()[0] <= 6 * 6
+    columns = ["query", "rank", "vec_id", "score"]
+    expected = sorted(map(tuple, keyed.select(columns).collect()))
+    assert sorted(map(tuple, vector_search.members(pairs, points, 6).select(columns).collect())) == expected
+    assert len({q for q, *_ in expected}) == asked.count()
+
+
+def test_nearest_by_keys(spark, monkeypatch):
+    """With many queries of narrow radius the keys are used, and find the same."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 24))
+    rows = [(i, np.float32(centres[i % 30] + 0.05 * rng.normal(size=24)).tolist()) for i in range(1500)]
+    expected = found_nearest(spark, rows)
+    for few in (0, 10):
+        monkeypatch.setattr(vector_search, "FEW", few)
+        monkeypatch.setattr(vector_search, "by_keys", lambda n, bits: 20)
+        assert found_nearest(spark, rows) == expected
+
+
+def test_widest_radius_by_keys():
+    assert vector_search.by_keys(10_000, 4) == -1
+    assert vector_search.by_keys(100_000, 5) == 5  # six substrings, one group each
+    assert vector_search.by_keys(16_384 * 16 * 13, 12) == 31  # one bit off in each
+    assert vector_search.by_keys(10**9, 4) == vector_search.BITS
