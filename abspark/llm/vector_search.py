@@ -136,17 +136,20 @@ def learned(sample: np.ndarray, n: int, seed: int = 11) -> Coder:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of the rows that take part, one for each id."""
-    rows = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """vec_id, embedding (floats as they are, else doubles) of the rows that take part, one for each id."""
+    floats = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True)
+    kind = "array<float>" if floats else "array<double>"
+    rows = vectors.select(F.col("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     rows = rows.where(F.exists("embedding", lambda x: x != 0))
     rows = staged(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    # A square that leaves the range of doubles: such a vector is taken by its largest component.
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    largest = F.array_max(F.transform("embedding", F.abs))
-    shrunk = F.transform("embedding", lambda x: x / largest)
-    rows = rows.withColumn("embedding", F.when(length.between(1e-200, 1e200), F.col("embedding")).otherwise(shrunk))
+    if not floats:
+        # A square that leaves the range of doubles: such a vector is taken by its largest component.
+        length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+        largest = F.array_max(F.transform("embedding", F.abs))
+        shrunk = F.transform("embedding", lambda x: x / largest)
+        rows = rows.withColumn("embedding", F.when(length.between(1e-200, 1e200), F.col("embedding")).otherwise(shrunk))
     sizes = rows.groupBy(F.size("embedding").alias("length")).count()
     usual = sizes.orderBy(F.col("count").desc(), "length").first()
     return rows.where(F.size("embedding") == (usual["length"] if usual else 0))
@@ -165,13 +168,13 @@ def distinct_vectors(rows: DataFrame, kept: int) -> DataFrame:
 def learning_sample(points: DataFrame, n: int) -> np.ndarray:
     """Vectors of the SAMPLE smallest hashes among n points. Only hashes below a bound under which
     about that many lie are ordered, as each task sends the driver its first SAMPLE rows."""
-    hashed = points.select("embedding", F.xxhash64("embedding").alias("hash"))
+    hashed = points.select("embedding", F.xxhash64(F.col("embedding").cast("array<double>")).alias("hash"))
     share = (SAMPLE + 6 * SAMPLE**0.5) / n
     while True:
         low = hashed if share >= 1 else hashed.where(F.col("hash") < int(share * 2**64) - 2**63)
         sample = low.orderBy("hash").limit(SAMPLE).select("embedding").toPandas()
         if share >= 1 or len(sample) == SAMPLE:
-            return np.stack(sample["embedding"])
+            return np.stack(sample["embedding"]).astype(float)
         share *= 2
 
 
@@ -186,7 +189,7 @@ def coded(rows: DataFrame, key: str, coder: Coder, with_radius: bool) -> DataFra
             if not len(batch):
                 continue
             flat = batch["embedding"].flatten().to_numpy(zero_copy_only=False)
-            codes = model.codes(flat.reshape(len(batch), -1))
+            codes = model.codes(flat.reshape(len(batch), -1).astype(float))
             keys = codes.view(np.uint8).reshape(len(batch), PARTS, -1)
             keys = sum(keys[..., i].astype(np.int64) << (8 * (keys.shape[2] - 1 - i)) for i in range(keys.shape[2]))
             radius = model.first_radius(codes) if with_radius else np.zeros(len(batch), np.int64)
@@ -197,7 +200,8 @@ def coded(rows: DataFrame, key: str, coder: Coder, with_radius: bool) -> DataFra
                 [key, "code", "keys", "radius", *["embedding"] * with_radius],
             )
 
-    schema = f"{key} {kind}, code binary, keys array<long>, radius long" + ", embedding array<double>" * with_radius
+    vector = rows.schema["embedding"].dataType.simpleString()
+    schema = f"{key} {kind}, code binary, keys array<long>, radius long" + f", embedding {vector}" * with_radius
     return rows.select(key, "embedding").mapInArrow(encode, schema)
 
 
@@ -296,17 +300,18 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return product / (np.sqrt(norm_a) * np.sqrt(norm_b))
 
 
-def scanned(points: DataFrame, queries: DataFrame, coder: Coder, n: int, kept: int, number: str) -> DataFrame:
+def scanned(points: DataFrame, queries: DataFrame, coder: Coder, n: int, kept: int) -> DataFrame:
     """query, rep, score: of the codes within the radius of the query's, the kept nearest of each
-    piece of the points. Vectors travel as arrays of that number type."""
+    piece of the points."""
     most, asking = max(SCAN_BYTES // (8 * len(coder.mean)), 1), queries.count()
     side = min(max(2 * asking, GROUP), most)
     rows, columns = -(-n // side), -(-asking // side)
-    vector = F.col("embedding").cast(f"array<{number}>").alias("embedding")
     place = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    stored = points.select("rep", vector, place("rep", rows).alias("row"), each(columns).alias("column"))
-    asked = queries.select("query", "code", "radius", vector, place("query", columns).alias("column"), each(rows).alias("row"))
+    stored = points.select("rep", "embedding", place("rep", rows).alias("row"), each(columns).alias("column"))
+    asked = queries.select(
+        "query", "code", "radius", "embedding", place("query", columns).alias("column"), each(rows).alias("row")
+    )
     sent = points.sparkSession.sparkContext.broadcast(coder)
     kinds = points.schema["rep"].dataType.simpleString()
 
@@ -346,6 +351,7 @@ def scanned(points: DataFrame, queries: DataFrame, coder: Coder, n: int, kept: i
 
 
 def cosine(a: str, b: str) -> Column:
+    a, b = (F.col(c).cast("array<double>") for c in (a, b))
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     return product / (F.sqrt(norm(a)) * F.sqrt(norm(b)))
@@ -388,7 +394,6 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     if n == 0:
         return rows.sparkSession.createDataFrame([], result)
     coder = learned(learning_sample(points, n), n)
-    number = "float" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "double"
     index = None
     group_bits = int(np.clip(np.ceil(np.log2(n / GROUP)), 4, BITS // PARTS))
     reps = asking.select("query").distinct()
@@ -403,7 +408,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
         else:
             far = todo
         if not far.isEmpty():
-            parts.append(members(scanned(points, far, coder, n, kept, number), points, kept))
+            parts.append(members(scanned(points, far, coder, n, kept), points, kept))
         found = staged(reduce(DataFrame.unionByName, parts))
         worst = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
         wider = todo.join(worst, "query").withColumn("need", F.when(

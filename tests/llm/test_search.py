@@ -277,7 +277,7 @@ def test_scan_finds_what_keys_find(spark, monkeypatch):
     keyed = vector_search.scored(vector_search.within(vector_search.coded(points, "rep", coder, False), asked, 4), points, 6)
     monkeypatch.setattr(vector_search, "SCAN_BYTES", 100 * 16 * 8)
     monkeypatch.setattr(vector_search, "STRETCH", 64)
-    pairs = vector_search.scanned(points, asked, coder, len(vectors), 6, "double").cache()
+    pairs = vector_search.scanned(points, asked, coder, len(vectors), 6).cache()
     assert pairs.groupBy("query").count().agg(F.max("count")).first()[0] <= 6 * 6
     columns = ["query", "rank", "vec_id", "score"]
     expected = sorted(map(tuple, keyed.select(columns).collect()))
